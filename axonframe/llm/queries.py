@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .html_diff import extract
 from .interleave import shard_digest
 from .mixing import mix_digest
@@ -33,6 +34,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(_table(spark, sf_dir, "pages"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op5_sharding": op5_sharding,
+    "op6_ann": op6_ann,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
