@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
+from .decontaminate import find_contamination
 from .html_diff import extract
 from .interleave import shard_digest
 from .mixing import mix_digest
@@ -30,6 +32,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_ann": op6_ann,
     "op7_warc": op7_warc,
