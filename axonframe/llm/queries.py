@@ -13,6 +13,7 @@ from .mixing import mix_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
 from .simhash_dedup import simhash_components
+from .substring_dedup import find_passages
 from .warc import warc_digest
 
 
@@ -57,6 +58,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
