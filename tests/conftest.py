@@ -12,6 +12,7 @@ def spark():
 
     session = local_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # small tables: compiling takes longer than running
     yield session
     session.stop()
 
