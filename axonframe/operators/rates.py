@@ -33,7 +33,7 @@ def classify_cells(rate: DataFrame, position: DataFrame, model_h: DataFrame, ski
     0, null or NaN gives no row.
     """
     both = rate.where(F.col("t") >= skip).join(position, ["session", "stim", "t"])
-    fit = both.groupBy("session", "stim", "cell").agg(F.regr_slope("rate", "x").alias("slope"), F.regr_intercept("rate", "x").alias("intercept"), F.corr("rate", "x").alias("r"), F.count(F.lit(1)).alias("rows"))
+    fit = both.groupBy("session", "stim", "cell").agg(F.regr_slope("rate", "x").alias("slope"), F.regr_intercept("rate", "x").alias("intercept"), F.try_divide(F.regr_sxy("rate", "x"), F.sqrt(F.regr_sxx("rate", "x") * F.regr_syy("rate", "x"))).alias("r"), F.count(F.lit(1)).alias("rows"))
     kind = F.when(F.col("slope") < 0, "pauser").when(F.col("slope") > 0, "burster")
     named = fit.where(~F.isnan("slope")).withColumn("kind", kind).where(F.col("kind").isNotNull())
     return named.join(model_h, ["session", "stim", "cell"])

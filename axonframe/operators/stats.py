@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.functions.student import t_quantile_table
+from axonframe.functions.student import t_for_many, t_quantile_table
 
 
-def mean_ci(df: DataFrame, keys: Sequence[str], col: str, confidence: float = 0.95, max_df: int = 1000) -> DataFrame:
-    """keys, mean, lower and upper of the t-interval of the mean; the bounds are null for one value.
+#: Degrees of freedom up to which t quantiles come from a table, which is broadcast.
+TABLE_DF = 100
 
-    The quantiles come from a table of max_df rows, which is broadcast; beyond it the last row's quantile is taken, and
-    it differs from the exact one by less than 0.0001 there.
-    """
+
+def mean_ci(df: DataFrame, keys: Sequence[str], col: str, confidence: float = 0.95) -> DataFrame:
+    """keys, mean, lower and upper of the t-interval of the mean; the bounds are null for one value."""
     sums = df.groupBy(*keys).agg(F.avg(col).alias("mean"), (F.stddev_samp(col) / F.sqrt(F.count(col))).alias("_se"), (F.count(col) - 1).alias("_n"))
-    table = t_quantile_table(df.sparkSession, confidence, max_df).select(F.col("df").alias("_df"), F.col("t").alias("_q"))
-    joined = sums.join(F.broadcast(table), F.least("_n", F.lit(max_df)) == F.col("_df"), "left")
-    half = F.col("_se") * F.col("_q")
+    table = t_quantile_table(df.sparkSession, confidence, TABLE_DF).select(F.col("df").alias("_df"), F.col("t").alias("_q"))
+    joined = sums.join(F.broadcast(table), F.col("_n") == F.col("_df"), "left")
+    half = F.col("_se") * F.when(F.col("_n") <= TABLE_DF, F.col("_q")).otherwise(t_for_many(confidence, F.col("_n")))
     return joined.select(*keys, "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
 
 
