@@ -21,9 +21,18 @@ def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """Hashes of a text's word shingles in order; empty for texts with fewer words, and for null."""
-    w = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r")), SPACES)
-    return F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))).otherwise(F.array().cast("array<long>"))
+    """Hashes of a text's word shingles in order; none for texts with fewer words, and for null.
+
+    The list of words is bound as the one element of an array: named in the inner expression as often as it is used,
+    it would be split anew for every shingle wherever the optimizer puts the expression in the place of its name.
+    """
+    split = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r")), SPACES)
+
+    def hashed(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
+        return F.when(F.size(w) >= words, hashes).otherwise(F.array().cast("array<long>"))
+
+    return F.get(F.transform(F.array(split), hashed), 0)
 
 
 def simhash(hashes: Column) -> Column:
@@ -71,7 +80,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     wanted = written(items.select("item_id", "n", F.explode("item").alias("h")).distinct(), "wanted")
 
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("doc_key"), shingle_hashes(F.col("text"), words).alias("all"))
-    spots = keyed.select("doc_id", "doc_key", F.posexplode("all").alias("pos", "h"))
+    spots = keyed.select("doc_id", "doc_key", F.posexplode_outer("all").alias("pos", "h"))  # outer: no filter that would hash the texts twice
     hits = written(spots.join(sent_if_small(written(wanted.select("h").distinct(), "shingles")), "h").select("doc_id", "doc_key", "pos", "h"), "hits")
     members = hits.select("doc_id", "doc_key").distinct()
     places = hits.select("doc_key", "pos", "h").distinct().join(wanted, "h").groupBy("doc_key", "item_id", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
