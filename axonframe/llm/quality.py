@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import values
+
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 
 
@@ -35,7 +37,7 @@ class _Hashes(dict):
     """Hash of each word met so far; it is emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = crc32(word)
         return value
@@ -127,7 +129,7 @@ def score(docs: DataFrame, model: DataFrame, keys: list[str], text: str = "text"
         weights = shared.value
         for batch in batches:
             scores = []
-            for body in batch.column("_body").to_pylist():
+            for body in values(batch.column("_body")):
                 index, value = features(body, s.bits)
                 scores.append(1 / (1 + np.exp(-np.clip(weights[index] @ value, -35, 35))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(scores, type=pa.float64())], names=[*keys, "score"])
@@ -156,7 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         weights = shared.value
         for batch in batches:
             keep = []
-            for body in batch.column(at).cast(pa.binary()).to_pylist():
+            for body in values(batch.column(at).cast(pa.binary())):
                 index, value = features(body, s.bits)
                 keep.append(bool(1 / (1 + np.exp(-np.clip(weights[index] @ value, -35, 35))) >= threshold))
             yield batch.filter(pa.array(keep, type=pa.bool_()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +32,38 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+#: Rows of a batch that goes to Python where the rows hold whole texts.
+TEXT_ROWS = 1000
+
+
+def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back, so that lost executors cost no recomputation.
+
+    rows: number of rows of a batch that goes to Python, while df is written; it bounds the memory of whole texts.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = new_path(spark, name), spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if rows:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal a small written table out over as many tasks as a shuffle has, before each row becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def values(column) -> Iterator:
+    """The values of an Arrow column one by one; only a few hundred at a time are Python objects."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def _edge_state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)).alias("h")).first()
     return row["n"], row["h"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import TEXT_ROWS, components, spread, values, written
 
 SEED = 42  # the hash seed that the fingerprints are defined with
 BITS = 64
@@ -42,7 +42,7 @@ def with_fingerprint(docs: DataFrame, keys: list[str], text: str = "text", words
 
     def run(batches):
         for batch in batches:
-            prints = pa.array([fingerprint(t, words) for t in batch.column("_body").to_pylist()], type=pa.int64())
+            prints = pa.array([fingerprint(t, words) for t in values(batch.column("_body"))], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), prints], names=[*keys, "fp"])
 
     return docs.select(*keys, F.col(text).cast("binary").alias("_body")).mapInArrow(run, schema)
@@ -74,22 +74,24 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     Pigeonhole: fingerprints that differ in at most blocks - clean bits agree on `clean` blocks at least, so joining
     on every choice of `clean` blocks finds them; the Hamming distance is verified in the join. A dense group would
     give all its pairs, so links are found in two passes that give the same components: first each node is linked to
-    the smallest and the largest fingerprint of its key, then pairs are sought only under keys that several
+    the smallest and the largest node of its key, then pairs are sought only under keys that several
     components still share, and only between components. verify: takes candidate pairs (a, b) and keeps the real ones.
     Returns (node, comp) for linked nodes.
     """
     verify = verify or (lambda pairs: pairs)
-    keyed = exploded(nodes, 7, 3)
-    ends = keyed.groupBy("k", "key").agg(F.min(F.struct("fp", "node")).alias("lo"), F.max(F.struct("fp", "node")).alias("hi")).where("lo.node <> hi.node")
-    near = [(_distance(F.col("fp"), F.col(f"{e}.fp")) <= radius) & (F.col("node") != F.col(f"{e}.node")) for e in ("lo", "hi")]
+    keyed = exploded(spread(nodes, "node"), 7, 3)
+    ends = keyed.groupBy("k", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    for e in ("lo", "hi"):
+        ends = ends.join(nodes.select(F.col("node").alias(e), F.col("fp").alias(f"{e}_fp")), e)
+    near = [(_distance(F.col("fp"), F.col(f"{e}_fp")) <= radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
     n, e = keyed.alias("n"), ends.alias("e")
     stars = n.join(e, (F.col("n.k") == F.col("e.k")) & (F.col("n.key") == F.col("e.key")) & (near[0] | near[1]))
-    stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo.node")), F.when(near[1], F.col("hi.node")))).alias("other")).where("other is not null")
+    stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
     first = written(verify(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()), "stars")
     comp = written(components(first), "comp")
 
     labelled = nodes.join(comp, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp"))
-    keyed = exploded(labelled, blocks, clean)
+    keyed = exploded(spread(labelled, "node"), blocks, clean)
     mixed = keyed.groupBy("k", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "key")
     open_rows = keyed.join(mixed, ["k", "key"], "left_semi")
     x, y = open_rows.alias("x"), open_rows.alias("y")
@@ -106,7 +108,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     component but is never its name (null if the component has no id). Repeated rows give repeated rows.
     An empty table gives an empty result. Other columns are ignored, so clashing names do no harm.
     """
-    prints = written(with_fingerprint(docs.select(id_col, text), [id_col], text, words), "prints")
+    prints = written(with_fingerprint(docs.select(id_col, text), [id_col], text, words), "prints", TEXT_ROWS)
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     comp = link_components(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
@@ -133,7 +135,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Of repeated rows with the same id one stays. Rows with a null id stay only where their group has no other.
     """
     keyed = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    prints = written(with_fingerprint(keyed.select("_node", id_col, text), ["_node", id_col], text, words), "prints")
+    prints = written(with_fingerprint(keyed.select("_node", id_col, text), ["_node", id_col], text, words), "prints", TEXT_ROWS)
     nodes = prints.groupBy("_node").agg(F.min("fp").alias("fp"), F.min(id_col).alias("_id"), F.sum(F.col(id_col).isNull().cast("long")).alias("_nulls"))
     nodes = written(nodes.withColumnRenamed("_node", "node"), "nodes")
 
@@ -147,10 +149,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
         def run(batches):
             for batch in batches:
-                keep = [_jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+                keep = [_jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(values(batch.column("x")), values(batch.column("y")))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified", TEXT_ROWS)
 
     comp = link_components(nodes.select("node", "fp"), radius, blocks, clean, verify)
     named = nodes.join(comp, "node", "left").select("node", "_id", F.coalesce("comp", "node").alias("comp"))
