@@ -7,17 +7,10 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, written
+from .shared import SENT_ROWS, SPACES, sent_if_small, written
 from .simhash_dedup import _signed, block_masks
 
 WORDS = 5
-#: A side with at most this many rows of a few longs each (under 64 MB) may be sent to all tasks; a larger one is joined by shuffle.
-SENT_ROWS = 2_000_000
-
-
-def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """A broadcast hint for a written table whose rows were counted, and none beyond the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:

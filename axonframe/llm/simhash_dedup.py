@@ -10,10 +10,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TEXT_ROWS, components, spread, values, written
+from .shared import TEXT_ROWS, components, sent_if_small, spread, values, written
 
 SEED = 42  # the hash seed that the fingerprints are defined with
 BITS = 64
+#: Of near duplicates by similarity: 64-bit parts of a fingerprint; those of them whose bytes are blocks; bytes of a part.
+WIDE = 16
+KEYED = 4
+BYTES = 8
+#: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
+PARTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WIDE)], dtype=np.uint64)
+PRINTS, SAMPLES = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(KEYED)]
+SIGNED = [*PRINTS, *SAMPLES]
+
+
+def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each word shingle in order; with fewer words than a shingle has, the whole sequence is the one shingle."""
+    joined = b" ".join(tokens)
+    ends = list(accumulate(len(t) + 1 for t in tokens)) or [1]
+    k = max(1, min(words, len(tokens)))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[k - 1 :])), dtype="<u8", count=len(ends) - k + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes, as a signed number."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -23,17 +48,23 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     has, the whole sequence is the one shingle; without words (empty or null text) the fingerprint is 0.
     """
     tokens = (text or b"").lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    ends = list(accumulate((len(t) + 1 for t in tokens)))
-    k = min(words, len(tokens))
-    digest, total = xxhash.xxh64_intdigest, len(tokens) - k + 1
-    hashes = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[k - 1 :])), dtype="<u8", count=total)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, total, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+    return _majority(_shingle_hashes(tokens, words)) if tokens else 0
+
+
+def signature(text: bytes | None, words: int) -> tuple[list[int], list[int]]:
+    """SimHash of WIDE x 64 bits of the set of word shingles, and for each of the first KEYED parts of it the smallest
+    of the hashes that it was made of. Every part has hashes of its own. Texts without words have the one empty shingle.
+    """
+    hashes = np.unique(_shingle_hashes((text or b"").lower().split(), words))
+    ones, samples = np.zeros(WIDE * BITS, dtype=np.int64), np.full(WIDE, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        h = hashes[at : at + (1 << 12), None] + PARTS
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        samples = np.minimum(samples, h.min(axis=0))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist(), samples[:KEYED].view("<i8").tolist()
 
 
 def with_fingerprint(docs: DataFrame, keys: list[str], text: str = "text", words: int = 4) -> DataFrame:
@@ -68,7 +99,7 @@ def _distance(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
 
 
-def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: int = 3, verify=None) -> DataFrame:
+def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: int = 3) -> DataFrame:
     """Components of the nodes (node, fp) whose fingerprints differ in at most `radius` bits.
 
     Pigeonhole: fingerprints that differ in at most blocks - clean bits agree on `clean` blocks at least, so joining
@@ -78,8 +109,7 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     components still share, and only between components. verify: takes candidate pairs (a, b) and keeps the real ones.
     Returns (node, comp) for linked nodes.
     """
-    verify = verify or (lambda pairs: pairs)
-    keyed = exploded(spread(nodes, "node"), 7, 3)
+    keyed = exploded(spread(nodes, "node"), blocks, clean)
     ends = keyed.groupBy("k", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     for e in ("lo", "hi"):
         ends = ends.join(nodes.select(F.col("node").alias(e), F.col("fp").alias(f"{e}_fp")), e)
@@ -87,7 +117,7 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     n, e = keyed.alias("n"), ends.alias("e")
     stars = n.join(e, (F.col("n.k") == F.col("e.k")) & (F.col("n.key") == F.col("e.key")) & (near[0] | near[1]))
     stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
-    first = written(verify(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()), "stars")
+    first = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "stars")
     comp = written(components(first), "comp")
 
     labelled = nodes.join(comp, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp"))
@@ -96,7 +126,7 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     open_rows = keyed.join(mixed, ["k", "key"], "left_semi")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     cross = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (_distance(F.col("x.fp"), F.col("y.fp")) <= radius))
-    second = verify(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    second = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return components(first.select("a", "b").unionByName(second.select("a", "b")))
 
 
@@ -126,35 +156,112 @@ def _jaccard(a: bytes, b: bytes, words: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 12, blocks: int = 10, clean: int = 3) -> DataFrame:
+def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
+    """keys and the signature of each row: fingerprint parts f0, f1, ... and the samples m0, m1, ... that go with them."""
+    names = [*keys, *SIGNED]
+    schema = docs.select(*keys).schema
+    for name in SIGNED:
+        schema = schema.add(name, "long")
+
+    def run(batches):
+        for batch in batches:
+            signed = [[*prints, *samples] for prints, samples in (signature(t, words) for t in values(batch.column("_body")))]
+            columns = zip(*signed) if signed else [[]] * len(SIGNED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, type=pa.int64()) for c in columns)], names=names)
+
+    return docs.select(*keys, F.col(text).cast("binary").alias("_body")).mapInArrow(run, schema)
+
+
+def _block(row: str, part: int, byte: int) -> Column:
+    return F.shiftrightunsigned(f"{row}f{part}", 8 * byte).bitwiseAND(F.lit(255))
+
+
+def _near_keys(nodes: DataFrame, parts: range, *keep: str) -> DataFrame:
+    """One row for each node and block of the parts named: place is the block's number, key its bits and the part's sample."""
+    keys = [F.struct(F.lit(BYTES * i + j).alias("place"), F.xxhash64(F.lit(BYTES * i + j), f"m{i}", _block("", i, j)).alias("key")) for i in parts for j in range(BYTES)]
+    return spread(nodes, "node").select("node", *keep, F.explode(F.array(*keys)).alias("e")).select("node", *keep, "e.place", "e.key")
+
+
+def _wide_distance(x: str, y: str) -> Column:
+    return sum((_distance(F.col(f"{x}f{i}"), F.col(f"{y}f{i}")) for i in range(1, WIDE)), _distance(F.col(f"{x}f0"), F.col(f"{y}f0")))
+
+
+def _first_place(x: str, y: str) -> Column:
+    """Number of the first block that two nodes are keyed alike under."""
+    return F.coalesce(*[F.when((F.col(f"{x}m{i}") == F.col(f"{y}m{i}")) & (_block(x, i, j) == _block(y, i, j)), F.lit(BYTES * i + j)) for i in range(KEYED) for j in range(BYTES)])
+
+
+def _jaccard(a: bytes, b: bytes, words: int) -> float:
+    def shingles(t: bytes) -> set:
+        w = t.lower().split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose texts (node, body) have sets of word shingles of at least that Jaccard similarity."""
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "body": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "body": "y"}), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = [_jaccard(x, y, words) >= similarity for x, y in zip(values(batch.column("x")), values(batch.column("y")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", TEXT_ROWS)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 186) -> DataFrame:
     """Keep one row of each group of near duplicates: the one with the smallest id. Columns stay as they are.
 
-    Candidates are SimHash pairs within `radius` bits that share `clean` of `blocks` blocks (certain up to
-    blocks - clean bits); a pair counts when the Jaccard similarity of its sets of word shingles is at least
-    `similarity`. Equal texts are always one group; null and empty texts are equal, and one of them stays.
-    Of repeated rows with the same id one stays. Rows with a null id stay only where their group has no other.
+    Texts are near duplicates when the Jaccard similarity of their sets of word shingles is at least `similarity`. At
+    0.8 a SimHash differs in about 15 % of its bits (155 of 1,024, with a deviation of 11.5), so the fingerprint here is
+    long and its blocks are bytes of its first 256 bits. A byte alone would be a key that unrelated texts share, so it
+    is a key together with the smallest shingle hash of its 64 bits, which near duplicates share with the probability
+    of their similarity. Pairs are found if any of the 32 keys is the same (by calculation, at a similarity of 0.8 all
+    but 0.5 % of pairs, at 0.9 all but 0.02 %) and at most `radius` bits differ (at 0.8 all but 0.4 %), and count if
+    the texts have the similarity.
+
+    Links are sought in three rounds that never give all pairs of a dense group: each node with the smallest and the
+    largest of its key; then, twice, pairs of different components under the keys of half of the fingerprint. A pair
+    is a candidate under the first of its keys only.
+
+    Equal texts are always one group; null and empty texts are equal, and one of them stays. Of repeated rows with the
+    same id one stays. Rows with a null id stay only where their group has no other. An empty table gives an empty
+    result.
     """
     keyed = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    prints = written(with_fingerprint(keyed.select("_node", id_col, text), ["_node", id_col], text, words), "prints", TEXT_ROWS)
-    nodes = prints.groupBy("_node").agg(F.min("fp").alias("fp"), F.min(id_col).alias("_id"), F.sum(F.col(id_col).isNull().cast("long")).alias("_nulls"))
+    prints = written(with_signature(keyed.select("_node", id_col, text), ["_node", id_col], text, words), "prints", TEXT_ROWS)
+    nodes = prints.groupBy("_node").agg(*[F.min(p).alias(p) for p in SIGNED], F.min(id_col).alias("_id"))
     nodes = written(nodes.withColumnRenamed("_node", "node"), "nodes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "_id"), "node")
-        ids = used.select(F.col("node").alias("_n"), F.col("_id").alias("_i"))
-        texts = keyed.join(ids, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i"))).select("_n", F.col(text).cast("binary").alias("_body")).dropDuplicates(["_n"])
-        texts = written(texts, "texts")
-        both = pairs.join(texts.withColumnsRenamed({"_n": "a", "_body": "x"}), "a").join(texts.withColumnsRenamed({"_n": "b", "_body": "y"}), "b")
-
-        def run(batches):
-            for batch in batches:
-                keep = [_jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(values(batch.column("x")), values(batch.column("y")))]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-
-        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified", TEXT_ROWS)
+    keys = _near_keys(nodes, range(KEYED))
+    ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
+    stars = written(keys.join(ends, "key").select("node", "lo", "hi").distinct(), "stars")
+    alike = written(nodes.join(stars.select("node").distinct(), "node"), "alike")  # all others have no near duplicate
+    pairs = stars.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    side = alike.select("node", *PRINTS)
+    pairs = pairs.join(side.select(*[F.col(c).alias("a" if c == "node" else f"x{c}") for c in side.columns]), "a").join(side.select(*[F.col(c).alias("b" if c == "node" else f"y{c}") for c in side.columns]), "b")
+    pairs = written(pairs.where(_wide_distance("x", "y") <= radius).select("a", "b"), "pairs")
+
+    ids = sent_if_small(alike.select(F.col("node").alias("_n"), F.col("_id").alias("_i")))
+    bodies = keyed.join(ids, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i"))).select(F.col("_n").alias("node"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    bodies = written(bodies.dropDuplicates(["node"]), "bodies")
+    links = similar(pairs, bodies, words, similarity)
+    comp = written(components(links), "comp")
+
+    for half in (range(KEYED // 2), range(KEYED // 2, KEYED)):
+        labelled = written(alike.join(comp, "node", "left").select("node", *SIGNED, F.coalesce("comp", "node").alias("comp")), "labelled")
+        keys = _near_keys(labelled, half, "comp")
+        mixed = written(keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        rows = written(keys.join(mixed, "key", "left_semi").join(labelled.select("node", *SIGNED), "node"), "rows")
+        x, y = (rows.select("key", "place", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIGNED)]) for s in "xy")
+        cross = x.join(y, (x["key"] == y["key"]) & (x["place"] == y["place"]) & (F.col("xcomp") < F.col("ycomp")) & (_wide_distance("x", "y") <= radius) & (_first_place("x", "y") == x["place"]))
+        pairs = written(cross.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")), "pairs")
+        links = links.unionByName(similar(pairs, bodies, words, similarity))
+        comp = written(components(links), "comp")
 
-    comp = link_components(nodes.select("node", "fp"), radius, blocks, clean, verify)
     named = nodes.join(comp, "node", "left").select("node", "_id", F.coalesce("comp", "node").alias("comp"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "node")).alias("b")).select(F.col("b.node").alias("_n"), F.col("b._id").alias("_i"))
     repeats = prints.groupBy("_node", id_col).agg(F.count(F.lit(1)).alias("_c")).select(F.col("_node").alias("_n"), F.col(id_col).alias("_i"), "_c")

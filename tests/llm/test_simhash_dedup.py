@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from axonframe.llm.shared import components
-from axonframe.llm.simhash_dedup import drop_near_duplicates, fingerprint, simhash_components
+from axonframe.llm.simhash_dedup import drop_near_duplicates, fingerprint, signature, simhash_components
 
 SCHEMA = "doc_id long, text string, component_id string, fp long"
 
@@ -83,3 +83,37 @@ def test_drop_near_duplicates(spark):
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [2, 3, 11, 12]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows = []
+    for size, copies, changes in ((150, 60, 12), (400, 25, 9), (30, 10, 1), (4, 3, 0), (0, 2, 0)):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randint(0, changes)):
+                words[rng.randrange(size)] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(500 + i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(60)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {root for root in union_find(sets, links).values()}
+    df = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in drop_near_duplicates(df).collect()} == want
+
+
+def test_signatures_of_alike_texts():
+    a = [f"x{i}" for i in range(500)]
+    b = ["other" if i in (100, 300) else w for i, w in enumerate(a)]  # similarity 486 / 506
+    one, two, far = (signature(" ".join(t).encode(), 5)[0] for t in (a, b, a[::-1]))
+    differ = lambda x, y: sum((u ^ v).bit_count() if u ^ v >= 0 else 64 - (~(u ^ v)).bit_count() for u, v in zip(x, y))
+    assert differ(one, two) < 120 and differ(one, far) > 400
+    assert signature(None, 5) == signature(b"", 5) == signature(b" \n", 5)
+    assert signature(b"a a a a a a a a a", 5) == signature(b"a a a a a", 5)  # sets: repeats do not count
