@@ -238,12 +238,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     keys = _near_keys(nodes, range(KEYED))
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
-    stars = written(keys.join(ends, "key").select("node", "lo", "hi").distinct(), "stars")
-    alike = written(nodes.join(stars.select("node").distinct(), "node"), "alike")  # all others have no near duplicate
-    pairs = stars.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = alike.select("node", *PRINTS)
-    pairs = pairs.join(side.select(*[F.col(c).alias("a" if c == "node" else f"x{c}") for c in side.columns]), "a").join(side.select(*[F.col(c).alias("b" if c == "node" else f"y{c}") for c in side.columns]), "b")
-    pairs = written(pairs.where(_wide_distance("x", "y") <= radius).select("a", "b"), "pairs")
+    shared = written(keys.join(ends.select("key"), "key").select("node", "key"), "shared")
+    alike = written(nodes.join(shared.select("node").distinct(), "node"), "alike")  # all others have no near duplicate
+    for e in ("lo", "hi"):
+        ends = ends.join(alike.select(F.col("node").alias(e), *[F.col(p).alias(e + p) for p in PRINTS]), e)
+    near = [(_wide_distance("", e) <= radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
+    n, e = shared.join(alike.select("node", *PRINTS), "node").withColumnRenamed("key", "node_key"), ends
+    stars = n.join(e, (F.col("node_key") == F.col("key")) & (near[0] | near[1]))
+    stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
+    pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
 
     ids = sent_if_small(alike.select(F.col("node").alias("_n"), F.col("_id").alias("_i")))
     bodies = keyed.join(ids, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i"))).select(F.col("_n").alias("node"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
