@@ -63,6 +63,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     the item's own, so only stretches of a document with that many of its shingles are cut into windows. This loses
     nothing, and the table of the items' shingles is all that every document has to be held against.
 
+    A document with fewer shingles than the item has is one window, whole, and is verified without its SimHash, so
+    its distance may be over `radius`. It must have similarity x n of the item's n shingles.
+
     Items with fewer than `words` words have no shingle and are found nowhere, nor is anything in documents as short;
     null texts are empty. Equal items are all reported. Null ids of documents are kept; a null item_id is left out.
     Repeated documents are worked once, and repeated rows of a document are reported once. Empty tables give an empty
@@ -82,13 +85,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     runs = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.get("at", i + F.col("need") - 1) - F.get("at", i) < F.col("n"))
     starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("n") + 1), F.get("at", i))))
     windows = places.withColumn("need", need).where(F.size("at") >= F.col("need")).select("doc_key", "n", F.explode(F.array_distinct(starts)).alias("start")).distinct()
+    whole = places.where((F.size("at") >= F.ceil(F.col("n") * similarity - F.lit(1e-9))) & (F.array_max("at") < F.col("n") - 1)).select("doc_key", "item_id", "n")
+    windows = windows.unionByName(whole.select("doc_key", "n", F.lit(0).alias("start"))).distinct()  # how short a document is shows once it is cut
     windows = written(windows.groupBy("doc_key").agg(F.collect_list(F.struct("n", "start")).alias("cut")), "windows")
 
     one = members.groupBy("doc_key").agg(F.min("doc_id").alias("_id")).withColumnRenamed("doc_key", "_key")
     chosen = written(windows.join(one, F.col("doc_key") == F.col("_key")).select("_key", "_id", "cut"), "chosen")
     texts = keyed.join(sent_if_small(chosen, SENT_ROWS // 20), (F.col("doc_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     cut = texts.select("doc_key", "all", F.explode("cut").alias("w")).select("doc_key", F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("window"))
-    cut = cut.where(F.size("window") == F.col("n")).dropDuplicates(["doc_key", "n", "start"])
+    cut = cut.where((F.size("window") == F.col("n")) | ((F.col("start") == 0) & (F.size("window") < F.col("n")))).dropDuplicates(["doc_key", "n", "start"])
     cut = written(cut.withColumn("fp", simhash(F.col("window"))), "cut")
 
     masks = [_signed(m) for m in block_masks(8)]
@@ -98,9 +103,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     probes = items.select("item_id", "n", "item_fp", near).select("item_id", "n", "item_fp", "e.block", F.explode("e.bits").alias("bits")).distinct()
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = cut.select("doc_key", "n", "start", "fp", by_block).join(probes, ["n", "block", "bits"]).where(distance <= radius).select("doc_key", "n", "start", "item_id", distance.alias("distance")).distinct()
+    brief = cut.where(F.size("window") < F.col("n")).join(whole, ["doc_key", "n"]).join(items.select("item_id", "n", "item_fp"), ["item_id", "n"])
+    pairs = pairs.unionByName(brief.select("doc_key", "n", "start", "item_id", distance.alias("distance"))).distinct()
     full = pairs.join(cut.select("doc_key", "n", "start", "window"), ["doc_key", "n", "start"]).join(items.select("item_id", "n", "item"), ["item_id", "n"])
     scored = full.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity - 1e-12)
-    best = scored.groupBy("doc_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n", "distance")).alias("b"))
+    best = scored.groupBy("doc_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.size("window").alias("n"), "distance")).alias("b"))
     best = best.select("doc_key", "item_id", F.col("b.start").alias("start"), (F.col("b.n") + words - 1).alias("n_words"), (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("int").alias("distance"))
     return members.join(best, "doc_key").select("doc_id", "doc_key", "item_id", "start", "n_words", "similarity", "distance")
 
