@@ -243,6 +243,12 @@ def k_corr_4(spark, sf_dir):
     return stats.k_corr(testdata.spins(spark, sf_dir, 8), 4).select("subset", r6("corr").alias("corr"))
 
 
+@query(""", few AS (SELECT * FROM spin WHERE i < 8) SELECT [a.i, b.i, c.i, d.i, e.i] AS subset, round(avg(a.s * b.s * c.s * d.s * e.s), 6) AS corr FROM few a JOIN few b ON a.state = b.state AND a.i < b.i
+  JOIN few c ON a.state = c.state AND b.i < c.i JOIN few d ON a.state = d.state AND c.i < d.i JOIN few e ON a.state = e.state AND d.i < e.i GROUP BY ALL""")
+def k_corr_5(spark, sf_dir):
+    return stats.k_corr(testdata.spins(spark, sf_dir, 8), 5).select("subset", r6("corr").alias("corr"))
+
+
 ENERGY = """SELECT {k}, round(sum(e), 6) AS energy FROM (
   SELECT {k}, -h * s AS e FROM {t} JOIN model_h USING (i) UNION ALL
   SELECT {ka}, -cpl * a.s * b.s FROM {t} a JOIN {t} b ON {on} AND a.i < b.i JOIN model_j m ON m.i = a.i AND m.j = b.i) GROUP BY ALL"""
@@ -322,14 +328,14 @@ def _chains(spark: SparkSession, sf_dir: str, cells: int = 10) -> tuple[DataFram
     """Each label's first state, and the model of all of them."""
     spins = testdata.spins(spark, sf_dir, cells)
     states = spins.groupBy("label", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"))
-    init = states.where("label < 3").groupBy("label").agg(F.min_by("s", "state").alias("state"))
+    init = states.groupBy("label").agg(F.min_by("s", "state").alias("state"))
     h, j = _model(spark, sf_dir, cells)
     return init, init.select("label").crossJoin(F.broadcast(energy.model_arrays(h, j)))  # one row
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     init, model = _chains(spark, sf_dir)
-    return sampling.metropolis_sweep(init, model, sampling.grid(spark, sampling.adaptive_temperatures()), ["label"], steps=10_000, keep_after=1_000)
+    return sampling.metropolis_sweep(init, model, sampling.grid(spark, sampling.adaptive_temperatures()), ["label"])
 
 
 @query()
@@ -348,14 +354,14 @@ def system_size(spark, sf_dir):
     parts = []
     for cells in (4, 8, 12):
         init, model = _chains(spark, sf_dir, cells)
-        parts.append(reports.system_size(init, model, temps, ["label"], steps=5_000, keep_after=500))
+        parts.append(reports.system_size(init, model, temps, ["label"]))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.groupBy("cells", "temp_idx", "temp").agg(F.avg("mean_e").alias("mean_e"), F.avg("heat_capacity").alias("heat_capacity"), F.avg("magnetization").alias("magnetization"))
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spins = testdata.spins(spark, sf_dir, 6).where("label < 2")
-    return spins, fit.fit_ising(spins, ["label"], sample_size=4_000, maxiter=10, eta=0.05)
+    spins = testdata.spins(spark, sf_dir)
+    return spins, fit.fit_ising(spins, ["label"])
 
 
 @query()
@@ -366,7 +372,7 @@ def mch_fit(spark, sf_dir):
 @query()
 def verify_fit(spark, sf_dir):
     spins, model = _fit(spark, sf_dir)
-    return fit.verify_fit(spins, model, ["label"], (3, 4), 2_000)
+    return fit.verify_fit(spins, model, ["label"])
 
 
 NAMES = ("s10", "s2", "s1_b", "s1_a", "Joker_060102_x10", "Joker_060102_x9", "abc", "a007b")
