@@ -21,7 +21,10 @@ BYTES = 8
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
 PARTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WIDE)], dtype=np.uint64)
 PRINTS, SAMPLES = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(KEYED)]
-SIGNED = [*PRINTS, *SAMPLES]
+SIZED = [*PRINTS, "size"]
+SIGNED = [*SIZED, *SAMPLES]
+#: Texts with at most FEW shingles differ in more bits, since a majority of an even number is strict: up to FAR of them.
+FEW, FAR = 64, 260
 
 
 def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -55,7 +58,11 @@ def signature(text: bytes | None, words: int) -> tuple[list[int], list[int]]:
     """SimHash of WIDE x 64 bits of the set of word shingles, and for each of the first KEYED parts of it the smallest
     of the hashes that it was made of. Every part has hashes of its own. Texts without words have the one empty shingle.
     """
-    hashes = np.unique(_shingle_hashes((text or b"").lower().split(), words))
+    return signature_of(np.unique(_shingle_hashes((text or b"").lower().split(), words)))
+
+
+def signature_of(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """The signature of a set of shingle hashes."""
     ones, samples = np.zeros(WIDE * BITS, dtype=np.int64), np.full(WIDE, ~np.uint64(0))
     for at in range(0, len(hashes), 1 << 12):
         h = hashes[at : at + (1 << 12), None] + PARTS
@@ -157,7 +164,7 @@ def _jaccard(a: bytes, b: bytes, words: int) -> float:
 
 
 def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
-    """keys and the signature of each row: fingerprint parts f0, f1, ... and the samples m0, m1, ... that go with them."""
+    """keys and the signature of each row: fingerprint parts f0, f1, ..., the number of shingles and the samples m0, m1, ... that go with them."""
     names = [*keys, *SIGNED]
     schema = docs.select(*keys).schema
     for name in SIGNED:
@@ -165,7 +172,8 @@ def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> D
 
     def run(batches):
         for batch in batches:
-            signed = [[*prints, *samples] for prints, samples in (signature(t, words) for t in values(batch.column("_body")))]
+            sets = (np.unique(_shingle_hashes((t or b"").lower().split(), words)) for t in values(batch.column("_body")))
+            signed = [[*prints, len(h), *samples] for h, (prints, samples) in ((h, signature_of(h)) for h in sets)]
             columns = zip(*signed) if signed else [[]] * len(SIGNED)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, type=pa.int64()) for c in columns)], names=names)
 
@@ -186,6 +194,11 @@ def _wide_distance(x: str, y: str) -> Column:
     return sum((_distance(F.col(f"{x}f{i}"), F.col(f"{y}f{i}")) for i in range(1, WIDE)), _distance(F.col(f"{x}f0"), F.col(f"{y}f0")))
 
 
+def _close(x: str, y: str, radius: int) -> Column:
+    """Whether two signed rows differ in at most `radius` bits, or FAR where either has few shingles."""
+    return _wide_distance(x, y) <= F.when(F.least(f"{x}size", f"{y}size") <= FEW, F.lit(max(radius, FAR))).otherwise(F.lit(radius))
+
+
 def _first_place(x: str, y: str) -> Column:
     """Number of the first block that two nodes are keyed alike under."""
     return F.coalesce(*[F.when((F.col(f"{x}m{i}") == F.col(f"{y}m{i}")) & (_block(x, i, j) == _block(y, i, j)), F.lit(BYTES * i + j)) for i in range(KEYED) for j in range(BYTES)])
@@ -220,8 +233,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     long and its blocks are bytes of its first 256 bits. A byte alone would be a key that unrelated texts share, so it
     is a key together with the smallest shingle hash of its 64 bits, which near duplicates share with the probability
     of their similarity. Pairs are found if any of the 32 keys is the same (by calculation, at a similarity of 0.8 all
-    but 0.5 % of pairs, at 0.9 all but 0.02 %) and at most `radius` bits differ (at 0.8 all but 0.4 %), and count if
-    the texts have the similarity.
+    but 0.5 % of pairs, at 0.9 all but 0.02 %) and at most `radius` bits differ (at 0.8 all but 0.4 %; FAR bits
+    where either text has at most FEW shingles), and count if the texts have the similarity.
 
     Links are sought in three rounds that never give all pairs of a dense group: each node with the smallest and the
     largest of its key; then, twice, pairs of different components under the keys of half of the fingerprint. A pair
@@ -241,9 +254,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     shared = written(keys.join(ends.select("key"), "key").select("node", "key"), "shared")
     alike = written(nodes.join(shared.select("node").distinct(), "node"), "alike")  # all others have no near duplicate
     for e in ("lo", "hi"):
-        ends = ends.join(alike.select(F.col("node").alias(e), *[F.col(p).alias(e + p) for p in PRINTS]), e)
-    near = [(_wide_distance("", e) <= radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
-    n, e = shared.join(alike.select("node", *PRINTS), "node").withColumnRenamed("key", "node_key"), ends
+        ends = ends.join(alike.select(F.col("node").alias(e), *[F.col(p).alias(e + p) for p in SIZED]), e)
+    near = [_close("", e, radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
+    n, e = shared.join(alike.select("node", *SIZED), "node").withColumnRenamed("key", "node_key"), ends
     stars = n.join(e, (F.col("node_key") == F.col("key")) & (near[0] | near[1]))
     stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
     pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
@@ -260,7 +273,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         mixed = written(keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
         rows = written(keys.join(mixed, "key", "left_semi").join(labelled.select("node", *SIGNED), "node"), "rows")
         x, y = (rows.select("key", "place", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIGNED)]) for s in "xy")
-        cross = x.join(y, (x["key"] == y["key"]) & (x["place"] == y["place"]) & (F.col("xcomp") < F.col("ycomp")) & (_wide_distance("x", "y") <= radius) & (_first_place("x", "y") == x["place"]))
+        cross = x.join(y, (x["key"] == y["key"]) & (x["place"] == y["place"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius) & (_first_place("x", "y") == x["place"]))
         pairs = written(cross.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")), "pairs")
         links = links.unionByName(similar(pairs, bodies, words, similarity))
         comp = written(components(links), "comp")

@@ -117,3 +117,14 @@ def test_signatures_of_alike_texts():
     assert differ(one, two) < 120 and differ(one, far) > 400
     assert signature(None, 5) == signature(b"", 5) == signature(b" \n", 5)
     assert signature(b"a a a a a a a a a", 5) == signature(b"a a a a a", 5)  # sets: repeats do not count
+
+
+def test_short_texts_at_the_threshold_are_near_duplicates(spark):
+    rng = random.Random(12)
+    docs = []
+    for d in range(0, 400, 2):  # 4 shingles of 5: a similarity of 0.8
+        w = [f"v{rng.randrange(10**6)}" for _ in range(9)]
+        docs += [(d, " ".join(w[:8])), (d + 1, " ".join(w))]
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    print("kept", len(kept))
+    assert set(range(0, 400, 2)) <= kept and len(kept) <= 210
