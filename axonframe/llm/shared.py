@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a folder of our own in
+    local mode, where all run on this machine, and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="axonframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -73,6 +78,18 @@ def values(column) -> Iterator:
         yield from column.slice(at, 256).to_pylist()
 
 
+def lists(column) -> Iterator[np.ndarray]:
+    """The lists of numbers of an Arrow column one by one, without a copy."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (flat[lo:hi] for lo, hi in zip(offsets, offsets[1:]))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (f"_{name}{n or ''}" for n in range(len(taken) + 1)) if x not in taken) for name in names]
+
+
 def _edge_state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)).alias("h")).first()
     return row["n"], row["h"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -10,21 +11,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TEXT_ROWS, components, sent_if_small, spread, values, written
+from .shared import SENT_ROWS, TEXT_ROWS, components, fresh, lists, sent_if_small, spread, values, written
 
 SEED = 42  # the hash seed that the fingerprints are defined with
 BITS = 64
-#: Of near duplicates by similarity: 64-bit parts of a fingerprint; those of them whose bytes are blocks; bytes of a part.
+#: Of near duplicates by similarity: 64-bit parts of a fingerprint, and those of them whose smallest hash is a sample.
 WIDE = 16
-KEYED = 4
-BYTES = 8
+KEYED = 12
+#: Components that a key may have before it is made longer by another sample.
+CROWD = 64
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
 PARTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WIDE)], dtype=np.uint64)
 PRINTS, SAMPLES = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(KEYED)]
 SIZED = [*PRINTS, "size"]
 SIGNED = [*SIZED, *SAMPLES]
-#: Texts with at most FEW shingles differ in more bits, since a majority of an even number is strict: up to FAR of them.
-FEW, FAR = 64, 260
+#: Bits of WIDE x 64 that near duplicates may differ in, by the smaller number of shingles: up to FEW of them, and more.
+#: Few shingles differ in more bits, since a majority of an even number is strict.
+FEW, FAR, NEAR = 64, 470, 400
 
 
 def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -113,7 +116,7 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     on every choice of `clean` blocks finds them; the Hamming distance is verified in the join. A dense group would
     give all its pairs, so links are found in two passes that give the same components: first each node is linked to
     the smallest and the largest node of its key, then pairs are sought only under keys that several
-    components still share, and only between components. verify: takes candidate pairs (a, b) and keeps the real ones.
+    components still share, and only between components.
     Returns (node, comp) for linked nodes.
     """
     keyed = exploded(spread(nodes, "node"), blocks, clean)
@@ -154,15 +157,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _jaccard(a: bytes, b: bytes, words: int) -> float:
-    def shingles(t: bytes) -> set:
-        w = t.lower().split()
-        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
 def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
     """keys and the signature of each row: fingerprint parts f0, f1, ..., the number of shingles and the samples m0, m1, ... that go with them."""
     names = [*keys, *SIGNED]
@@ -180,14 +174,17 @@ def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> D
     return docs.select(*keys, F.col(text).cast("binary").alias("_body")).mapInArrow(run, schema)
 
 
-def _block(row: str, part: int, byte: int) -> Column:
-    return F.shiftrightunsigned(f"{row}f{part}", 8 * byte).bitwiseAND(F.lit(255))
+def _near_keys(nodes: DataFrame) -> DataFrame:
+    """One row for each node and sample: key is the sample with its number, last the number."""
+    keys = [F.struct(F.xxhash64(F.lit(i), F.col(m)).alias("key"), F.lit(i).alias("last")) for i, m in enumerate(SAMPLES)]
+    return spread(nodes, "node").select("node", F.explode(F.array(*keys)).alias("e")).select("node", "e.key", "e.last")
 
 
-def _near_keys(nodes: DataFrame, parts: range, *keep: str) -> DataFrame:
-    """One row for each node and block of the parts named: place is the block's number, key its bits and the part's sample."""
-    keys = [F.struct(F.lit(BYTES * i + j).alias("place"), F.xxhash64(F.lit(BYTES * i + j), f"m{i}", _block("", i, j)).alias("key")) for i in parts for j in range(BYTES)]
-    return spread(nodes, "node").select("node", *keep, F.explode(F.array(*keys)).alias("e")).select("node", *keep, "e.place", "e.key")
+def _longer_keys(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (node, comp, key, last) under crowded keys, each with every sample of a higher number added to its key."""
+    more = [F.struct(F.xxhash64(F.col("key"), F.lit(i), F.col(m)).alias("key"), F.lit(i).alias("last")) for i, m in enumerate(SAMPLES)]
+    longer = rows.join(nodes.select("node", *SAMPLES), "node").select("node", "comp", F.explode(F.slice(F.array(*more), F.col("last") + 2, KEYED)).alias("e"))
+    return longer.select("node", "comp", "e.key", "e.last")
 
 
 def _wide_distance(x: str, y: str) -> Column:
@@ -199,94 +196,127 @@ def _close(x: str, y: str, radius: int) -> Column:
     return _wide_distance(x, y) <= F.when(F.least(f"{x}size", f"{y}size") <= FEW, F.lit(max(radius, FAR))).otherwise(F.lit(radius))
 
 
-def _first_place(x: str, y: str) -> Column:
-    """Number of the first block that two nodes are keyed alike under."""
-    return F.coalesce(*[F.when((F.col(f"{x}m{i}") == F.col(f"{y}m{i}")) & (_block(x, i, j) == _block(y, i, j)), F.lit(BYTES * i + j)) for i in range(KEYED) for j in range(BYTES)])
+def jaccard(x: np.ndarray, y: np.ndarray, words: int) -> float:
+    """Shingle hashes that two texts share, of all that either has; sets."""
+    x, y = np.unique(x), np.unique(y)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
+def coverage(x: np.ndarray, y: np.ndarray, words: int) -> float:
+    """The part of a text's words that lie in shingles which the other text has too; the smaller of both texts' parts.
 
+    x, y: hashes of the word shingles in order. A text of at most `words` words is one shingle.
+    """
+
+    def part(one: np.ndarray, other: np.ndarray) -> float:
+        found = np.isin(one, other)
+        return float(found[0]) if len(found) == 1 else float((np.convolve(found, np.ones(words)) > 0.5).mean())
+
+    return min(part(x, y), part(y, x))
 
-def _jaccard(a: bytes, b: bytes, words: int) -> float:
-    def shingles(t: bytes) -> set:
-        w = t.lower().split()
-        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
+MEASURES = {"jaccard": jaccard, "coverage": coverage}
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose texts (node, body) have sets of word shingles of at least that Jaccard similarity."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "body": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "body": "y"}), "b")
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """Of pairs (a, b) of nodes (node, sha, first_id) those whose texts (sha, id, body) are that similar.
+
+    Only the texts of nodes that stand in a pair are read, and what goes to the pairs is the hashes of their shingles.
+    """
+    measured = MEASURES[measure]
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("sha").alias("of_sha"), "first_id"), "node")
+    asked = sent_if_small(written(asked, "asked"), SENT_ROWS // 8)
+    bodies = texts.join(asked, (F.col("sha") == F.col("of_sha")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", F.col("body").cast("binary").alias("_body"))
+
+    def digest(batches):
+        for batch in batches:
+            hashes = [_shingle_hashes((t or b"").lower().split(), words).view(np.int64) for t in values(batch.column("_body"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, type=pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    digests = written(bodies.mapInArrow(digest, "node long, hashes array<long>"), "shingles", TEXT_ROWS // 4).dropDuplicates(["node"])
+    both = pairs.join(digests.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(digests.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
 
     def run(batches):
         for batch in batches:
-            keep = [_jaccard(x, y, words) >= similarity for x, y in zip(values(batch.column("x")), values(batch.column("y")))]
+            keep = [measured(x, y, words) >= similarity for x, y in zip(lists(batch.column("x")), lists(batch.column("y")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", TEXT_ROWS)
+    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", TEXT_ROWS // 4)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 186) -> DataFrame:
-    """Keep one row of each group of near duplicates: the one with the smallest id. Columns stay as they are.
+def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, measure: str, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that join the similar ones of nodes (node, sha, first_id, SIGNED) to components.
 
-    Texts are near duplicates when the Jaccard similarity of their sets of word shingles is at least `similarity`. At
-    0.8 a SimHash differs in about 15 % of its bits (155 of 1,024, with a deviation of 11.5), so the fingerprint here is
-    long and its blocks are bytes of its first 256 bits. A byte alone would be a key that unrelated texts share, so it
-    is a key together with the smallest shingle hash of its 64 bits, which near duplicates share with the probability
-    of their similarity. Pairs are found if any of the 32 keys is the same (by calculation, at a similarity of 0.8 all
-    but 0.5 % of pairs, at 0.9 all but 0.02 %) and at most `radius` bits differ (at 0.8 all but 0.4 %; FAR bits
-    where either text has at most FEW shingles), and count if the texts have the similarity.
-
-    Links are sought in three rounds that never give all pairs of a dense group: each node with the smallest and the
-    largest of its key; then, twice, pairs of different components under the keys of half of the fingerprint. A pair
-    is a candidate under the first of its keys only.
-
-    Equal texts are always one group; null and empty texts are equal, and one of them stays. Of repeated rows with the
-    same id one stays. Rows with a null id stay only where their group has no other. An empty table gives an empty
-    result.
+    First each node with the smallest and the largest of each of its keys, so that a dense group is linked without its
+    pairs. Then pairs of different components under keys that at most `crowd` components have; a key that more have is
+    made longer by each of the samples after its last until that holds, so the pairs under a key are at most `crowd`
+    times its rows. A pair under crowded keys alone needs as many samples in common as make a key that is not.
     """
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    prints = written(with_signature(keyed.select("_node", id_col, text), ["_node", id_col], text, words), "prints", TEXT_ROWS)
-    nodes = prints.groupBy("_node").agg(*[F.min(p).alias(p) for p in SIGNED], F.min(id_col).alias("_id"))
-    nodes = written(nodes.withColumnRenamed("_node", "node"), "nodes")
-
-    keys = _near_keys(nodes, range(KEYED))
+    keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
-    shared = written(keys.join(ends.select("key"), "key").select("node", "key"), "shared")
-    alike = written(nodes.join(shared.select("node").distinct(), "node"), "alike")  # all others have no near duplicate
+    shared = written(keys.join(ends.select("key"), "key", "left_semi"), "shared")
+    alike = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "alike")  # all others have no near duplicate
     for e in ("lo", "hi"):
         ends = ends.join(alike.select(F.col("node").alias(e), *[F.col(p).alias(e + p) for p in SIZED]), e)
     near = [_close("", e, radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
-    n, e = shared.join(alike.select("node", *SIZED), "node").withColumnRenamed("key", "node_key"), ends
+    n, e = shared.select("node", F.col("key").alias("node_key")).join(alike.select("node", *SIZED), "node"), ends
     stars = n.join(e, (F.col("node_key") == F.col("key")) & (near[0] | near[1]))
     stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
     pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    links = similar(pairs, nodes, texts, words, similarity, measure)
 
-    ids = sent_if_small(alike.select(F.col("node").alias("_n"), F.col("_id").alias("_i")))
-    bodies = keyed.join(ids, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i"))).select(F.col("_n").alias("node"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    bodies = written(bodies.dropDuplicates(["node"]), "bodies")
-    links = similar(pairs, bodies, words, similarity)
     comp = written(components(links), "comp")
+    rows, found = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", "last"), []
+    for _ in range(KEYED):
+        held = written(rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1"), "held")
+        rows = written(rows.join(held, "key"), "rows")
+        x, y = (rows.where(F.col("comps") <= crowd).join(alike.select("node", *SIZED), "node").select("key", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIZED)]) for s in "xy")
+        cross = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius))
+        found.append(written(cross.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct(), "pairs"))
+        crowded = rows.where((F.col("comps") > crowd) & (F.col("last") < KEYED - 1))
+        if crowded.isEmpty():
+            break
+        rows = _longer_keys(crowded, alike)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    return links.unionByName(similar(written(pairs, "pairs"), nodes, texts, words, similarity, measure))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = NEAR, measure: str = "jaccard") -> DataFrame:
+    """Keep one row of each group of near duplicates: the one with the smallest id. Columns stay as they are.
+
+    Texts are near duplicates when the similarity of their word shingles is at least `similarity`. measure says which:
+    `jaccard`, of the sets of shingles; or `coverage`, the part of a text's words that lie in shingles which the other
+    text has too, for both texts. One changed word in twenty leaves a coverage of 0.95 and a Jaccard similarity of 0.63.
 
-    for half in (range(KEYED // 2), range(KEYED // 2, KEYED)):
-        labelled = written(alike.join(comp, "node", "left").select("node", *SIGNED, F.coalesce("comp", "node").alias("comp")), "labelled")
-        keys = _near_keys(labelled, half, "comp")
-        mixed = written(keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        rows = written(keys.join(mixed, "key", "left_semi").join(labelled.select("node", *SIGNED), "node"), "rows")
-        x, y = (rows.select("key", "place", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIGNED)]) for s in "xy")
-        cross = x.join(y, (x["key"] == y["key"]) & (x["place"] == y["place"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius) & (_first_place("x", "y") == x["place"]))
-        pairs = written(cross.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")), "pairs")
-        links = links.unionByName(similar(pairs, bodies, words, similarity))
-        comp = written(components(links), "comp")
-
-    named = nodes.join(comp, "node", "left").select("node", "_id", F.coalesce("comp", "node").alias("comp"))
-    best = named.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "node")).alias("b")).select(F.col("b.node").alias("_n"), F.col("b._id").alias("_i"))
-    repeats = prints.groupBy("_node", id_col).agg(F.count(F.lit(1)).alias("_c")).select(F.col("_node").alias("_n"), F.col(id_col).alias("_i"), "_c")
-    best = best.alias("l").join(repeats.alias("r"), (F.col("l._n") == F.col("r._n")) & F.col("l._i").eqNullSafe(F.col("r._i"))).select("l._n", "l._i", "_c")
-    best = written(best, "best")
-
-    def kept(keepers: DataFrame) -> DataFrame:
-        return keyed.join(keepers, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i")))
-
-    once = kept(best.where("_c = 1")).select(*docs.columns)
-    more = kept(best.where("_c > 1")).dropDuplicates(["_node"]).select(*docs.columns)
+    Fingerprints of so few shingles in common differ in up to a third of their bits, too many for blocks of bits alone,
+    so a block is the smallest shingle hash of one of KEYED parts of the fingerprint, which two texts share with the
+    probability of their Jaccard similarity J. Pairs are found if any of the KEYED samples is the same (all but
+    (1 - J) ** 12: at 0.8 none in 10 ** 8, at 0.5 0.02 %, at 0.35 0.6 %) and at most `radius` bits of the fingerprint
+    differ (FAR bits where either text has at most FEW shingles), and count if the texts have the similarity.
+    How a group is linked without all its pairs, and what crowded keys do, is told in near_links.
+
+    Equal texts (by SHA-256) are always one group; null and empty texts are equal, and one of them stays. Of repeated
+    rows with the same id one stays. Rows with a null id stay only where their group has no other. An empty table gives
+    an empty result. Other columns, whatever their names, stay as they are.
+    """
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    texts = docs.select(sha.alias("sha"), F.col(id_col).alias("id"), F.col(text).alias("body"))
+    prints = written(with_signature(texts, ["sha", "id"], "body", words), "prints", TEXT_ROWS)
+    nodes = prints.groupBy("sha").agg(*[F.min(p).alias(p) for p in SIGNED], F.min("id").alias("first_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers that stay, once written
+    comp = written(components(near_links(nodes, texts, words, similarity, radius, measure)), "comp")
+
+    named = nodes.select("sha", "node", "first_id").join(comp, "node", "left").select("sha", "node", "first_id", F.coalesce("comp", "node").alias("comp"))
+    best = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("b")).select("b.node")
+    stays = named.select("sha", "node", F.col("first_id").alias("best_id")).join(best.withColumn("stays", F.lit(True)), "node", "left")
+    rows = prints.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")).join(stays, "sha")
+    kept = F.coalesce("stays", F.lit(False)) & F.col("id").eqNullSafe(F.col("best_id"))
+    rows = written(rows.select("sha", "id", F.when(kept, F.col("n")).otherwise(F.lit(0)).alias("n")).where("n <> 1"), "dropped")
+
+    s, i = fresh(docs, "sha", "id")
+    at = (sha == F.col(s)) & F.col(id_col).eqNullSafe(F.col(i))
+    mark = rows.withColumnsRenamed({"sha": s, "id": i})
+    once = docs.join(sent_if_small(mark, SENT_ROWS // 8), at, "left_anti")
+    more = docs.join(sent_if_small(mark.where("n > 1"), SENT_ROWS // 8).select(s, i), at).dropDuplicates([s]).select(*docs.columns)
     return once.unionByName(more)

@@ -1,9 +1,10 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
-from axonframe.llm.shared import components
-from axonframe.llm.simhash_dedup import drop_near_duplicates, fingerprint, signature, simhash_components
+from axonframe.llm.shared import components, written
+from axonframe.llm.simhash_dedup import _shingle_hashes, coverage, drop_near_duplicates, fingerprint, near_links, signature, simhash_components, with_signature
 
 SCHEMA = "doc_id long, text string, component_id string, fp long"
 
@@ -128,3 +129,67 @@ def test_short_texts_at_the_threshold_are_near_duplicates(spark):
     kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     print("kept", len(kept))
     assert set(range(0, 400, 2)) <= kept and len(kept) <= 210
+
+
+def slow_coverage(a, b, k=5):
+    """Word by word: whether one of the shingles over it stands in the other text."""
+    wa, wb = (a or "").lower().split(), (b or "").lower().split()
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (wa, wb)]
+    parts = []
+    for w, other in ((wa, sets[1]), (wb, sets[0])):
+        spots = [(i, i + k) for i in range(max(1, len(w) - k + 1)) if tuple(w[i : i + k]) in other]
+        hit = sum(any(lo <= i < hi for lo, hi in spots) for i in range(len(w)))
+        parts.append(hit / len(w) if w else float(bool(spots)))
+    return min(parts)
+
+
+def test_coverage_matches_its_definition():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [rng.choice("pqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))]
+        b = [w if rng.random() > 0.06 else "new" for w in a][rng.randint(0, 4) :]
+        hashes = [_shingle_hashes(" ".join(t).encode().split(), 5) for t in (a, b)]
+        assert abs(coverage(*hashes, 5) - slow_coverage(" ".join(a), " ".join(b))) < 1e-12
+
+
+def test_near_copies_of_a_table_match_brute_force(spark):
+    """All of sf0.01, many of whose near copies have a Jaccard similarity of 0.5 to 0.7, and recall by band of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    having = {}
+    for i, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in having.values() for n, a in enumerate(ids) for b in ids[n + 1 :]}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.1 * min(len(sets[a]), len(sets[b])) and slow_coverage(texts[a], texts[b]) >= 0.8]
+    groups = union_find(texts, [(min(p), max(p)) for p in links])
+    got = {r.doc_id for r in drop_near_duplicates(docs, measure="coverage").collect()}
+    bands = {}
+    for a, b in links:
+        if texts[a] != texts[b]:
+            band = bands.setdefault(int(10 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) / 10, [0, 0])
+            band[0], band[1] = band[0] + 1, band[1] + (max(a, b) not in got)
+    print("pairs and dropped ones by Jaccard similarity:", dict(sorted(bands.items())))
+    assert sum(b[1] for b in bands.values()) >= 0.99 * sum(b[0] for b in bands.values())
+    assert set(groups.values()) <= got and len(got) <= len(set(groups.values())) + 1
+
+
+def test_crowded_keys_are_made_longer(spark):
+    rng = random.Random(21)
+    licence = " ".join(f"l{i}" for i in range(60))
+    rows = []
+    for d in range(0, 120, 2):  # all share the licence, pairs of them are near copies
+        own = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(d, f"{' '.join(own)} {licence}"), (d + 1, f"{' '.join('new' if i == 30 else w for i, w in enumerate(own))} {licence}")]
+    texts = spark.createDataFrame(rows, "id long, body string").selectExpr("unhex(sha2(cast(body as binary), 256)) sha", "id", "body")
+    nodes = with_signature(texts, ["sha", "id"], "body", 5).withColumnsRenamed({"id": "first_id"}).withColumn("node", F.col("first_id"))
+    links = near_links(written(nodes, "nodes"), texts, 5, 0.8, 400, "coverage", crowd=3).collect()
+    assert {(r.a, r.b) for r in links} == {(d, d + 1) for d in range(0, 120, 2)}
+
+
+def test_columns_that_clash_stay_as_they_are(spark):
+    rows = [(1, "a b c d e f", "s", 1, "n"), (2, "a b c d e f", "t", 2, "m"), (3, None, None, None, None), (3, None, None, None, None), (None, "", "u", 3, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha string, node long, _id string")
+    got = drop_near_duplicates(df, measure="coverage")
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[2]]))
