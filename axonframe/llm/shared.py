@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the word rules of this subpackage see it: space, tab to carriage return.
@@ -62,9 +62,10 @@ def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataF
 SENT_ROWS = 2_000_000
 
 
-def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """A broadcast hint for a written table whose rows were counted, and none beyond the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint for a written table whose rows, or the sum of whose weights, were counted, and none beyond the bound."""
+    counted = df.limit(rows + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if counted <= rows else df
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
