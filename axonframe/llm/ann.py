@@ -16,15 +16,18 @@ from .shared import written
 @dataclass(frozen=True)
 class Settings:
     """projections: single-projection sorted arrays a block has. threshold: collisions, of that many, from which a
-    vector is verified. first, growth: half width of the first windows, in standard deviations of a projection, and
-    what virtual rehashing multiplies it by. share: part of a block that is verified, besides k, before a search ends there.
+    vector is verified. share, least: part of a block, and number of its vectors, that are verified, besides k, before a
+    search ends there. sample: vectors of a block whose collisions say how the windows widen, `step` of them at a time.
+    sure: half width of the windows, over the distance up to which nearly all vectors are verified by then.
     block, query_block: rows of a block of vectors and of queries, which bound the memory of a task."""
 
-    projections: int = 48
-    threshold: int = 30
-    first: float = 0.5
-    growth: float = 1.4
-    share: float = 0.2
+    projections: int = 192
+    threshold: int = 150
+    share: float = 0.04
+    least: int = 256
+    sample: int = 512
+    step: int = 5
+    sure: float = 1.5
     block: int = 16384
     query_block: int = 512
     seed: int = 7
@@ -35,45 +38,57 @@ class SortedArrays:
 
     def __init__(self, vectors: np.ndarray, s: Settings):
         self.vectors, self.s = vectors, s
-        self.lines = np.random.default_rng(s.seed).standard_normal((s.projections, vectors.shape[1]))
+        rng = np.random.default_rng(s.seed)
+        self.lines = rng.standard_normal((s.projections, vectors.shape[1]))
         at = vectors @ self.lines.T
         self.order = np.argsort(at, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
-        self.width = float(at.std()) or 1.0
+        # all arrays as one, each moved past the end of the one before it, so that one search finds the ends of all windows
+        self.far = 4 * float(np.abs(at).max()) + 1
+        self.moved = self.far * np.arange(s.projections)
+        self.sorted = (np.take_along_axis(at.T, self.order, axis=1) + self.moved[:, None]).ravel()
+        self.sample = at[rng.permutation(len(vectors))[: s.sample]]
 
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the k nearest vectors found.
+    def _places(self, values: np.ndarray, side: str) -> np.ndarray:
+        moved = np.clip(values, -self.far / 2, self.far / 2) + self.moved
+        return np.searchsorted(self.sorted, moved, side=side) - len(self.vectors) * np.arange(self.s.projections)
+
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and distances of the k nearest vectors found, and how many were verified.
 
         Windows centred on the query's projections widen step by step (virtual rehashing: a step counts only what it
-        adds); a vector that collides in `threshold` windows is verified by its distance. It ends when a
-        share of the block is verified, when the kth distance is no more than the windows' half width, or when the
-        windows hold everything.
+        adds); a vector that collides in `threshold` windows is verified by its distance. The half widths are those at
+        which more and more of a sample of the block would be. It ends when a share of the block is verified, when the
+        kth distance is so small for the windows that nearly all nearer vectors are, or when the windows hold everything.
         """
         s, n = self.s, len(self.vectors)
         centre = self.lines @ query
-        count = np.zeros(n, dtype=np.int16)
-        lo = np.array([np.searchsorted(row, c) for row, c in zip(self.sorted, centre)])
-        hi, half = lo.copy(), s.first * self.width
+        widths = np.sort(np.partition(np.abs(self.sample - centre), s.threshold - 1, axis=1)[:, s.threshold - 1])
+        count = np.zeros(n, dtype=np.int64)
         verified = np.zeros(n, dtype=bool)
         places, distances = np.empty(0, dtype=np.int64), np.empty(0)
+        lo = hi = None
+        at, half = s.step, 0.0
         while True:
-            for i in range(s.projections):
-                row = self.sorted[i]
-                new_lo, new_hi = np.searchsorted(row, centre[i] - half), np.searchsorted(row, centre[i] + half, side="right")
-                count[self.order[i, new_lo : lo[i]]] += 1
-                count[self.order[i, hi[i] : new_hi]] += 1
-                lo[i], hi[i] = min(lo[i], new_lo), max(hi[i], new_hi)
+            half = max(half, float(widths[at])) if at < len(widths) else 2 * half + self.far * 1e-3
+            reach = half + self.far * 1e-12  # equal vectors may be projected a little apart
+            new_lo, new_hi = self._places(centre - reach, "left"), self._places(centre + reach, "right")
+            if lo is None:  # the first windows hold more than they leave out
+                outside = [self.order[i, x:y] for i in range(s.projections) for x, y in ((0, new_lo[i]), (new_hi[i], n))]
+                count += s.projections - np.bincount(np.concatenate(outside), minlength=n)
+            else:
+                added = [self.order[i, x:y] for i in range(s.projections) for x, y in ((new_lo[i], lo[i]), (hi[i], new_hi[i]))]
+                count += np.bincount(np.concatenate(added), minlength=n)
+            lo, hi, at = new_lo, new_hi, at + s.step
             fresh = np.flatnonzero((count >= s.threshold) & ~verified)
             verified[fresh] = True
             places = np.concatenate([places, fresh])
             distances = np.concatenate([distances, np.sqrt(((self.vectors[fresh] - query) ** 2).sum(axis=1))])
-            if len(places) == n:
+            if len(places) == n or len(places) >= max(s.least, k + s.share * n):
                 break
-            if len(places) >= k + s.share * n or len(places) >= k and np.partition(distances, k - 1)[k - 1] <= half:
+            if len(places) >= k and np.partition(distances, k - 1)[k - 1] <= half / s.sure:
                 break
-            half *= s.growth
         best = np.lexsort((places, distances))[: 4 * k]
-        return places[best], distances[best]
+        return places[best], distances[best], len(places)
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -109,7 +124,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             left = left.sort_values("id")
             ids, index = left["id"].to_numpy(), SortedArrays(np.stack(left["vec"].to_numpy()), s)
             for query_id, vec in zip(right["id"], right["vec"]):
-                places, scores = index.search(np.asarray(vec), k + 1 + int((ids == query_id).sum()))
+                places, scores, _ = index.search(np.asarray(vec), k + 1 + int((ids == query_id).sum()))
                 keep = ids[places] != query_id
                 found = pd.DataFrame({"query_id": query_id, "vec_id": ids[places][keep], "score": scores[keep]})
                 out.append(found.head(k))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from axonframe.llm.ann import Settings, brute_force, nearest
+from axonframe.llm.ann import Settings, SortedArrays, brute_force, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, id string, score double"
 
@@ -35,3 +35,26 @@ def test_recall_over_blocks(spark):
     assert len(want & {(q, i) for q, _, i, _ in got}) >= 0.9 * len(want)
     exact = {(q, i): float(np.sqrt(((table[q].astype(float) - table[i].astype(float)) ** 2).sum())) for q, _, i, _ in got}
     assert all(abs(exact[q, i] - d) < 1e-12 for q, _, i, d in got)
+
+
+def test_collision_counting_verifies_few_vectors_and_finds_the_nearest():
+    rng = np.random.default_rng(11)
+    table = rng.standard_normal((16_384, 64))
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    index, found, verified = SortedArrays(table, Settings()), 0, 0
+    for q in range(0, 16_384, 820):
+        places, distances, n = index.search(table[q], 11)
+        exact = np.sqrt(((table - table[q]) ** 2).sum(axis=1))
+        assert np.allclose(exact[places], distances) and (np.diff(distances) >= 0).all()
+        found += len({*places[:11].tolist()} & {*np.argsort(exact)[:11].tolist()} - {q})
+        verified += n
+    print("verified", verified / 20 / 16_384, "recall", found / 200)
+    assert verified < 0.05 * 20 * 16_384 and found >= 0.9 * 200
+
+
+def test_a_vector_that_a_third_of_all_rows_have(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(200)]
+    got = run(spark, rows, every=500, s=Settings(least=32))
+    assert [(q, r, v) for q, r, v, _ in got if q == 1000] == [(1000, r, 1000 + r) for r in range(1, 11)]
+    assert all(score == 0 for q, _, _, score in got if q == 1000)
