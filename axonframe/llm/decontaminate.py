@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SENT_ROWS, SPACES, sent_if_small, written
+from .shared import SENT_ROWS, SPACES, fresh, sent_if_small, written
 from .simhash_dedup import _signed, block_masks
 
 WORDS = 5
@@ -51,7 +51,7 @@ def _neighbours(block: int, flips: int) -> list[int]:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, words: int = WORDS) -> DataFrame:
     """(doc_id, doc_key, item_id, start, n_words, similarity, distance): the best window of each document for each item
-    that it repeats. doc_key is a hash of the text, start counts words from 0.
+    that it repeats. doc_key is the SHA-256 of the text, start counts words from 0.
 
     A window of a document is as long as the item. Windows and items have a SimHash of their word shingles; the 64 bits
     are eight blocks, and a fingerprint within `radius` of an item's has a block within radius // 8 bits of the item's,
@@ -60,8 +60,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     `similarity`.
 
     Windows that cannot reach it are never formed: of n shingles each, 2 x similarity / (1 + similarity) x n must be
-    the item's own, so only stretches of a document with that many of its shingles are cut into windows. This loses
-    nothing, and the table of the items' shingles is all that every document has to be held against.
+    the item's own, so only stretches of a document with that many of its shingles are cut into windows, and a window is
+    looked up among the items that it was cut for. This loses nothing, and the table of the items' shingles is all that
+    every document has to be held against. Only the texts that windows are cut from are hashed a second time.
 
     A document with fewer shingles than the item has is one window, whole, and is verified without its SimHash, so
     its distance may be over `radius`. It must have similarity x n of the item's n shingles.
@@ -75,7 +76,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     items = written(items.select("item_id", "item", F.size("item").alias("n"), simhash(F.col("item")).alias("item_fp")), "items")
     wanted = written(items.select("item_id", "n", F.explode("item").alias("h")).distinct(), "wanted")
 
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("doc_key"), shingle_hashes(F.col("text"), words).alias("all"))
+    keyed = docs.select("doc_id", key_of(F.col("text")).alias("doc_key"), shingle_hashes(F.col("text"), words).alias("all"))
     spots = keyed.select("doc_id", "doc_key", F.posexplode_outer("all").alias("pos", "h"))  # outer: no filter that would hash the texts twice
     hits = written(spots.join(sent_if_small(written(wanted.select("h").distinct(), "shingles")), "h").select("doc_id", "doc_key", "pos", "h"), "hits")
     members = hits.select("doc_id", "doc_key").distinct()
@@ -84,15 +85,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     need = F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
     runs = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.get("at", i + F.col("need") - 1) - F.get("at", i) < F.col("n"))
     starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("n") + 1), F.get("at", i))))
-    windows = places.withColumn("need", need).where(F.size("at") >= F.col("need")).select("doc_key", "n", F.explode(F.array_distinct(starts)).alias("start")).distinct()
-    whole = places.where((F.size("at") >= F.ceil(F.col("n") * similarity - F.lit(1e-9))) & (F.array_max("at") < F.col("n") - 1)).select("doc_key", "item_id", "n")
-    windows = windows.unionByName(whole.select("doc_key", "n", F.lit(0).alias("start"))).distinct()  # how short a document is shows once it is cut
-    windows = written(windows.groupBy("doc_key").agg(F.collect_list(F.struct("n", "start")).alias("cut")), "windows")
+    windows = places.withColumn("need", need).where(F.size("at") >= F.col("need")).select("doc_key", "item_id", "n", F.explode(F.array_distinct(starts)).alias("start"))
+    whole = places.where((F.size("at") >= F.ceil(F.col("n") * similarity - F.lit(1e-9))) & (F.array_max("at") < F.col("n") - 1)).select("doc_key", "item_id", "n", F.lit(0).alias("start"))
+    windows = written(windows.unionByName(whole).distinct(), "windows")  # how short a document is shows once it is cut
 
     one = members.groupBy("doc_key").agg(F.min("doc_id").alias("_id")).withColumnRenamed("doc_key", "_key")
-    chosen = written(windows.join(one, F.col("doc_key") == F.col("_key")).select("_key", "_id", "cut"), "chosen")
-    texts = keyed.join(sent_if_small(chosen, SENT_ROWS // 20), (F.col("doc_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    cut = texts.select("doc_key", "all", F.explode("cut").alias("w")).select("doc_key", F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("window"))
+    cuts = windows.groupBy("doc_key").agg(F.collect_set(F.struct("n", "start")).alias("cut"))
+    chosen = written(cuts.join(one, F.col("doc_key") == F.col("_key")).select("_key", "_id", "cut"), "chosen")
+    bodies = docs.select("doc_id", "text", key_of(F.col("text")).alias("doc_key"))
+    texts = bodies.join(sent_if_small(chosen, SENT_ROWS // 8, F.size("cut") + 8), (F.col("doc_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    cut = texts.select("doc_key", shingle_hashes(F.col("text"), words).alias("all"), "cut").select("doc_key", "all", F.explode("cut").alias("w"))
+    cut = cut.select("doc_key", F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("window"))
     cut = cut.where((F.size("window") == F.col("n")) | ((F.col("start") == 0) & (F.size("window") < F.col("n")))).dropDuplicates(["doc_key", "n", "start"])
     cut = written(cut.withColumn("fp", simhash(F.col("window"))), "cut")
 
@@ -102,9 +105,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     near = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.array(*[F.col("item_fp").bitwiseXOR(F.lit(x)).bitwiseAND(F.lit(masks[b])) for x in _neighbours(b, radius // 8)]).alias("bits")) for b in range(8)])).alias("e")
     probes = items.select("item_id", "n", "item_fp", near).select("item_id", "n", "item_fp", "e.block", F.explode("e.bits").alias("bits")).distinct()
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = cut.select("doc_key", "n", "start", "fp", by_block).join(probes, ["n", "block", "bits"]).where(distance <= radius).select("doc_key", "n", "start", "item_id", distance.alias("distance")).distinct()
-    brief = cut.where(F.size("window") < F.col("n")).join(whole, ["doc_key", "n"]).join(items.select("item_id", "n", "item_fp"), ["item_id", "n"])
-    pairs = pairs.unionByName(brief.select("doc_key", "n", "start", "item_id", distance.alias("distance"))).distinct()
+    asked = windows.join(cut.select("doc_key", "n", "start", "fp", F.size("window").alias("size")), ["doc_key", "n", "start"])
+    pairs = asked.select("doc_key", "item_id", "n", "start", "fp", by_block).join(probes, ["item_id", "n", "block", "bits"]).where(distance <= radius).select("doc_key", "n", "start", "item_id", distance.alias("distance"))
+    brief = asked.where(F.col("size") < F.col("n")).join(items.select("item_id", "n", "item_fp"), ["item_id", "n"]).select("doc_key", "n", "start", "item_id", distance.alias("distance"))
+    pairs = pairs.unionByName(brief).distinct()
     full = pairs.join(cut.select("doc_key", "n", "start", "window"), ["doc_key", "n", "start"]).join(items.select("item_id", "n", "item"), ["item_id", "n"])
     scored = full.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity - 1e-12)
     best = scored.groupBy("doc_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.size("window").alias("n"), "distance")).alias("b"))
@@ -112,7 +116,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     return members.join(best, "doc_key").select("doc_id", "doc_key", "item_id", "start", "n_words", "similarity", "distance")
 
 
+def key_of(text: Column) -> Column:
+    """What a text is known by: its SHA-256. Null is the empty text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text repeats an item. Columns stay as they are."""
-    found = written(find_contamination(docs, benchmark, **options).select(F.col("doc_key").alias("_k")).distinct(), "found")
-    return docs.join(sent_if_small(found), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_k"), "left_anti")
+    """docs without the rows whose text repeats an item. Columns stay as they are, whatever their names.
+
+    Null and empty texts stay, repeated rows go or stay together, an empty table gives an empty result, and an empty
+    benchmark drops nothing. options: those of find_contamination.
+    """
+    (key,) = fresh(docs, "key")
+    found = written(find_contamination(docs, benchmark, **options).select(F.col("doc_key").alias(key)).distinct(), "found")
+    return docs.join(sent_if_small(found, SENT_ROWS // 4), key_of(F.col("text")) == F.col(key), "left_anti")

@@ -146,3 +146,19 @@ a AS (SELECT r, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (r)"""
+
+ORACLES["op4_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w
+      FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT r, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM d),
+bs AS (SELECT item, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM b),
+counts AS (SELECT item, shingle, count(*) AS wanted FROM bs GROUP BY ALL),
+hits AS (SELECT r, pos, ds.shingle, item, wanted, len(d.w) - 4 AS size, len(b.w) - 4 AS n
+         FROM ds JOIN counts USING (shingle) JOIN d USING (r) JOIN b USING (item)),
+windows AS (SELECT r, item, size, n, shingle, wanted, unnest(range(greatest(0, pos - n + 1), greatest(0, least(pos, size - n)) + 1)) AS start FROM hits),
+common AS (SELECT r, item, start, least(size, n) AS size, n, least(count(*), any_value(wanted)) AS c
+           FROM windows GROUP BY r, item, start, size, n, shingle),
+scores AS (SELECT r, item, sum(c) / (any_value(size) + any_value(n) - sum(c)) AS similarity FROM common GROUP BY r, item, start)
+SELECT doc_id, item_id, CAST(max(similarity) AS DOUBLE) AS similarity
+FROM scores JOIN d USING (r) JOIN b USING (item) WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id"""
