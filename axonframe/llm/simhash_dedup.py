@@ -19,7 +19,7 @@ BITS = 64
 WIDE = 16
 KEYED = 12
 #: Components that a key may have before it is made longer by another sample.
-CROWD = 64
+CROWD = 16
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
 PARTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WIDE)], dtype=np.uint64)
 PRINTS, SAMPLES = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(KEYED)]
@@ -175,16 +175,23 @@ def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> D
 
 
 def _near_keys(nodes: DataFrame) -> DataFrame:
-    """One row for each node and sample: key is the sample with its number, last the number."""
-    keys = [F.struct(F.xxhash64(F.lit(i), F.col(m)).alias("key"), F.lit(i).alias("last")) for i, m in enumerate(SAMPLES)]
-    return spread(nodes, "node").select("node", F.explode(F.array(*keys)).alias("e")).select("node", "e.key", "e.last")
+    """One row for each node and sample: key is the sample with its number, of the bit of that number."""
+    keys = [F.struct(F.xxhash64(F.lit(i), F.col(m)).alias("key"), F.lit(1 << i).alias("of")) for i, m in enumerate(SAMPLES)]
+    return spread(nodes, "node").select("node", F.explode(F.array(*keys)).alias("e")).select("node", "e.key", "e.of")
 
 
 def _longer_keys(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows (node, comp, key, last) under crowded keys, each with every sample of a higher number added to its key."""
-    more = [F.struct(F.xxhash64(F.col("key"), F.lit(i), F.col(m)).alias("key"), F.lit(i).alias("last")) for i, m in enumerate(SAMPLES)]
-    longer = rows.join(nodes.select("node", *SAMPLES), "node").select("node", "comp", F.explode(F.slice(F.array(*more), F.col("last") + 2, KEYED)).alias("e"))
-    return longer.select("node", "comp", "e.key", "e.last")
+    """rows (node, comp, key, of) under crowded keys, each with every sample of a higher number added to its key."""
+    more = [F.struct(F.xxhash64(F.col("key"), F.lit(i), F.col(m)).alias("key"), F.col("of").bitwiseOR(F.lit(1 << i)).alias("of")) for i, m in enumerate(SAMPLES)]
+    highest = F.length(F.bin("of"))  # the number after that of the last sample
+    longer = rows.join(nodes.select("node", *SAMPLES), "node").select("node", "comp", F.explode(F.slice(F.array(*more), highest + 1, KEYED)).alias("e"))
+    return longer.select("node", "comp", "e.key", "e.of")
+
+
+def _first_in_common(x: str, y: str, of: str) -> Column:
+    """Whether the samples in a key are the first that two nodes have in common, so that a pair stands under one key of each length."""
+    common = reduce(Column.bitwiseOR, (F.when(F.col(f"{x}{m}") == F.col(f"{y}{m}"), F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(SAMPLES)))
+    return common % F.expr(f"shiftleft(1, length(bin({of})))") == F.col(of)
 
 
 def _wide_distance(x: str, y: str) -> Column:
@@ -251,7 +258,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     First each node with the smallest and the largest of each of its keys, so that a dense group is linked without its
     pairs. Then pairs of different components under keys that at most `crowd` components have; a key that more have is
     made longer by each of the samples after its last until that holds, so the pairs under a key are at most `crowd`
-    times its rows. A pair under crowded keys alone needs as many samples in common as make a key that is not.
+    times its rows. A pair is looked at under one key, that of the first samples it has in common. Only a pair all of
+    whose common samples together are a crowded key is not looked at.
     """
     keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
@@ -267,18 +275,18 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     links = similar(pairs, nodes, texts, words, similarity, measure)
 
     comp = written(components(links), "comp")
-    rows, found = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", "last"), []
+    rows, found = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", "of"), []
     for _ in range(KEYED):
-        held = written(rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1"), "held")
+        held = rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
         rows = written(rows.join(held, "key"), "rows")
-        x, y = (rows.where(F.col("comps") <= crowd).join(alike.select("node", *SIZED), "node").select("key", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIZED)]) for s in "xy")
-        cross = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius))
-        found.append(written(cross.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct(), "pairs"))
-        crowded = rows.where((F.col("comps") > crowd) & (F.col("last") < KEYED - 1))
+        x, y = (rows.where(F.col("comps") <= crowd).join(alike, "node").select("key", F.col("of").alias(f"{s}of"), *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIGNED)]) for s in "xy")
+        cross = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _first_in_common("x", "y", "xof") & _close("x", "y", radius))
+        found.append(written(cross.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")), "pairs"))
+        crowded = rows.where((F.col("comps") > crowd) & (F.col("of") < 1 << (KEYED - 1)))
         if crowded.isEmpty():
             break
         rows = _longer_keys(crowded, alike)
-    pairs = reduce(DataFrame.unionByName, found).distinct()
+    pairs = reduce(DataFrame.unionByName, found)
     return links.unionByName(similar(written(pairs, "pairs"), nodes, texts, words, similarity, measure))
 
 
