@@ -17,13 +17,22 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, derivative: bool = Fals
         p = np.polyfit(x, y, n - 1)
         return np.polyval(np.polyder(p) if derivative else p, at)
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    system, right = np.zeros((n, n)), np.zeros(n)
-    inner = np.arange(1, n - 1)
-    system[inner, inner - 1], system[inner, inner], system[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    right[1:-1] = 6 * np.diff(slope)
-    system[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(system, right)
+    # second derivatives at the inner points: three diagonals, into whose ends the not-a-knot conditions are put
+    lower, middle, upper, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    middle[0] += h[0] * (h[0] + h[1]) / h[1]
+    upper[0] -= h[0] ** 2 / h[1]
+    middle[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    lower[-1] -= h[-1] ** 2 / h[-2]
+    for k in range(1, n - 2):
+        factor = lower[k] / middle[k - 1]
+        middle[k] -= factor * upper[k - 1]
+        right[k] -= factor * right[k - 1]
+    m = np.zeros(n)
+    m[n - 2] = right[-1] / middle[-1]
+    for k in range(n - 4, -1, -1):
+        m[k + 1] = (right[k] - upper[k] * m[k + 2]) / middle[k]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     a, b = x[i + 1] - at, at - x[i]
     if derivative:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,9 +66,44 @@ def t_for_many(confidence: float, df: Column) -> Column:
     return F.lit(z) + sum(F.lit(c) / F.pow(df.cast("double"), F.lit(float(i + 1))) for i, c in enumerate(terms))
 
 
+def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of many t at once, by the same continued fraction; NaN where t or df is none."""
+    out = np.full(len(t), np.nan)
+    for k in np.flatnonzero(np.isfinite(df) & (df > 0) & np.isinf(t)):
+        out[k] = 0.0
+    ok = np.flatnonzero(np.isfinite(t) & np.isfinite(df) & (df > 0))
+    x = df[ok] / (df[ok] + t[ok] ** 2)
+    a, b = df[ok] / 2, np.full(len(ok), 0.5)
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    safe = np.where(inside, x, 0.5)
+    known: dict[float, float] = {}
+    gamma = np.array([known.setdefault(d, math.lgamma((d + 1) / 2) - math.lgamma(d / 2) - math.lgamma(0.5)) for d in df[ok].tolist()])
+    front = np.exp(gamma + a * np.log(safe) + b * np.log1p(-safe)) / a
+    c, d, result = np.ones(len(ok)), np.zeros(len(ok)), np.ones(len(ok))
+    for k in range(400):
+        m = k // 2
+        if k == 0:
+            step = np.ones(len(ok))
+        elif k % 2 == 0:
+            step = m * (b - m) * safe / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * safe / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 + step * d, 1 + step / c
+        d, c = 1 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
+        result *= c * d
+        if k and (np.abs(1 - c * d) < 1e-15).all():
+            break
+    value = np.where(inside, front * (result - 1), (x >= 1).astype(float))
+    out[ok] = np.where(turned, 1 - value, value)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_tail(a, b) for a, b in zip(t, df)], dtype="float64")
+    tails = t_tails(t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan))
+    return pd.Series(tails).astype(object).where(~np.isnan(tails), None).astype("Float64")
 
 
 def p_value(t: Column, df: Column) -> Column:

@@ -42,6 +42,11 @@ def segment(df: DataFrame, name: str, onset: int = 451, mid_end: int = 601, t: s
     return kept if hi is None else kept.where(F.col(t) < hi)
 
 
+def head(df: DataFrame, rows: int = 400, t: str = "t") -> DataFrame:
+    """The first rows of every reach, by their number."""
+    return df.where(F.col(t) < rows)
+
+
 def purkinje_only(cells: DataFrame, all_cells: bool = False) -> DataFrame:
     """Cells of type PC, or all, with a flag is_pc; a null or empty type is not PC."""
     flag = F.coalesce(F.col("cell_type") == "PC", F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.spline import spline
+from axonframe.operators.binning import head
 from axonframe.schema import REACH
 
 
@@ -16,29 +17,34 @@ def mask_to_reach(clock: DataFrame, kin: DataFrame, keys: Sequence[str] = REACH,
     """Rows of the clock that lie strictly between the first and last kinematic time of a reach, with the reach's keys.
 
     clock has time (and the columns of `on`, such as session, that it shares with the reaches). Each reach gives one
-    interval, which is what is joined; kinematic rows are not.
+    interval, which is what is joined; kinematic rows are not. Both sides go to buckets of time as wide as a reach is on
+    average, so a clock row meets only the reaches of its own bucket; of the whole table one number reaches the driver.
     """
-    span = kin.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    inside = (F.col(f"c.{time}") > F.col("s._lo")) & (F.col(f"c.{time}") < F.col("s._hi"))
+    span = kin.groupBy(*keys).agg(F.min(time).cast("double").alias("_lo"), F.max(time).cast("double").alias("_hi"))
+    wide = span.agg(F.avg(F.col("_hi") - F.col("_lo")).alias("w")).first()["w"] or 1.0
+    bucket = lambda c: F.floor(F.col(c).cast("double") / wide)
+    span = span.where("_lo < _hi").withColumn("_bucket", F.explode(F.sequence(bucket("_lo"), bucket("_hi"))))
+    clock = clock.withColumn("_bucket", bucket(time))
+    inside = (F.col("c._bucket") == F.col("s._bucket")) & (F.col(f"c.{time}") > F.col("s._lo")) & (F.col(f"c.{time}") < F.col("s._hi"))
     for k in on:
         inside &= F.col(f"c.{k}") == F.col(f"s.{k}")
-    rest = [F.col(f"c.{c}") for c in clock.columns if c not in keys]
+    rest = [F.col(f"c.{c}") for c in clock.columns if c not in keys and c != "_bucket"]
     return clock.alias("c").join(span.alias("s"), inside).select(*[F.col(f"s.{k}") for k in keys], *rest)
 
 
 def interpolate(clock: DataFrame, kin: DataFrame, cols: Sequence[str], keys: Sequence[str] = REACH, time: str = "time") -> DataFrame:
     """Linear interpolation of columns of kin at the times of clock, both with keys and time; null outside of a reach.
 
-    Both are put on one line of time, and each clock row looks back and ahead for the kinematic rows beside it.
+    Both are put on one line of time, and each clock row looks back and ahead for the kinematic rows beside it. Looking
+    ahead is looking back on the line turned round, so that both frames grow row by row.
     """
     marked = kin.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_clock"), *[F.col(c).cast("double").alias(c) for c in cols])
     asked = clock.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_clock"), *[F.lit(None).cast("double").alias(c) for c in cols])
-    line = Window.partitionBy(*keys).orderBy("_at", "_clock")
-    back, ahead = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("_at", F.col("_clock").desc()).rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(*keys).orderBy(at, "_clock").rowsBetween(Window.unboundedPreceding, 0) for at in (F.col("_at"), F.col("_at").desc()))
     known = lambda c: F.when(F.col("_clock") == 0, F.struct(F.col("_at").alias("t"), F.col(c).alias("v")))
     out = marked.unionByName(asked)
     for c in cols:
-        out = out.withColumns({f"_b_{c}": F.last(known(c), ignorenulls=True).over(back), f"_a_{c}": F.first(known(c), ignorenulls=True).over(ahead)})
+        out = out.withColumns({f"_b_{c}": F.last(known(c), ignorenulls=True).over(back), f"_a_{c}": F.last(known(c), ignorenulls=True).over(ahead)})
 
     def value(c: str) -> Column:
         b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")
@@ -88,6 +94,14 @@ def with_accelerations(kin: DataFrame, method: str = "central") -> DataFrame:
     return kin
 
 
+def head_with_accelerations(kin: DataFrame, rows: int = 400) -> DataFrame:
+    """The first rows of every reach with the spline accelerations ax, ay and az of vx, vy and vz, and no jerk."""
+    kin = head(kin, rows)
+    for v, a in (("vx", "ax"), ("vy", "ay"), ("vz", "az")):
+        kin = derivative(kin, v, "spline", out=a)
+    return kin
+
+
 def first_crossing(kin: DataFrame, col: str = "x", threshold: float = 0.99, keys: Sequence[str] = REACH, t: str = "t") -> DataFrame:
     """First row of each reach at which col is over threshold; reaches without one are left out."""
     return kin.groupBy(*keys).agg(F.min(F.when(F.col(col) > threshold, F.col(t))).alias("t_cross")).where("t_cross is not null")

@@ -287,14 +287,6 @@ def energy_time_ci(spark, sf_dir):
     return ci.select("stim", "t", *[r6(c).alias(c) for c in ("mean", "lower", "upper")])
 
 
-@query()
-def energy_position_report(spark, sf_dir):
-    h, j = _model(spark, sf_dir, 8)
-    sessions_of = F.lit("events").alias("session")
-    report = reports.energy_position_report(testdata.spikes(spark, sf_dir), _numbered(spark, sf_dir), h.select(sessions_of, "i", "h"), j.select(sessions_of, "i", "j", "cpl"))
-    return report.select("stim", "series", "t", *[r6(c).alias(c) for c in ("mean", "lower", "upper")])
-
-
 BOLTZMANN = """, st AS (SELECT state, CAST(i AS INTEGER) AS i, 2 * ((state >> i) & 1) - 1 AS s FROM range(256) g(state), range(8) p(i)),
   en AS (SELECT state, sum(e) AS e FROM (SELECT state, -h * s AS e FROM st JOIN model_h USING (i) UNION ALL
          SELECT a.state, -cpl * a.s * b.s FROM st a JOIN st b ON a.state = b.state AND a.i < b.i JOIN model_j m ON m.i = a.i AND m.j = b.i) GROUP BY state),
@@ -324,6 +316,43 @@ def critical_point(spark, sf_dir):
     return at.select("session", "tc_idx", *[r6(c).alias(c) for c in ("tc", "hc", "ec")])
 
 
+EXACT_TC = "tc AS (SELECT round(temp, 6) AS tc, round(mean_e, 6) AS ec FROM bz ORDER BY var_e DESC, temp_idx LIMIT 1)"
+
+
+@query(BOLTZMANN + ", " + EXACT_TC + ", s01 AS (SELECT stim, reach, t, cell AS i, CASE WHEN n > 0 THEN 1 ELSE 0 END AS s FROM spike), et AS (" + ENERGY.format(k="stim, reach, t", ka="a.stim, a.reach, a.t", t="s01", on="a.reach = b.reach AND a.t = b.t").replace("round(sum(e), 6)", "sum(e)")
+       + f"""), both_series AS (SELECT 'energy' AS series, stim, CAST(t AS INTEGER) AS t, energy AS v FROM et UNION ALL SELECT 'position', stim, CAST(t AS INTEGER), x FROM cut)
+  SELECT stim, series, t, {CI.format(v='v')}, any_value(tc) AS tc, any_value(ec) AS ec, any_value(ec) AS spline_ec
+  FROM (SELECT *, count(*) OVER (PARTITION BY series, stim, t) - 1 AS df FROM both_series) LEFT JOIN (VALUES {T95}) v(d, q) ON d = df, tc GROUP BY series, stim, t""")
+def energy_position_report(spark, sf_dir):
+    """Energy and position with confidence bands, and the critical lines. The spline goes through the table's points, so
+    at the critical temperature, which is one of them, it has the table's energy; the SQL says so."""
+    h, j = _model(spark, sf_dir, 8)
+    of = F.lit("events").alias("session")
+    sweep = _boltzmann(spark, sf_dir).withColumn("session", of)
+    report = reports.energy_position_report(testdata.spikes(spark, sf_dir), _numbered(spark, sf_dir), h.select(of, "i", "h"), j.select(of, "i", "j", "cpl"), sweep=sweep)
+    return report.select("stim", "series", "t", *[r6(c).alias(c) for c in ("mean", "lower", "upper", "tc", "ec", "spline_ec")])
+
+
+@query(f"SELECT stim, t, {CI.format(v='x')} FROM (SELECT *, count(*) OVER (PARTITION BY stim, t) - 1 AS df FROM kin) LEFT JOIN (VALUES " + ", ".join(f"({d}, {t_quantile(0.9, d)!r}::DOUBLE)" for d in range(1, 31)) + ") v(d, q) ON d = df GROUP BY stim, t")
+def mean_ci_80(spark, sf_dir):
+    ci = stats.mean_ci(testdata.kinematics(spark, sf_dir), ["stim", "t"], "x", 0.8)
+    return ci.select("stim", "t", *[r6(c).alias(c) for c in ("mean", "lower", "upper")])
+
+
+@query(BOLTZMANN + ", f AS (SELECT *, row_number() OVER (ORDER BY temp_idx DESC) AS r FROM bz) SELECT round(avg(mean_e), 6) AS mean_e_tail FROM f WHERE r <= 10")
+def tail_mean(spark, sf_dir):
+    curve = _boltzmann(spark, sf_dir).withColumn("session", F.lit("exact"))
+    return reports.tail_mean(curve, ["session"], "mean_e").select(r6("mean_e_tail").alias("mean_e_tail"))
+
+
+@query(BOLTZMANN + """, low AS (SELECT *, -mean_e AS other FROM bz) SELECT temp_idx AS tc_idx, round(temp, 6) AS tc, round((mean_e + other) / 2 + 0.0::DOUBLE, 6) AS ec FROM low ORDER BY var_e DESC, temp_idx LIMIT 1""")
+def two_branch_critical(spark, sf_dir):
+    """The branch from mostly up cells and, standing for the other one, its mirror image."""
+    plus = _boltzmann(spark, sf_dir).withColumn("session", F.lit("exact"))
+    at = reports.two_branch_critical(plus, plus.withColumn("mean_e", -F.col("mean_e")), ["session"])
+    return at.select("tc_idx", r6("tc").alias("tc"), r6("ec").alias("ec"))
+
+
 def _chains(spark: SparkSession, sf_dir: str, cells: int = 10) -> tuple[DataFrame, DataFrame]:
     """Each label's first state, and the model of all of them."""
     spins = testdata.spins(spark, sf_dir, cells)
@@ -385,10 +414,119 @@ def natural_sort(spark, sf_dir):
     return names.select("name", F.row_number().over(Window.orderBy(sessions.natural_key(F.col("name")))).alias("place"))
 
 
-@query(f"""SELECT file, regexp_extract(file, '^(\\w+)_(\\d{{6}})_(\\w+)', 1) AS name, regexp_extract(file, '^(\\w+)_(\\d{{6}})_(\\w+)', 2) AS date, regexp_extract(file, '^(\\w+)_(\\d{{6}})_(\\w+)', 3) AS identifier FROM (VALUES {VALUES}) v(file)""")
+FILES = {"Joker_060102_x10_NPresults.mat": ("Joker", "060102", "x10"), "X_060102_x10_NPresults": ("X", "060102", "x10"), "a_b_123456_c_d_NPresults.mat": ("a_b", "123456", "c_d"),
+         "Joker_060102_x9": ("Joker", "060102", "x9"), "m_111111_222222_y.npy": ("m_111111", "222222", "y"), "abc": ("", "", ""), "a_12345_b_NPresults": ("", "", "")}
+
+
+@query("SELECT file, name, date, identifier, label FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{d}', '{i}', '{f[:4]}')" for f, (n, d, i) in FILES.items()) + ") v(file, name, date, identifier, label)")
 def parse_session_name(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in NAMES], "file string")
-    return names.select("file", sessions.parse_session_name(F.col("file")).alias("p")).select("file", "p.name", "p.date", "p.identifier")
+    """The SQL has the names as they were read by hand, so that it says something about the pattern."""
+    names = spark.createDataFrame([(n,) for n in FILES], "file string")
+    return names.select("file", sessions.parse_session_name(F.col("file")).alias("p"), sessions.session_label(F.col("file")).alias("label")).select("file", "p.name", "p.date", "p.identifier", "label")
+
+
+PATHS = {f"/data/{mouse}/{group}/{width}/s{k}.mat": (mouse, group, width, f"s{k}.mat") for mouse in ("m1", "m2") for group in (*sessions.CELL_GROUPS, "Other") for width in ("bin10", "bin9") for k in (10, 2, 1)}
+
+
+@query("""SELECT path, mouse, cell_group, 'bin9' AS bin, file, CAST(CASE file WHEN 's1.mat' THEN 0 WHEN 's2.mat' THEN 1 ELSE 2 END AS INTEGER) AS place
+  FROM (VALUES """ + ", ".join(f"('{p}', '{m}', '{g}', '{w}', '{f}')" for p, (m, g, w, f) in PATHS.items()) + ") v(path, mouse, cell_group, width, file) WHERE cell_group <> 'Other' AND width = 'bin9'")
+def report_sessions(spark, sf_dir):
+    return sessions.report_sessions(spark.createDataFrame([(p,) for p in PATHS], "path string")).select("path", "mouse", "cell_group", "bin", "file", "place")
+
+
+@query("SELECT mouse, cell_group, session, side FROM (VALUES ('m', 'P_Cells', 'a', 'data_only'), ('m', 'P_Cells', 'b', 'both'), ('m', 'P_Cells', 'c', 'model_only'), ('n', 'P_Cells', 'b', 'data_only')) v(mouse, cell_group, session, side)")
+def pair_sessions(spark, sf_dir):
+    names = "mouse string, cell_group string, session string"
+    data = spark.createDataFrame([("m", "P_Cells", "a"), ("m", "P_Cells", "b"), ("m", "P_Cells", "b"), ("n", "P_Cells", "b")], names)
+    return sessions.pair_sessions(data, spark.createDataFrame([("m", "P_Cells", "b"), ("m", "P_Cells", "c")], names))
+
+
+@query("SELECT stim, reach, t, cell, n FROM spike WHERE t < 40")
+def first_rows(spark, sf_dir):
+    """The first 400 rows of a reach, on the scale of the test tables, whose reaches have 96 rows."""
+    return binning.head(testdata.spikes(spark, sf_dir), 40).select("stim", "reach", "t", "cell", "n")
+
+
+def _central(column: str, table: str) -> str:
+    """SQL for central differences of a column of (reach, t, ...), one-sided at the ends, by the reach's first step."""
+    return f"""CASE WHEN lag({column}) OVER w IS NULL THEN (lead({column}) OVER w - {column}) / step WHEN lead({column}) OVER w IS NULL THEN ({column} - lag({column}) OVER w) / step
+      ELSE (lead({column}) OVER w - lag({column}) OVER w) / (2 * step) END"""
+
+
+def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinematics with three velocities made from the position."""
+    x = F.col("x")
+    return testdata.kinematics(spark, sf_dir).withColumns({"vx": x / 7, "vy": x * x / 97, "vz": x * F.col("t") / 11})
+
+
+MOVING = "mv AS (SELECT stim, reach, t, x / 7 AS vx, x * x / 97 AS vy, x * t / 11 AS vz, nth_value(t, 2) OVER f - min(t) OVER f AS step FROM kin WINDOW f AS (PARTITION BY reach ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+W_REACH = "WINDOW w AS (PARTITION BY reach ORDER BY t)"
+
+
+@query(f""", {MOVING}, ac AS (SELECT *, {_central('vx', 'mv')} AS ax, {_central('vy', 'mv')} AS ay, {_central('vz', 'mv')} AS az FROM mv {W_REACH}),
+  jk AS (SELECT *, {_central('ax', 'ac')} AS jerk_x, {_central('ay', 'ac')} AS jerk_y, {_central('az', 'ac')} AS jerk_z, {_central('vz', 'ac')} AS jerk_pos_x FROM ac {W_REACH})
+  SELECT stim, reach, t, round(ax, 6) AS ax, round(ay, 6) AS ay, round(az, 6) AS az, round(jerk_x, 6) AS jerk_x, round(jerk_y, 6) AS jerk_y, round(jerk_z, 6) AS jerk_z, round(jerk_pos_x, 6) AS jerk_pos_x,
+         round(jerk_x, 6) AS jerk_pos_y, round(jerk_y, 6) AS jerk_pos_z FROM jk""")
+def with_accelerations(spark, sf_dir):
+    moving = kinematics.with_accelerations(_moving(spark, sf_dir))
+    return moving.select("stim", "reach", "t", *[r6(c).alias(c) for c in ("ax", "ay", "az", "jerk_x", "jerk_y", "jerk_z", "jerk_pos_x", "jerk_pos_y", "jerk_pos_z")])
+
+
+@query()
+def head_with_accelerations(spark, sf_dir):
+    """Spline accelerations of the first rows of every reach; SQL has no spline."""
+    moving = kinematics.head_with_accelerations(_moving(spark, sf_dir), 40)
+    return moving.select("stim", "reach", "t", *[r6(c).alias(c) for c in ("ax", "ay", "az")])
+
+
+#: Raw tables of one session from events: every quarter of an hour is a row of one clock, even cells are PC, every tenth
+#: reach has no label, and kinematic times lie a quarter of a row after those of the clock.
+RAW = """cb AS (SELECT CAST(c AS INTEGER) AS cell, CAST((r - 1) * 96 + g AS INTEGER) AS t_idx, coalesce(n, 0)::DOUBLE AS n
+  FROM range(1, 31) a(r), range(96) b(g), range(8) d(c) LEFT JOIN (SELECT reach, t, cell, count(*) AS n FROM ev GROUP BY ALL) k ON k.reach = r AND k.t = g AND k.cell = c),
+rk AS (SELECT reach, stim, (reach - 1) * 96 + t + 0.25::DOUBLE AS time, t, x FROM kin WHERE reach % 10 <> 0),
+sp AS (SELECT reach, stim, min(time) AS lo, max(time) AS hi FROM rk GROUP BY ALL),
+st AS (SELECT stim AS label, CAST(row_number() OVER (ORDER BY min(reach)) - 1 AS INTEGER) AS stim FROM rk GROUP BY stim),
+rw AS (SELECT st.stim, reach, t_idx, CAST(row_number() OVER (PARTITION BY reach ORDER BY t_idx) - 1 AS INTEGER) AS t
+  FROM (SELECT DISTINCT t_idx FROM cb) c JOIN sp ON t_idx > lo AND t_idx < hi JOIN st ON st.label = sp.stim)"""
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = testdata.spikes(spark, sf_dir).withColumn("t_idx", ((F.col("reach") - 1) * testdata.ROWS + F.col("t")).cast("int"))
+    kind = F.when(F.col("cell") % 2 == 0, F.lit("PC")).otherwise(F.lit(""))
+    cell_bins = counts.select("session", "cell", kind.alias("cell_type"), "t_idx", F.col("t_idx").cast("double").alias("time"), "n")
+    label = F.when(F.col("reach") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("stim"), F.col("stim").cast("string")))
+    columns = [(F.col("x") * i if i % 2 else F.col("x") + i * F.col("t")).alias(f"k{i}") for i in range(1, 8)]
+    time = ((F.col("reach") - 1) * testdata.ROWS + F.col("t") + 0.25).cast("double")
+    reaches = testdata.kinematics(spark, sf_dir).select("session", "reach", label.alias("stim"), F.col("t").alias("row"), time.alias("time"), *columns)
+    return sessions.compile_sessions(cell_bins, reaches)
+
+
+@query(f", {RAW} SELECT stim, reach, t, cell, n FROM rw JOIN cb USING (t_idx) WHERE cell % 2 = 0")
+def compile_spikes(spark, sf_dir):
+    return _compiled(spark, sf_dir)[0].select("stim", "reach", "t", "cell", "n")
+
+
+def _scaled(k: int, name: str) -> str:
+    """SQL for the k-th kinematic column at a row of the clock, scaled as it is."""
+    v = f"v{k}"
+    part = f"CASE WHEN max({v}) OVER q = min({v}) OVER q THEN 0 ELSE ({v} - min({v}) OVER q) / (max({v}) OVER q - min({v}) OVER q) END"
+    return f"round({part if k <= 4 else f'2 * ({part}) - 1'}, 6) AS {name}"
+
+
+@query(f", {RAW}, " + "kk AS (SELECT *, " + ", ".join(f"{f'x * {i}' if i % 2 else f'x + {i} * t'} AS k{i}" for i in range(1, 8)) + """ FROM rk),
+  bk AS (SELECT rw.*, kk.time AS t0, """ + ", ".join(f"k{i} AS b{i}" for i in range(1, 8)) + """ FROM rw ASOF JOIN kk ON rw.reach = kk.reach AND rw.t_idx >= kk.time),
+  ah AS (SELECT bk.*, kk.time AS t1, """ + ", ".join(f"k{i} AS a{i}" for i in range(1, 8)) + """ FROM bk ASOF JOIN kk ON bk.reach = kk.reach AND bk.t_idx <= kk.time),
+  iv AS (SELECT stim, reach, t, """ + ", ".join(f"b{i} + (a{i} - b{i}) * (t_idx - t0) / (t1 - t0) AS v{i}" for i in range(1, 8)) + """ FROM ah)
+  SELECT stim, reach, t, """ + ", ".join(_scaled(i + 1, name) for i, name in enumerate(("x", "y", "z", "speed", "vx", "vy", "vz"))) + " FROM iv WINDOW q AS (PARTITION BY reach)")
+def compile_kinematics(spark, sf_dir):
+    return _compiled(spark, sf_dir)[1].select("stim", "reach", "t", *[r6(c).alias(c) for c in ("x", "y", "z", "speed", "vx", "vy", "vz")])
+
+
+@query(f", {RAW} SELECT 'events' AS session, count(DISTINCT cell) FILTER (cell % 2 = 0) AS n_pc FROM cb")
+def pc_count(spark, sf_dir):
+    kind = F.when(F.col("cell") % 2 == 0, F.lit("PC"))
+    cells = testdata.spikes(spark, sf_dir).select("session", "cell", kind.alias("cell_type"))
+    return sessions.pc_count(cells)
 
 
 @query()

@@ -55,12 +55,22 @@ def magnetization_curve(sweep: DataFrame, cells: int, keys: Sequence[str]) -> Da
     return curve.join(tail_mean(curve, keys, "magnetization"), list(keys))
 
 
-def energy_position_report(spike: DataFrame, kin: DataFrame, model_h: DataFrame, model_j: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """session, stim, series (energy or position), t, mean, lower, upper: both series, each on its own rows."""
+def energy_position_report(spike: DataFrame, kin: DataFrame, model_h: DataFrame, model_j: DataFrame, confidence: float = 0.95, sweep: DataFrame | None = None, at: Sequence[str] = ("session",)) -> DataFrame:
+    """session, stim, series (energy or position), t, mean, lower, upper: both series, each on its own rows.
+
+    With a sweep (`at`, temp_idx, temp, mean_e, var_e) each row also has the critical lines of its session (or of what
+    else `at` names, such as session and stim): tc and ec, the temperature of the first largest heat capacity and the
+    energy there, and spline_ec, the energy there on the spline through the sweep. There is one line of each for a sweep.
+    """
     keys = ["session", "stim", "t"]
     energy = mean_ci(energy_time(spike, model_h, model_j), keys, "energy", confidence).withColumn("series", F.lit("energy"))
     position = mean_ci(position_time(kin), keys, "x", confidence).withColumn("series", F.lit("position"))
-    return energy.unionByName(position).select("session", "stim", "series", "t", "mean", "lower", "upper")
+    report = energy.unionByName(position).select("session", "stim", "series", "t", "mean", "lower", "upper")
+    if sweep is None:
+        return report
+    critical = critical_point(sweep, at)
+    lines = critical.select(*at, "tc", "ec").join(spline_energy(sweep, critical, at), list(at))
+    return report.join(lines, list(at), "left").select("session", "stim", "series", "t", "mean", "lower", "upper", "tc", "ec", "spline_ec")
 
 
 def system_size(init: DataFrame, model: DataFrame, temps: DataFrame, keys: Sequence[str], steps: int = 100_000, keep_after: int = 9_000, seed: int = 0) -> DataFrame:

@@ -14,9 +14,10 @@ from axonframe.operators.binning import labelled_reaches, purkinje_only
 from axonframe.operators.kinematics import interpolate, mask_to_reach, rescale
 from axonframe.schema import CELL_BINS, KIN, KINEMATIC_COLUMNS, MODEL, REACH_KINEMATICS, SPIKE, UNIT_SCALED
 
-#: Cell groups that reports are made for, and the pattern of a session's file name.
+#: Cell groups that reports are made for, and the pattern of a session's file name. Raw files end in
+#: _NPresults, which is no part of the identifier; compiled sessions and models do not.
 CELL_GROUPS = ("Non_P_Cells", "All_Cells", "P_Cells")
-NAME_PATTERN = r"^(\w+)_(\d{6})_(\w+)"
+NAME_PATTERN = r"^(\w+)_(\d{6})_(\w+?)(?:_NPresults)?(?!\w)"
 
 
 def parse_session_name(name: Column) -> Column:
@@ -32,6 +33,28 @@ def natural_key(name: Column, digits: int = 20) -> Column:
     return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), digits, "0")).otherwise(x))
 
 
+def session_label(name: Column, length: int = 4) -> Column:
+    """The start of a file's name by which a session is called in plots."""
+    return F.substring(name, 1, length)
+
+
+def path_keys(path: Column) -> Column:
+    """mouse, cell_group, bin and file of a path that ends in mouse/cell_group/bin/file; empty where folders are missing."""
+    parts = F.split(path, "/")
+    at = lambda k: F.coalesce(F.get(parts, F.size(parts) - k), F.lit(""))
+    return F.struct(at(4).alias("mouse"), at(3).alias("cell_group"), at(2).alias("bin"), at(1).alias("file"))
+
+
+def report_sessions(files: DataFrame, groups: tuple[str, ...] = CELL_GROUPS) -> DataFrame:
+    """files (path, ...) of the cell groups that reports are made for, with mouse, cell_group, bin, file and place: the
+    files of a mouse's and cell group's first bin folder by natural order, numbered by natural order from 0."""
+    keyed = files.withColumn("_k", path_keys(F.col("path"))).select("*", "_k.mouse", "_k.cell_group", "_k.bin", "_k.file").drop("_k")
+    keyed = keyed.where(F.col("cell_group").isin(*groups)).withColumn("_bin", natural_key(F.col("bin")))
+    first = keyed.groupBy("mouse", "cell_group").agg(F.min("_bin").alias("_bin"))
+    order = Window.partitionBy("mouse", "cell_group").orderBy(natural_key(F.col("file")), "path")
+    return keyed.join(first, ["mouse", "cell_group", "_bin"], "left_semi").drop("_bin").withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+
+
 def try_int(text: Column) -> Column:
     return text.try_cast("int")
 
@@ -40,7 +63,8 @@ def read_raw(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple
     """Rows of raw session files, and (path, error) of files that could not be parsed.
 
     parse turns the bytes of one file into rows of schema; files are listed and read by Spark and parsed on the
-    executors, a file at a time. Each row gets the file's session key. Parsers for other formats are passed in.
+    executors, a file at a time. Each row gets the file's session key and its path, from which path_keys and
+    report_sessions tell mouse, cell group and bin. Parsers for other formats are passed in.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     keyed = files.select("path", "content", parse_session_name(F.element_at(F.split("path", "/"), -1))["key"].alias("session"))
