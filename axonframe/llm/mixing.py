@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, written
+from .shared import SPACES, fresh, written
 
 #: Hexadecimal digits of the seeded hash that make a bucket: 16 ** 3 buckets a source.
 BUCKET_DIGITS = 3
@@ -79,15 +79,24 @@ def mix(rows: DataFrame, size: str = "size", source: str = "source", id_col: str
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size (words), source_size, target and taken (words, repeats counted) of every row of docs."""
+    """doc_id, size (words), source_size, target and taken (words, repeats counted) of every row of docs.
+
+    Null text has size 0; null ids and sources are kept; repeated rows give repeated rows; other columns are ignored.
+    """
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return mix(sizes, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it. Columns stay as they are; the texts are shuffled once."""
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    sizes = written(keyed.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
-    taken = mix(sizes, **options).where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_copies")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    return keyed.join(taken, on).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    """docs with every row as often as the mix takes it. Columns stay as they are, whatever their names; the texts are
+    shuffled once.
+
+    Null ids and sources are kept, null and empty texts have no words and are taken like the other rows of their source,
+    rows with the same id, source and size are taken alike, and an empty table gives an empty result.
+    """
+    size, copies, i, s, z, copy = fresh(docs, "size", "copies", "i", "s", "z", "copy")
+    keyed = docs.withColumn(size, word_count(F.col("text")))
+    sizes = written(keyed.select("doc_id", "source", F.col(size).alias("size")), "sizes")
+    taken = mix(sizes, **options).where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").cast("int").alias(copies)).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z))
+    return keyed.join(taken, on).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(copy)).select(*docs.columns)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,14 @@ TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 @dataclass(frozen=True)
 class Settings:
     """bits: size of the hashed feature space, which bounds the model. shards x shard_rows bounds the labelled rows
-    that are learnt from; each shard is learnt in one task, and the models of all shards are averaged. A shard is gone
-    over until about `updates` rows were used, three times at least and 60 at most."""
+    that are learnt from, and shard_bytes what a shard holds of their features, after which it takes no more rows; each
+    shard is learnt in one task, and the models of all shards are averaged. A shard is gone over until about `updates`
+    rows were used, three times at least and 60 at most."""
 
     bits: int = 18
     shards: int = 4
     shard_rows: int = 8000
+    shard_bytes: int = 256 << 20
     updates: int = 24_000
     alpha: float = 0.5
     beta: float = 1.0
@@ -87,8 +89,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
     The sample is chosen on the ids of the labels, before any text is read: they go to shards by the CRC of the id, and
     each shard takes the smallest MD5s of its ids up to about shard_rows (never more than shard_rows texts). So the
     chosen ids are bounded and can be sent to all tasks, and the same rows give the same model however they are stored.
-    Labels with a null id or label are left out; of an id with several labels the largest counts. Without labelled
-    rows the model is empty.
+    Labels with a null id or label are left out; of an id with several labels the largest counts, and of one with several
+    texts the smallest. Without labelled rows the model is empty.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc % 5 != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -97,14 +99,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
     near = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / float(1 << 32)
     chosen = ids.join(F.broadcast(sizes), "shard").where(near <= F.lit(1.05 * s.shard_rows) / F.col("n")).drop("n")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "shard", "place", "label").agg(F.min("text").alias("text"))
+    ordered = texts.repartition(s.shards, "shard").sortWithinPartitions("shard", "place").select("shard", "label", "text")
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["place", "text"], na_position="first").head(s.shard_rows)
-        w = ftrl([(*features(t, s.bits), int(y)) for t, y in zip(part["text"], part["label"])], s)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"index": at, "weight": w[at]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows = None, 0, []
 
-    parts = texts.groupBy("shard").applyInPandas(learn, "index long, weight double")
+        def model() -> pa.RecordBatch:
+            w = ftrl(rows, s)
+            index = np.flatnonzero(w)
+            return pa.RecordBatch.from_arrays([pa.array(index), pa.array(w[index])], names=["index", "weight"])
+
+        for batch in batches:
+            for shard, label, text in zip(*(values(c) for c in batch.columns)):
+                if shard != at:
+                    if rows:
+                        yield model()
+                    at, held, rows = shard, 0, []
+                if len(rows) < s.shard_rows and held < s.shard_bytes:
+                    index, value = features(text, s.bits)
+                    rows.append((index, value, int(label)))
+                    held += index.nbytes + value.nbytes
+        if rows:
+            yield model()
+
+    parts = ordered.mapInArrow(learn, "index long, weight double")
     return parts.groupBy("index").agg((F.sum("weight") / F.lit(float(s.shards))).alias("weight"))
 
 
@@ -146,9 +165,11 @@ def quality_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns as they are.
+    """The rows of docs that score at least threshold, with their columns as they are, whatever their names.
 
-    The text goes through Arrow once and comes back with its score, so no join has to bring the two together.
+    The text goes through Arrow once and comes back with its score, so no join has to bring the two together. Null and
+    empty texts have the score of the constant feature; null ids and repeated rows are scored like any other; an empty
+    table gives an empty result, and without labels all rows score 0.5 and stay.
     """
     s = Settings()
     shared = docs.sparkSession.sparkContext.broadcast(_load(train(docs, labels, s=s), s.bits))

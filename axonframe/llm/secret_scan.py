@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,15 @@ BASE_RULES = (
 RULE_VERSION = "base-1"
 
 
+#: Matches that are walked through together. A list grows by copying, so one of n matches is walked in n / CHUNK short ones.
+CHUNK = 512
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it stands in use: the one element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, place of the kind, label) of a rule's matches in text; code points, end exclusive.
 
@@ -37,18 +47,32 @@ def spans(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x))
     wide = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,span:string>>").alias("out"))
     place = next((i for i, r in enumerate(BASE_RULES) if r.kind == rule.kind), len(BASE_RULES))
+    none = F.array().cast("array<struct<start:int,kind:int,span:string>>")
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + piece["gap"]
-        end = begin + piece["found"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("kind"), F.concat_ws(":", F.lit(rule.kind), begin.cast("string"), end.cast("string")).alias("span"))
-        return F.struct(end.alias("at"), F.when(piece["wide"] >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    def walk(pieces: Column, begin: Column) -> Column:
+        """The spans of pieces that begin at a place."""
+
+        def step(state: Column, piece: Column) -> Column:
+            start = state["at"] + piece["gap"]
+            end = start + piece["found"]
+            span = F.struct(start.alias("start"), F.lit(place).alias("kind"), F.concat_ws(":", F.lit(rule.kind), start.cast("string"), end.cast("string")).alias("span"))
+            return F.struct(end.alias("at"), F.when(piece["wide"] >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+        return F.aggregate(pieces, F.struct(begin.alias("at"), none.alias("out")), step, lambda state: state["out"])
+
+    def begins(chunks: Column) -> Column:
+        """Where each chunk of pieces begins, and behind them where the last one ends."""
+        length = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, piece: n + piece["gap"] + piece["found"]))
+        return F.aggregate(length, F.array(F.lit(0)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+
+    def in_chunks(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(numbers, lambda c: F.slice(pieces, c * CHUNK + 1, CHUNK))
+        return _once(chunks, lambda c: F.flatten(F.zip_with(c, F.slice(begins(c), 1, F.size(c)), walk)))
 
     pieces = F.zip_with(F.arrays_zip(found.alias("found"), wide.alias("wide")), F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(g.alias("gap"), m["found"].alias("found"), m["wide"].alias("wide")))
-    none = F.array().cast("array<struct<start:int,kind:int,span:string>>")
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, start, step, lambda state: state["out"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), _once(pieces, in_chunks)).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -67,7 +91,8 @@ def scan_versions(versions: DataFrame, ledger: str, path_cols: list[str], text:
     versions: one row for each path and version of it. ledger: a folder of Parquet, one folder for each scan, with
     (rule_version, blob, found) of everything scanned before; it may not exist yet. Only blobs that the ledger lacks
     under this rule version are scanned, each once however many paths hold it, and the ledger grows by them, so a
-    second call scans nothing. The findings then go back to all paths of a blob. Repeated rows give repeated rows,
+    second call scans nothing. Two calls at once may both add a blob, which is read once. The findings then go back to
+    all paths of a blob. Repeated rows give repeated rows,
     null paths are kept, an empty table gives an empty result, and other columns are ignored.
     """
     spark = versions.sparkSession
@@ -81,7 +106,7 @@ def scan_versions(versions: DataFrame, ledger: str, path_cols: list[str], text:
     fresh = scan_blobs(texts.dropDuplicates(["blob"]), rules).select(F.lit(rule_version).alias("rule_version"), "blob", "found")
     fresh.write.mode("append").option("compression", "zstd").parquet(ledger)
 
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found")
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
     paths = versions.select(*path_cols, blob_of(F.col(text)).alias("blob"))
     empty = F.array().cast("array<struct<start:int,kind:int,span:string>>")
     return paths.join(found, "blob", "left").select(*path_cols, "blob", F.coalesce("found", empty).alias("found"))

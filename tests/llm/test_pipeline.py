@@ -1,8 +1,10 @@
 from collections import Counter
 
 import corpus_pipeline
+from axonframe.llm.decontaminate import drop_contaminated
 from axonframe.llm.mixing import mix_digest, mixed_documents
 from axonframe.llm.interleave import shard_digest, sharded_documents
+from axonframe.llm.quality import keep_good
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ROWS = [
@@ -67,3 +69,25 @@ def test_run_on_documents(spark, sf_dir):
     assert out.columns == [*docs.columns, "shard", "slot"]
     counts = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert len(counts) == 16 and max(counts) - min(counts) <= 1
+
+
+def test_columns_that_clash_stay_as_they_are(spark):
+    names = "shard slot law _i _s _z _k _n _c _row _size _copies _copy _hash _rank _part node sha".split()
+    df = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in ROWS], SCHEMA + "".join(f", {n} string" for n in names))
+    mixed = mixed_documents(df)
+    assert mixed.columns == df.columns and {str(tuple(r)) for r in mixed.collect()} <= {str(tuple(r)) for r in df.collect()}
+    kept = [n for n in df.columns if n not in ("shard", "slot")]
+    whole = sharded_documents(df)
+    assert whole.columns == [*kept, "shard", "slot"]
+    assert Counter(str(tuple(r)[:-2]) for r in whole.collect()) == Counter(str(tuple(r)) for r in df.select(*kept).collect())
+    benchmark = spark.createDataFrame([(1, "z z z z z z z z z z z z", "x")], "item_id long, text string, _key string")
+    rest = drop_contaminated(df, benchmark)
+    assert rest.columns == df.columns and rest.count() == len(ROWS)
+    good = keep_good(df, spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string"))
+    assert good.columns == df.columns
+
+
+def test_ties_of_ids_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(5, f"{'t ' * (i % 7)}{i % 3}", "en", "s", i) for i in range(60)]
+    one, two = (spark.createDataFrame(r, SCHEMA).repartition(3) for r in (rows, rows[::-1]))
+    assert sorted(map(tuple, shard_digest(one).drop("grown_shard").collect())) == sorted(map(tuple, shard_digest(two).drop("grown_shard").collect()))

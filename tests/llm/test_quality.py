@@ -71,3 +71,13 @@ def test_features():
     index, value = features(b"a a b", 18)
     assert len(index) == len(set(index)) and value[0] == 1 and (value[1:] ** 2).sum() == pytest.approx(1)
     assert features(None, 18)[0].tolist() == [0]
+
+
+def test_training_is_bounded_by_rows_and_bytes_and_takes_an_id_once(spark):
+    texts = [(i, f"good w{i} fine" if i % 2 else f"bad v{i} poor") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    again = spark.createDataFrame(texts + texts[:20] * 30, "doc_id long, text string")
+    model = lambda d, **o: sorted(map(tuple, train(d, labels, s=Settings(updates=500, **o)).collect()))
+    assert model(docs) == model(again)
+    assert 0 < len(model(docs, shard_rows=2)) < len(model(docs)) and 0 < len(model(docs, shard_bytes=1)) < len(model(docs, shard_bytes=1000))
