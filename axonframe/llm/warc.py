@@ -24,6 +24,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Bytes of a split, and of a read while a record is followed past the end of one.
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 20
+#: Bytes of decoded records that are held until the members of a split are known to be records.
+HELD_BYTES = 32 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -165,10 +167,10 @@ def members_of_split(file, start: int, end: int, size: int) -> Iterator[tuple[in
     if start == 0 and size and at != 0 and not _zeros(tail, 0):
         yield 0, 0, None
     while 0 <= at < end - start:
-        spots, pos = [], start + at
-        while pos < end and (got := member_at(tail, pos, False)):
-            spots.append((pos, got[1] - pos))
-            pos = got[1]
+        spots, pos, held = [], start + at, 0
+        while pos < end and (got := member_at(tail, pos, held < HELD_BYTES)):
+            spots.append((pos, got[1] - pos, got[0] if held < HELD_BYTES else None))
+            pos, held = got[1], held + len(got[0])
         over = _zeros(tail, pos) if spots else False
         if spots and (over or pos >= end and _magic(tail, pos)):
             broken = not over and not member_at(tail, pos, False)
@@ -177,8 +179,8 @@ def members_of_split(file, start: int, end: int, size: int) -> Iterator[tuple[in
         else:
             at = tail.data.find(MAGIC, at + 1)
             continue
-        for place, length in spots:
-            yield place, length, member_at(tail, place)[0]
+        for place, length, raw in spots:
+            yield place, length, raw if raw is not None else member_at(tail, place)[0]
         if broken:
             yield pos, 0, None
         if not broken or pos >= end:
