@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonframe.functions.student import t_for_many, t_quantile_table
 
@@ -31,18 +35,48 @@ def argmax_first(df: DataFrame, keys: Sequence[str], col: str, order: str) -> Da
     return picked.select(*keys, *[F.col(f"_top._row.{c}").alias(c) for c in rest])
 
 
-def moments(spins: DataFrame, keys: Sequence[str] = (), state: str = "state") -> DataFrame:
-    """keys, i, j (null for first moments) and the mean of s_i or s_i s_j for i < j. spins: keys, state, i, s.
+#: States and subsets that are multiplied at once, which bounds the memory of their products.
+STATES, SUBSETS = 256, 2048
+
+
+def subset_sums(spins: DataFrame, k: int, keys: Sequence[str] = (), state: str = "state") -> DataFrame:
+    """keys, subset (array of k cells in order), total (sum over states of the product of their spins) and states (how
+    many states have all k cells). spins: keys, state, i, s.
 
-    Each state meets itself once, cell by cell; partial sums are made before the shuffle.
+    Each task adds up its own states, so what is shuffled is one row for each subset and task, not one for each state.
     """
-    first = spins.groupBy(*keys, "i").agg(F.avg("s").alias("mean")).select(*keys, "i", F.lit(None).cast("int").alias("j"), "mean")
-    a, b = spins.alias("a"), spins.alias("b")
-    same = F.col("a.i") < F.col("b.i")
-    for k in (*keys, state):
-        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    pairs = a.join(b, same).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-    return first.unionByName(pairs.agg(F.avg(F.col("a.s") * F.col("b.s")).alias("mean")))
+    cells = F.array_sort(F.collect_list(F.struct("i", "s")))
+    rows = spins.groupBy(*keys, state).agg(cells.alias("_c")).select(*keys, F.transform("_c", lambda c: c["i"].cast("int")).alias("_i"), F.transform("_c", lambda c: c["s"].cast("double")).alias("_s"))
+    schema = spins.select(*keys).schema
+    schema = schema.add("subset", T.ArrayType(T.IntegerType())).add("total", "double").add("states", "long")
+
+    def totals(table: np.ndarray) -> np.ndarray:
+        """Sums over rows of the products of k columns, for every k of them."""
+        chosen = np.array(list(combinations(range(table.shape[1]), k)), dtype=int).reshape(-1, k)
+        parts = [table[at : at + STATES][:, chosen[lo : lo + SUBSETS]].prod(axis=2).sum(axis=0) for lo in range(0, len(chosen), SUBSETS) for at in range(0, len(table), STATES)]
+        turns = -(-len(table) // STATES)
+        return np.concatenate([sum(parts[n : n + turns]) for n in range(0, len(parts), turns)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            shape = batch["_i"].map(tuple)
+            for key, part in batch.groupby([*(batch[c] for c in keys), shape], dropna=False, sort=False):
+                key = key if isinstance(key, tuple) and len(key) == len(keys) + 1 else (key,)
+                if len(key[-1]) >= k:
+                    held = sums.setdefault(key, [0.0, 0])
+                    held[0], held[1] = held[0] + totals(np.stack(part["_s"].to_numpy())), held[1] + len(part)
+        for key, (total, n) in sums.items():
+            yield pd.DataFrame({**{c: [v] * len(total) for c, v in zip(keys, key)}, "subset": list(combinations(key[-1], k)), "total": total, "states": n})
+
+    return rows.mapInPandas(run, schema).groupBy(*keys, "subset").agg(F.sum("total").alias("total"), F.sum("states").alias("states"))
+
+
+def moments(spins: DataFrame, keys: Sequence[str] = (), state: str = "state") -> DataFrame:
+    """keys, i, j (null for first moments) and the mean of s_i or s_i s_j for i < j. spins: keys, state, i, s."""
+    one, two = (subset_sums(spins, k, keys, state).withColumn("mean", F.col("total") / F.col("states")) for k in (1, 2))
+    first = one.select(*keys, F.get("subset", 0).alias("i"), F.lit(None).cast("int").alias("j"), "mean")
+    return first.unionByName(two.select(*keys, F.get("subset", 0).alias("i"), F.get("subset", 1).alias("j"), "mean"))
 
 
 def k_corr(spins: DataFrame, k: int, keys: Sequence[str] = (), state: str = "state") -> DataFrame:
@@ -50,13 +84,7 @@ def k_corr(spins: DataFrame, k: int, keys: Sequence[str] = (), state: str = "sta
 
     There are (cells choose k) subsets, and every state gives a term to each.
     """
-    states = spins.groupBy(*keys, state).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("_cells"))
-    rows = states.select(*keys, state, "_cells", F.lit(-1).alias("_last"), F.array().cast("array<int>").alias("subset"), F.lit(1).alias("_p"))
-    for _ in range(k):
-        ahead = F.filter("_cells", lambda c: c["i"] > F.col("_last"))
-        rows = rows.select(*keys, state, "_cells", "subset", "_p", F.explode(ahead).alias("_c"))
-        rows = rows.select(*keys, state, "_cells", F.col("_c.i").alias("_last"), F.array_append("subset", F.col("_c.i").cast("int")).alias("subset"), (F.col("_p") * F.col("_c.s")).alias("_p"))
-    return rows.groupBy(*keys, "subset").agg(F.avg("_p").alias("corr"))
+    return subset_sums(spins, k, keys, state).select(*keys, "subset", (F.col("total") / F.col("states")).alias("corr"))
 
 
 def stand_in_model(spins: DataFrame, keys: Sequence[str] = (), state: str = "state") -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ spike AS (
   LEFT JOIN (SELECT reach, t, cell, count(*) AS n FROM ev GROUP BY ALL) k ON k.reach = r AND k.t = g AND k.cell = c),
 kin AS (SELECT stim, reach, t, avg(value) AS x FROM ev GROUP BY ALL),
 spin AS (
-  SELECT vec_id AS state, label, CAST(i AS INTEGER) AS i, CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE -1 END AS s FROM embeddings, range(16) p(i)),
+  SELECT vec_id AS state, label, CAST(i AS INTEGER) AS i, CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE -1 END AS s FROM embeddings, range(64) p(i)),
 m1 AS (SELECT i, avg(s) AS mean FROM spin GROUP BY i),
 m2 AS (SELECT a.i, b.i AS j, avg(a.s * b.s) AS mean FROM spin a JOIN spin b ON a.state = b.state AND a.i < b.i GROUP BY ALL),
 model_h AS (SELECT i, atanh(mean) AS h FROM m1),
@@ -55,7 +55,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinematics.numbered(testdata.kinematics(spark, sf_dir))
 
 
-def _model(spark: SparkSession, sf_dir: str, cells: int = 16) -> tuple[DataFrame, DataFrame]:
+def _model(spark: SparkSession, sf_dir: str, cells: int = 64) -> tuple[DataFrame, DataFrame]:
     return stats.stand_in_model(testdata.spins(spark, sf_dir, cells))
 
 
@@ -113,7 +113,7 @@ def bin_size_scan(spark, sf_dir):
     return binning.bin_size_scan(testdata.spikes(spark, sf_dir), 1, 200, ("stim",)).withColumn("n_c", r6("n_c"))
 
 
-@query(""", q AS (SELECT state, sum((s + 1) / 2) / 32.0::DOUBLE + 0.5 AS q FROM spin GROUP BY state), e AS (SELECT min(q) AS lo, max(q) AS hi, count(*) AS n FROM q)
+@query(""", q AS (SELECT state, sum((s + 1) / 2) / 128.0::DOUBLE + 0.5 AS q FROM spin GROUP BY state), e AS (SELECT min(q) AS lo, max(q) AS hi, count(*) AS n FROM q)
   SELECT bin, round(lo + bin * ((hi - lo) / 100), 6) AS left_edge, count(*) AS count, round(count(*) / (n * ((hi - lo) / 100)), 6) AS density
   FROM (SELECT CAST(least(floor((q - lo) / ((hi - lo) / 100)), 99) AS INTEGER) AS bin, lo, hi, n FROM q, e) GROUP BY bin, lo, hi, n""")
 def q_histogram(spark, sf_dir):
@@ -237,16 +237,16 @@ def k_corr_3(spark, sf_dir):
     return stats.k_corr(testdata.spins(spark, sf_dir), 3).select("subset", r6("corr").alias("corr"))
 
 
-@query("""SELECT [a.i, b.i, c.i, d.i] AS subset, round(avg(a.s * b.s * c.s * d.s), 6) AS corr FROM (SELECT * FROM spin WHERE i < 8) a JOIN (SELECT * FROM spin WHERE i < 8) b ON a.state = b.state AND a.i < b.i
-  JOIN (SELECT * FROM spin WHERE i < 8) c ON a.state = c.state AND b.i < c.i JOIN (SELECT * FROM spin WHERE i < 8) d ON a.state = d.state AND c.i < d.i GROUP BY ALL""")
+@query("""SELECT [a.i, b.i, c.i, d.i] AS subset, round(avg(a.s * b.s * c.s * d.s), 6) AS corr FROM (SELECT * FROM spin WHERE i < 16) a JOIN (SELECT * FROM spin WHERE i < 16) b ON a.state = b.state AND a.i < b.i
+  JOIN (SELECT * FROM spin WHERE i < 16) c ON a.state = c.state AND b.i < c.i JOIN (SELECT * FROM spin WHERE i < 16) d ON a.state = d.state AND c.i < d.i GROUP BY ALL""")
 def k_corr_4(spark, sf_dir):
-    return stats.k_corr(testdata.spins(spark, sf_dir, 8), 4).select("subset", r6("corr").alias("corr"))
+    return stats.k_corr(testdata.spins(spark, sf_dir, 16), 4).select("subset", r6("corr").alias("corr"))
 
 
-@query(""", few AS (SELECT * FROM spin WHERE i < 8) SELECT [a.i, b.i, c.i, d.i, e.i] AS subset, round(avg(a.s * b.s * c.s * d.s * e.s), 6) AS corr FROM few a JOIN few b ON a.state = b.state AND a.i < b.i
+@query(""", few AS (SELECT * FROM spin WHERE i < 16) SELECT [a.i, b.i, c.i, d.i, e.i] AS subset, round(avg(a.s * b.s * c.s * d.s * e.s), 6) AS corr FROM few a JOIN few b ON a.state = b.state AND a.i < b.i
   JOIN few c ON a.state = c.state AND b.i < c.i JOIN few d ON a.state = d.state AND c.i < d.i JOIN few e ON a.state = e.state AND d.i < e.i GROUP BY ALL""")
 def k_corr_5(spark, sf_dir):
-    return stats.k_corr(testdata.spins(spark, sf_dir, 8), 5).select("subset", r6("corr").alias("corr"))
+    return stats.k_corr(testdata.spins(spark, sf_dir, 16), 5).select("subset", r6("corr").alias("corr"))
 
 
 ENERGY = """SELECT {k}, round(sum(e), 6) AS energy FROM (
@@ -389,7 +389,7 @@ def system_size(spark, sf_dir):
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spins = testdata.spins(spark, sf_dir)
+    spins = testdata.spins(spark, sf_dir, 16)
     return spins, fit.fit_ising(spins, ["label"])
 
 

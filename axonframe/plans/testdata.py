@@ -34,8 +34,8 @@ def kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("session", "stim", "reach", "t").agg(F.avg("value").alias("x")).withColumn("time", F.col("t").cast("double"))
 
 
-def spins(spark: SparkSession, sf_dir: str, cells: int = 16) -> DataFrame:
-    """state, label, i, s: signs of the first parts of every embedding."""
+def spins(spark: SparkSession, sf_dir: str, cells: int = 64) -> DataFrame:
+    """state, label, i, s: signs of the parts of every embedding, all of them or the first ones as cells."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     parts = F.posexplode(F.slice("embedding", 1, cells)).alias("i", "v")
     return e.select(F.col("vec_id").alias("state"), "label", parts).select("state", "label", F.col("i").cast("int").alias("i"), F.when(F.col("v") > 0, 1).otherwise(-1).alias("s"))
