@@ -188,10 +188,11 @@ def _longer_keys(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return longer.select("node", "comp", "e.key", "e.of")
 
 
-def _first_in_common(x: str, y: str, of: str) -> Column:
-    """Whether the samples in a key are the first that two nodes have in common, so that a pair stands under one key of each length."""
+def _first_in_common(x: str, y: str, of: str, upto: str) -> Column:
+    """Whether the samples in a key are the first that two nodes have in common, so that a pair stands under one key of
+    each length. upto: the bit after that of the key's last sample."""
     common = reduce(Column.bitwiseOR, (F.when(F.col(f"{x}{m}") == F.col(f"{y}{m}"), F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(SAMPLES)))
-    return common % F.expr(f"shiftleft(1, length(bin({of})))") == F.col(of)
+    return common % F.col(upto) == F.col(of)
 
 
 def _wide_distance(x: str, y: str) -> Column:
@@ -256,9 +257,10 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     """Links (a, b) that join the similar ones of nodes (node, sha, first_id, SIGNED) to components.
 
     First each node with the smallest and the largest of each of its keys, so that a dense group is linked without its
-    pairs. Then pairs of different components under keys that at most `crowd` components have; a key that more have is
-    made longer by each of the samples after its last until that holds, so the pairs under a key are at most `crowd`
-    times its rows. A pair is looked at under one key, that of the first samples it has in common. Only a pair all of
+    pairs. Then nodes with the smallest and the largest node of each other component under keys that at most `crowd`
+    components have; a key that more have is made longer by each of the samples after its last until that holds, so the
+    pairs under a key are at most 2 x `crowd` times its rows. Of two components with at most two nodes under a key, or one,
+    all pairs are looked at; of larger ones those with an end of either. A pair is looked at under one key, that of the first samples it has in common. Only a pair all of
     whose common samples together are a crowded key is not looked at.
     """
     keys = _near_keys(nodes)
@@ -279,8 +281,14 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     for _ in range(KEYED):
         held = rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
         rows = written(rows.join(held, "key"), "rows")
-        x, y = (rows.where(F.col("comps") <= crowd).join(alike, "node").select("key", F.col("of").alias(f"{s}of"), *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIGNED)]) for s in "xy")
-        cross = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _first_in_common("x", "y", "xof") & _close("x", "y", radius))
+        sparse = rows.where(F.col("comps") <= crowd)
+        ends = sparse.groupBy("key", "comp").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        signed = alike.select("node", *SIGNED)
+        x = sparse.join(ends, ["key", "comp"]).withColumn("end", F.col("node").isin(F.col("lo"), F.col("hi"))).withColumn("upto", F.expr("shiftleft(1, length(bin(of)))")).join(signed, "node")
+        y = ends.select("key", "comp", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node")).join(signed, "node")
+        x, y = x.select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "end", "of", "upto", *SIGNED)]), y.select("key", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", *SIGNED)])
+        once = (F.col("xcomp") < F.col("ycomp")) | ((F.col("xcomp") > F.col("ycomp")) & ~F.col("xend"))
+        cross = x.join(y, (x["key"] == y["key"]) & once & _close("x", "y", radius) & _first_in_common("x", "y", "xof", "xupto"))
         found.append(written(cross.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")), "pairs"))
         crowded = rows.where((F.col("comps") > crowd) & (F.col("of") < 1 << (KEYED - 1)))
         if crowded.isEmpty():
