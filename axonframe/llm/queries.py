@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontaminate import find_contamination
+from .fill_in_middle import fim_digest
 from .html_diff import extract
 from .interleave import shard_digest
 from .mixing import mix_digest
+from .periodic_runs import runs_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
 from .simhash_dedup import simhash_components
@@ -62,6 +64,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -73,6 +83,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
@@ -162,3 +174,14 @@ common AS (SELECT r, item, start, least(size, n) AS size, n, least(count(*), any
 scores AS (SELECT r, item, sum(c) / (any_value(size) + any_value(n) - sum(c)) AS similarity FROM common GROUP BY r, item, start)
 SELECT doc_id, item_id, CAST(max(similarity) AS DOUBLE) AS similarity
 FROM scores JOIN d USING (r) JOIN b USING (item) WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id"""
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS v FROM d),
+c AS (SELECT *, list_min([v[1] % (n + 1), v[2] % (n + 1)]) AS a, list_max([v[1] % (n + 1), v[2] % (n + 1)]) AS b,
+      CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR v[3] % 100 >= 100 THEN 'plain' WHEN v[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, coalesce(list_reduce(list_prepend('', u[:a]), lambda x, y: x || y), '') AS prefix, coalesce(list_reduce(list_prepend('', u[b + 1:]), lambda x, y: x || y), '') AS suffix FROM c),
+m AS (SELECT *, substr(text, length(prefix) + 1, length(text) - length(prefix) - length(suffix)) AS middle FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM m"""
