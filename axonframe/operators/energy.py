@@ -37,19 +37,33 @@ def ising_energy(state: Column | str, h: Column | str, cpl: Column | str) -> Col
     return _energy(state, h, cpl)
 
 
+def _model_row(model_h: DataFrame, model_j: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, _h (array of i and h) and _j (array of i, j and cpl): one row a model."""
+    h = model_h.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("_h"))
+    j = model_j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "cpl"))).alias("_j"))
+    return h.join(j, list(keys), "full") if keys else h.crossJoin(j)
+
+
+def _energy_of(spin) -> Column:
+    """The energy of a state under _h and _j, spin(i) being a cell's spin, or 0 if the state lacks it."""
+    zero = F.lit(0.0)
+    own = F.aggregate(F.coalesce("_h", F.array().cast("array<struct<i:int,h:double>>")), zero, lambda e, x: e - x["h"] * spin(x["i"]))
+    return F.aggregate(F.coalesce("_j", F.array().cast("array<struct<i:int,j:int,cpl:double>>")), own, lambda e, x: e - x["cpl"] * spin(x["i"]) * spin(x["j"]))
+
+
 def ising_energy_sql(spins: DataFrame, model_h: DataFrame, model_j: DataFrame, keys: Sequence[str] = (), state: Sequence[str] = ("state",)) -> DataFrame:
-    """The same from long tables, by joins alone: keys, state, energy. spins: keys, state, i, s.
+    """The same from long tables, by expressions alone: keys, state, energy. spins: keys, state, i, s, cells from 0 on.
 
     model_h and model_j have one row a cell and pair; keys are the columns by which states and models belong together.
+    Cells that a state or the model lacks add nothing. A state is put together as one row, which meets the one row of its
+    model; pairs of cells are no rows.
     """
-    own = spins.join(model_h, [*keys, "i"]).select(*keys, *state, (-F.col("h") * F.col("s")).alias("_e"))
-    a, b = spins.alias("a"), spins.alias("b")
-    same = F.col("a.i") < F.col("b.i")
-    for k in (*keys, *state):
-        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    pairs = a.join(b, same).select(*[F.col(f"a.{k}").alias(k) for k in (*keys, *state)], F.col("a.i").alias("i"), F.col("b.i").alias("j"), (F.col("a.s") * F.col("b.s")).alias("_ss"))
-    coupled = pairs.join(model_j, [*keys, "i", "j"]).select(*keys, *state, (-F.col("cpl") * F.col("_ss")).alias("_e"))
-    return own.unionByName(coupled).groupBy(*keys, *state).agg(F.sum("_e").alias("energy"))
+    rows = spins.groupBy(*keys, *state).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("s").cast("double")))).alias("_of"))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_of"))), lambda i: F.coalesce(F.col("_of")[i], F.lit(0.0)))
+    rows = rows.select(*keys, *state, dense.alias("_s"))
+    model = _model_row(model_h.withColumn("i", F.col("i").cast("int")), model_j.withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")}), keys)
+    both = rows.join(model, list(keys)) if keys else rows.crossJoin(F.broadcast(model))  # one row
+    return both.select(*keys, *state, _energy_of(lambda i: F.coalesce(F.get("_s", i), F.lit(0.0))).alias("energy"))
 
 
 def model_arrays(model_h: DataFrame, model_j: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,18 +79,30 @@ def energy_time(spike: DataFrame, model_h: DataFrame, model_j: DataFrame, keys:
     return ising_energy_sql(spins, model_h, model_j, keys, ("stim", "reach", "t"))
 
 
-def boltzmann_exact(model_h: DataFrame, model_j: DataFrame, temps: DataFrame, cells: int) -> DataFrame:
+#: Number of cells up to which all states are gone through.
+MOST_CELLS = 20
+
+
+def boltzmann_exact(model_h: DataFrame, model_j: DataFrame, temps: DataFrame, cells: int, branch: str | None = None) -> DataFrame:
     """temp_idx, temp, mean_e and var_e over all 2 ** cells states of -1 and +1, weighted by exp(-E / T).
 
-    Energies are taken from the ground state, so the weights do not overflow. For a few cells: it is the exact answer
-    that sampling is held against.
+    branch: only the states whose net spin is over 0 (`up`) or under 0 (`down`): the two branches between which a system
+    that starts mostly up, or mostly down, does not change at low temperatures. States are numbers, whose bits are the
+    spins, dealt out in ranges; a state is one row, and its energy one expression. Energies are taken from the least one
+    of the branch, so the weights do not overflow. For a few cells: it is the exact answer that sampling is held against.
     """
-    if cells > 20:
-        raise ValueError("enumeration is for 20 cells at most")
+    if cells > MOST_CELLS:
+        raise ValueError(f"enumeration is for {MOST_CELLS} cells at most")
+    if branch not in (None, "up", "down"):
+        raise ValueError(f"no branch {branch!r}; there are up and down")
     spark = model_h.sparkSession
-    places = spark.range(cells).select(F.col("id").cast("int").alias("i"))
-    spins = spark.range(1 << cells).withColumnRenamed("id", "state").crossJoin(F.broadcast(places)).select("state", "i", (2 * F.expr("(state >> i) & 1") - 1).cast("int").alias("s"))
-    e = ising_energy_sql(spins, model_h, model_j)
+    states = spark.range(1 << cells).withColumnRenamed("id", "state")
+    net = 2 * F.bit_count("state") - cells
+    if branch:
+        states = states.where(net > 0 if branch == "up" else net < 0)
+    model = _model_row(model_h.withColumn("i", F.col("i").cast("int")), model_j.withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")}), ())
+    spin = lambda i: F.when(i < cells, (2 * F.call_function("bit_get", F.col("state"), F.least(i, F.lit(cells - 1))) - 1).cast("double")).otherwise(0.0)
+    e = states.crossJoin(F.broadcast(model)).select(_energy_of(spin).alias("energy"))  # one row
     low = e.agg(F.min("energy").alias("_low"))
     weighted = e.crossJoin(F.broadcast(low)).crossJoin(F.broadcast(temps)).withColumn("_w", F.exp(-(F.col("energy") - F.col("_low")) / F.col("temp")))
     sums = weighted.groupBy("temp_idx", "temp").agg(F.sum("_w").alias("_z"), F.sum(F.col("_w") * F.col("energy")).alias("_e"), F.sum(F.col("_w") * F.col("energy") * F.col("energy")).alias("_e2"))

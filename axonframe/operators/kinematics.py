@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.functions.spline import spline
-from axonframe.operators.binning import head
+from axonframe.functions.spline import parabola_slopes, slopes, with_second_derivatives
+from axonframe.operators.binning import head, positions
 from axonframe.schema import REACH
 
 
@@ -32,25 +31,44 @@ def mask_to_reach(clock: DataFrame, kin: DataFrame, keys: Sequence[str] = REACH,
     return clock.alias("c").join(span.alias("s"), inside).select(*[F.col(f"s.{k}") for k in keys], *rest)
 
 
-def interpolate(clock: DataFrame, kin: DataFrame, cols: Sequence[str], keys: Sequence[str] = REACH, time: str = "time") -> DataFrame:
+#: Kinematic rows of a stretch of a reach, within which one task looks back and ahead.
+STRETCH_ROWS = 8192
+
+
+def interpolate(clock: DataFrame, kin: DataFrame, cols: Sequence[str], keys: Sequence[str] = REACH, time: str = "time", stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """Linear interpolation of columns of kin at the times of clock, both with keys and time; null outside of a reach.
 
     Both are put on one line of time, and each clock row looks back and ahead for the kinematic rows beside it. Looking
-    ahead is looking back on the line turned round, so that both frames grow row by row.
+    ahead is looking back on the line turned round, so that both frames grow row by row. A reach is cut
+    into stretches of equal time, about stretch_rows kinematic rows each, and what stretches know at their ends is carried
+    on to those after and before, a row a stretch; so a long reach is split over tasks. A row at a time that is null or
+    NaN is left out of kin, and has nulls in the result.
     """
-    marked = kin.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_clock"), *[F.col(c).cast("double").alias(c) for c in cols])
+    at = F.col(time).cast("double")
+    usable = kin.where(at.isNotNull() & ~F.isnan(at))
+    span = usable.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / stretch_rows).alias("_cuts"))
+    marked = usable.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_clock"), *[F.col(c).cast("double").alias(c) for c in cols])
     asked = clock.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_clock"), *[F.lit(None).cast("double").alias(c) for c in cols])
-    back, ahead = (Window.partitionBy(*keys).orderBy(at, "_clock").rowsBetween(Window.unboundedPreceding, 0) for at in (F.col("_at"), F.col("_at").desc()))
+    place = F.floor((F.col("_at").cast("double") - F.col("_lo")) * F.col("_cuts") / (F.col("_hi") - F.col("_lo")))
+    inside = F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.lit(-1), F.least(place, F.col("_cuts")))).otherwise(F.signum(F.col("_at").cast("double") - F.col("_lo")))
     known = lambda c: F.when(F.col("_clock") == 0, F.struct(F.col("_at").alias("t"), F.col(c).alias("v")))
-    out = marked.unionByName(asked)
-    for c in cols:
-        out = out.withColumns({f"_b_{c}": F.last(known(c), ignorenulls=True).over(back), f"_a_{c}": F.last(known(c), ignorenulls=True).over(ahead)})
+    line = marked.unionByName(asked).join(span, list(keys), "left").withColumn("_stretch", F.coalesce(inside.cast("long"), F.lit(0)))
+    line = line.select(*keys, "_stretch", "_at", "_clock", *[known(c).alias(c) for c in cols])
+
+    ends = line.groupBy(*keys, "_stretch").agg(*[F.max(c).alias(f"_last_{c}") for c in cols], *[F.min(c).alias(f"_first_{c}") for c in cols])
+    order = Window.partitionBy(*keys).orderBy("_stretch")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.col("_stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_stretch", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_from_{c}") for c in cols], *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_to_{c}") for c in cols])
+
+    back, ahead = (Window.partitionBy(*keys, "_stretch").orderBy(t, "_clock").rowsBetween(Window.unboundedPreceding, 0) for t in (F.col("_at"), F.col("_at").desc()))
+    looked = line.withColumns({f"_b_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}).withColumns({f"_a_{c}": F.last(c, ignorenulls=True).over(ahead) for c in cols})
+    rows = looked.where(F.col("_clock") == 1).join(carried, [*keys, "_stretch"])
 
     def value(c: str) -> Column:
-        b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")
+        b, a = F.coalesce(f"_b_{c}", f"_from_{c}"), F.coalesce(f"_a_{c}", f"_to_{c}")
         return F.when(b["t"] == a["t"], b["v"]).otherwise(b["v"] + (a["v"] - b["v"]) * F.try_divide(F.col("_at") - b["t"], a["t"] - b["t"]))
 
-    return out.where(F.col("_clock") == 1).select(*keys, F.col("_at").alias(time), *[value(c).alias(c) for c in cols])
+    return rows.select(*keys, F.col("_at").alias(time), *[value(c).alias(c) for c in cols])
 
 
 def rescale(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0, keys: Sequence[str] = REACH) -> DataFrame:
@@ -75,13 +93,41 @@ def derivative(df: DataFrame, col: str, method: str = "central", keys: Sequence[
         return df.withColumn(out, slope)
     if method != "spline":
         raise ValueError(f"no method {method!r}; there are central and spline")
+    return spline_derivative(df, col, keys, time, out)
+
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time)
-        x = part[time].to_numpy(dtype=float)
-        return part.assign(**{out: spline(x, part[col].to_numpy(dtype=float), x, derivative=True)})
+#: Points of a reach whose spline is solved at once, and points beyond them on either side that it also looks at.
+SPLINE_ROWS, SPLINE_BEYOND = 256, 48
 
-    return df.groupBy(*keys).applyInPandas(one, df.withColumn(out, F.lit(0.0)).schema)
+
+def spline_derivative(df: DataFrame, col: str, keys: Sequence[str] = REACH, time: str = "time", out: str | None = None, rows: int = SPLINE_ROWS, beyond: int = SPLINE_BEYOND) -> DataFrame:
+    """Add the derivative of the cubic spline through a reach's points as `out`.
+
+    A reach is cut into blocks of points, which are solved each with some points of its neighbours: the influence of a
+    point on the spline falls to a quarter or so with each point between, so 48 of them leave nothing of it in a double.
+    So a long reach is split over tasks, and all is done by expressions over arrays. Under four points the polynomial
+    through them is taken, and the derivative of one point is NaN. Times must differ and not be null.
+    """
+    out = out or f"d_{col}"
+    at = F.col(time).cast("double")
+    span = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    cut = df.select(*keys, F.col(time).alias("_time"), at.alias("_x"), F.col(col).cast("double").alias("_y")).join(span, list(keys))
+    stretch = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_x") - F.col("_lo")) * F.ceil(F.col("_n") / STRETCH_ROWS) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
+    placed = positions(cut.withColumn("_stretch", stretch), keys, ("_stretch", "_x"), None)
+    place, last = F.col("_pos") % rows, F.floor((F.col("_n") - 1) / rows)
+    block = F.floor(F.col("_pos") / rows)
+    to = F.array_compact(F.array(block, F.when((place < beyond) & (block > 0), block - 1), F.when((place >= rows - beyond) & (block < last), block + 1)))
+    dealt = placed.withColumn("_block", F.explode(to)).withColumn("_own", F.col("_block") == block)
+    points = dealt.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x", "_y", "_own", "_time"))).alias("_p"), F.max("_n").alias("_n"))
+    part = lambda name: F.transform("_p", lambda p: p[name])
+    lines = points.withColumns({"_x": part("_x"), "_y": part("_y"), "_start": F.get("_p", 0)["_pos"] == 0, "_end": F.element_at("_p", -1)["_pos"] == F.col("_n") - 1})
+    bent = F.col("_n") >= 4
+    lines = with_second_derivatives(lines, "_x", "_y", F.col("_start"), F.col("_end"), "_m")
+    lines = lines.withColumn("_s", F.when(bent, slopes(F.col("_x"), F.col("_y"), F.col("_m"))).otherwise(parabola_slopes(F.col("_x"), F.col("_y"))))
+    solved = lines.select(*keys, F.inline(F.arrays_zip(part("_own").alias("own"), part("_time").alias("_time"), F.col("_s").alias("_slope")))).where("own")
+    a, b = df.alias("a"), solved.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{time}") == F.col("b._time")]
+    return a.join(b, same).select(*[F.col(f"a.{c}") for c in df.columns if c != out], F.col("b._slope").alias(out))
 
 
 def with_accelerations(kin: DataFrame, method: str = "central") -> DataFrame:

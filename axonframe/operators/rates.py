@@ -30,10 +30,16 @@ def classify_cells(rate: DataFrame, position: DataFrame, model_h: DataFrame, ski
     """Pausers and bursters: the sign of the slope of a cell's mean rate over the mean position, rows before skip left out.
 
     rate: session, stim, cell, t, rate. position: session, stim, t, x. model_h: session, stim, cell, h. A slope that is
-    0, null or NaN gives no row.
+    0, null or NaN gives no row. r is the correlation, std_err the standard error of the slope, and p the two-sided
+    p-value of a slope of 0; both are null for under three rows.
     """
     both = rate.where(F.col("t") >= skip).join(position, ["session", "stim", "t"])
-    fit = both.groupBy("session", "stim", "cell").agg(F.regr_slope("rate", "x").alias("slope"), F.regr_intercept("rate", "x").alias("intercept"), F.try_divide(F.regr_sxy("rate", "x"), F.sqrt(F.regr_sxx("rate", "x") * F.regr_syy("rate", "x"))).alias("r"), F.count(F.lit(1)).alias("rows"))
+    sums = both.groupBy("session", "stim", "cell").agg(F.regr_slope("rate", "x").alias("slope"), F.regr_intercept("rate", "x").alias("intercept"), F.regr_sxx("rate", "x").alias("_xx"), F.regr_syy("rate", "x").alias("_yy"), F.regr_sxy("rate", "x").alias("_xy"), F.count(F.lit(1)).alias("rows"))
+    r = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
+    error = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_yy") - F.col("slope") * F.col("_xy"), F.col("_xx") * (F.col("rows") - 2))))
+    fit = sums.withColumns({"r": r, "std_err": error}).drop("_xx", "_yy", "_xy")
+    # a line through all points has no error, and its slope is not 0 by chance
+    fit = fit.withColumn("p", F.when((F.col("std_err") == 0) & (F.col("slope") != 0), 0.0).otherwise(p_value(F.try_divide(F.col("slope"), F.col("std_err")), F.col("rows") - 2)))
     kind = F.when(F.col("slope") < 0, "pauser").when(F.col("slope") > 0, "burster")
     named = fit.where(~F.isnan("slope")).withColumn("kind", kind).where(F.col("kind").isNotNull())
     return named.join(model_h, ["session", "stim", "cell"])

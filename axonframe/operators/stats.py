@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import combinations
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from axonframe.functions.student import t_for_many, t_quantile_table
 
@@ -35,41 +31,59 @@ def argmax_first(df: DataFrame, keys: Sequence[str], col: str, order: str) -> Da
     return picked.select(*keys, *[F.col(f"_top._row.{c}").alias(c) for c in rest])
 
 
-#: States and subsets that are multiplied at once, which bounds the memory of their products.
-STATES, SUBSETS = 256, 2048
+#: States of a block, 64 to a word.
+BLOCK_STATES = 4096
+
+
+def packed_spins(spins: DataFrame, keys: Sequence[str] = (), state: str = "state", block_states: int | None = None) -> DataFrame:
+    """keys, cells (in order), bits and known: one row for each block of states, bits and known being for each cell words
+    of 64 states. A bit of `bits` says that the state's spin is -1, one of `known` that the state has the cell.
+
+    States go to blocks by the hash of their name, so a block has about block_states states whatever a group's size, and
+    are numbered within it. A cell's words of a block are then 64 times smaller than its spins. spins: keys, state, i, s;
+    a state that has a cell twice counts once, as -1 if either is.
+    """
+    blocks = spins.groupBy(*keys).agg(F.ceil(F.approx_count_distinct(state) / (block_states or BLOCK_STATES)).alias("_blocks"))
+    near = spins.join(blocks, list(keys)) if keys else spins.crossJoin(F.broadcast(blocks))  # one row a group of the keys
+    rows = near.groupBy(*keys, state, "_blocks").agg(F.collect_list(F.struct("i", (F.col("s") < 0).alias("down"))).alias("_c"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(state), F.greatest("_blocks", F.lit(1))))
+    bit = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(state)) - 1
+    rows = rows.withColumn("_bit", bit).select(*keys, "_block", (F.col("_bit") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_one"), F.inline("_c"))
+    words = rows.groupBy(*keys, "_block", "i", "_word").agg(F.bit_or(F.when(F.col("down"), F.col("_one")).otherwise(F.lit(0).cast("long"))).alias("b"), F.bit_or("_one").alias("k"))
+    cells = words.groupBy(*keys, "_block", "i").agg(F.map_from_entries(F.collect_list(F.struct("_word", F.struct("b", "k")))).alias("_w"), F.max("_word").alias("_last"))
+    blocks = cells.groupBy(*keys, "_block").agg(F.max("_last").alias("_last"), F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.map_entries("_w").alias("w")))).alias("_c"))
+    none = F.lit(0).cast("long")
+    filled = lambda name: F.transform("_c", lambda c: F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.map_from_entries(c["w"])[w][name], none)))
+    return blocks.select(*keys, F.transform("_c", lambda c: c["i"]).alias("cells"), filled("b").alias("bits"), filled("k").alias("known"))
 
 
 def subset_sums(spins: DataFrame, k: int, keys: Sequence[str] = (), state: str = "state") -> DataFrame:
     """keys, subset (array of k cells in order), total (sum over states of the product of their spins) and states (how
     many states have all k cells). spins: keys, state, i, s.
 
-    Each task adds up its own states, so what is shuffled is one row for each subset and task, not one for each state.
+    The product of k spins is -1 where an odd number of them is, which is the XOR of their bits. So of 64 states a product
+    is one XOR, and its sum a count of bits. Cells are chosen one after the other, and the words of those chosen so far
+    are carried along. Blocks of states add up, so what is shuffled is one row for each subset and task.
     """
-    cells = F.array_sort(F.collect_list(F.struct("i", "s")))
-    rows = spins.groupBy(*keys, state).agg(cells.alias("_c")).select(*keys, F.transform("_c", lambda c: c["i"].cast("int")).alias("_i"), F.transform("_c", lambda c: c["s"].cast("double")).alias("_s"))
-    schema = spins.select(*keys).schema
-    schema = schema.add("subset", T.ArrayType(T.IntegerType())).add("total", "double").add("states", "long")
-
-    def totals(table: np.ndarray) -> np.ndarray:
-        """Sums over rows of the products of k columns, for every k of them."""
-        chosen = np.array(list(combinations(range(table.shape[1]), k)), dtype=int).reshape(-1, k)
-        parts = [table[at : at + STATES][:, chosen[lo : lo + SUBSETS]].prod(axis=2).sum(axis=0) for lo in range(0, len(chosen), SUBSETS) for at in range(0, len(table), STATES)]
-        turns = -(-len(table) // STATES)
-        return np.concatenate([sum(parts[n : n + turns]) for n in range(0, len(parts), turns)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
-        for batch in batches:
-            shape = batch["_i"].map(tuple)
-            for key, part in batch.groupby([*(batch[c] for c in keys), shape], dropna=False, sort=False):
-                key = key if isinstance(key, tuple) and len(key) == len(keys) + 1 else (key,)
-                if len(key[-1]) >= k:
-                    held = sums.setdefault(key, [0.0, 0])
-                    held[0], held[1] = held[0] + totals(np.stack(part["_s"].to_numpy())), held[1] + len(part)
-        for key, (total, n) in sums.items():
-            yield pd.DataFrame({**{c: [v] * len(total) for c, v in zip(keys, key)}, "subset": list(combinations(key[-1], k)), "total": total, "states": n})
-
-    return rows.mapInPandas(run, schema).groupBy(*keys, "subset").agg(F.sum("total").alias("total"), F.sum("states").alias("states"))
+    rows = packed_spins(spins, keys, state).where(F.size("cells") >= k).withColumn("subset", F.array().cast("array<int>")).withColumn("at", F.lit(-1))
+    at = lambda name, q: F.get(F.col(name), q)
+    with_bits = lambda q: at("bits", q) if k == 1 else F.zip_with(F.col("odd"), at("bits", q), lambda a, b: a.bitwiseXOR(b))
+    with_known = lambda q: at("known", q) if k == 1 else F.zip_with(F.col("all"), at("known", q), lambda a, b: a.bitwiseAND(b))
+    for chosen in range(1, k):
+        rows = rows.withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.size("cells") - (k - chosen) - 1)))
+        first = chosen == 1
+        q = F.col("at")
+        rows = rows.withColumns({"subset": F.array_append("subset", at("cells", q)), "odd": at("bits", q) if first else with_bits(q), "all": at("known", q) if first else with_known(q)})
+    count = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+
+    def last(q: Column) -> Column:
+        known = with_known(q)
+        minus = count(F.zip_with(with_bits(q), known, lambda a, b: a.bitwiseAND(b)))
+        return F.struct(at("cells", q).alias("cell"), count(known).alias("n"), minus.alias("minus"))
+
+    ends = rows.select(*keys, "subset", F.inline(F.transform(F.sequence(F.col("at") + 1, F.size("cells") - 1), last)))
+    sums = ends.where("n > 0").groupBy(*keys, F.array_append("subset", F.col("cell")).alias("subset")).agg(F.sum(F.col("n") - 2 * F.col("minus")).alias("total"), F.sum("n").alias("states"))
+    return sums.select(*keys, "subset", F.col("total").cast("double").alias("total"), "states")
 
 
 def moments(spins: DataFrame, keys: Sequence[str] = (), state: str = "state") -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.student import t_quantile
-from axonframe.operators import binning, energy, fit, kinematics, rates, sampling, stats
+from axonframe.operators import binning, energy, kinematics, rates, sampling, stats
 from axonframe.plans import reports, testdata
-from axonframe.sources import sessions
+from axonframe.session import new_path
+from axonframe.sources import mat, sessions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,9 +88,7 @@ def spins_pm1(spark, sf_dir):
 @query("""SELECT name AS segment, stim, reach, cell, count(*) AS n_rows, sum(n) AS spikes
   FROM spike JOIN (VALUES ('pre', 0, 45), ('active', 45, 96), ('mid', 45, 60), ('full', 0, 96)) v(name, lo, hi) ON t >= lo AND t < hi GROUP BY ALL""")
 def segment_pre_mid_active(spark, sf_dir):
-    spike = testdata.spikes(spark, sf_dir)
-    parts = [binning.segment(spike, name, 45, 60).withColumn("segment", F.lit(name)) for name in binning.SEGMENTS]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    rows = testdata.spikes(spark, sf_dir).withColumn("segment", F.explode(binning.segments_of(F.col("t"), 45, 60)))
     return rows.groupBy("segment", "stim", "reach", "cell").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("spikes"))
 
 
@@ -147,7 +146,33 @@ def derivative_central(spark, sf_dir):
     return kinematics.derivative(testdata.kinematics(spark, sf_dir), "x").select("stim", "reach", "t", r6("d_x").alias("d_x"))
 
 
-@query()
+def spline_sql(points: str, out: str) -> str:
+    """SQL for {out}_m (g, k, n, x, y, h, d, m): points (g, k from 0, x, y, n) of at least four a group, with the step, the
+    slope and the second derivative of the cubic spline at each; three diagonals are solved by recursion."""
+    return f"""{out}_h AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d FROM {points} WINDOW w AS (PARTITION BY g ORDER BY k)),
+  {out}_t AS (SELECT b.g, b.k, b.n, a.h - CASE WHEN b.k = b.n - 2 THEN b.h * b.h / a.h ELSE 0 END AS lo, b.h - CASE WHEN b.k = 1 THEN a.h * a.h / b.h ELSE 0 END AS up, 6 * (b.d - a.d) AS rhs,
+      2 * (a.h + b.h) + CASE WHEN b.k = 1 THEN a.h * (a.h + b.h) / b.h ELSE 0 END + CASE WHEN b.k = b.n - 2 THEN b.h * (a.h + b.h) / a.h ELSE 0 END AS mid
+      FROM {out}_h a JOIN {out}_h b ON a.g = b.g AND b.k = a.k + 1 WHERE b.k <= b.n - 2),
+  {out}_f(g, k, n, c, r) AS (SELECT g, k, n, up / mid, rhs / mid FROM {out}_t WHERE k = 1 UNION ALL
+      SELECT t.g, t.k, t.n, t.up / (t.mid - t.lo * f.c), (t.rhs - t.lo * f.r) / (t.mid - t.lo * f.c) FROM {out}_f f JOIN {out}_t t ON t.g = f.g AND t.k = f.k + 1),
+  {out}_b(g, k, m) AS (SELECT g, k, r FROM {out}_f WHERE k = n - 2 UNION ALL SELECT f.g, f.k, f.r - f.c * b.m FROM {out}_b b JOIN {out}_f f ON f.g = b.g AND f.k = b.k - 1),
+  {out}_m AS (SELECT h.*, CASE WHEN h.k = 0 THEN ((h.h + h1.h) * b1.m - h.h * b2.m) / h1.h WHEN h.k = h.n - 1 THEN ((g1.h + g2.h) * c1.m - g1.h * c2.m) / g2.h ELSE b.m END AS m FROM {out}_h h
+      LEFT JOIN {out}_b b ON b.g = h.g AND b.k = h.k LEFT JOIN {out}_h h1 ON h1.g = h.g AND h1.k = 1 LEFT JOIN {out}_b b1 ON b1.g = h.g AND b1.k = 1 LEFT JOIN {out}_b b2 ON b2.g = h.g AND b2.k = 2
+      LEFT JOIN {out}_h g1 ON g1.g = h.g AND g1.k = h.n - 2 LEFT JOIN {out}_h g2 ON g2.g = h.g AND g2.k = h.n - 3 LEFT JOIN {out}_b c1 ON c1.g = h.g AND c1.k = h.n - 2 LEFT JOIN {out}_b c2 ON c2.g = h.g AND c2.k = h.n - 3)"""
+
+
+def spline_slopes(points: str, out: str) -> str:
+    """SQL for `out` (g, x, slope): the spline's derivative at its points."""
+    return f"""{spline_sql(points, out)},
+  {out} AS (SELECT g, x, CASE WHEN k < n - 1 THEN d - h * (2 * m + lead(m) OVER w) / 6 ELSE lag(d) OVER w + lag(h) OVER w * (lag(m) OVER w + 2 * m) / 6 END AS slope FROM {out}_m WINDOW w AS (PARTITION BY g ORDER BY k))"""
+
+
+def recursive(name: str) -> None:
+    ORACLES[name] = ORACLES[name].replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+@query(f""", pt AS (SELECT reach AS g, row_number() OVER (PARTITION BY reach ORDER BY t) - 1 AS k, t::DOUBLE AS x, x AS y, count(*) OVER (PARTITION BY reach) AS n FROM kin), {spline_slopes("pt", "sl")}
+  SELECT stim, reach, t, round(slope, 6) AS d_x FROM kin JOIN sl ON g = reach AND sl.x = t""")
 def derivative_spline(spark, sf_dir):
     return kinematics.derivative(testdata.kinematics(spark, sf_dir), "x", "spline").select("stim", "reach", "t", r6("d_x").alias("d_x"))
 
@@ -198,7 +223,15 @@ def ttest_stat(spark, sf_dir):
     return rates.reactive_test(testdata.spikes(spark, sf_dir), _crossing(spark, sf_dir), 5).select("cell", "df", r6("t").alias("t"))
 
 
-@query()
+def tails(table: str, keys: str) -> str:
+    """SQL for p (keys, p): two-sided p-values of `table` (keys, t, df), by the finite sums for whole degrees of freedom."""
+    return f"""tk AS (SELECT *, atan(abs(t) / sqrt(df)) AS theta, df % 2 AS odd, CASE WHEN df % 2 = 1 THEN (df - 1) // 2 ELSE df // 2 END AS terms FROM {table}),
+  tz AS (SELECT {keys}, k, theta, odd, sum(CASE WHEN k = 0 THEN 0 WHEN odd = 1 THEN ln(2.0::DOUBLE * k / (2 * k + 1)) ELSE ln((2.0::DOUBLE * k - 1) / (2 * k)) END) OVER (PARTITION BY {keys} ORDER BY k) AS l FROM tk, range(2000) r(k) WHERE k < terms),
+  tq AS (SELECT {keys}, sum(exp(l) * cos(theta) ** (2 * k + odd)) AS s FROM tz GROUP BY {keys}),
+  p AS (SELECT {keys}, 1 - CASE WHEN odd = 1 THEN 2 / pi() * (theta + sin(theta) * coalesce(s, 0)) ELSE sin(theta) * s END AS p FROM tk LEFT JOIN tq USING ({keys}))"""
+
+
+@query(ORACLES["ttest_stat"].removeprefix(WITH).replace("SELECT cell, n0 + n1 - 2 AS df, round((m0", "SELECT cell, n0 + n1 - 2 AS df, ((m0").replace(", 6) AS t FROM g", ") AS t FROM g").replace("SELECT cell, n0", ", tt AS (SELECT cell, n0") + "), " + tails("tt", "cell") + " SELECT cell, round(p, 6) AS p FROM p")
 def ttest_pvalue(spark, sf_dir):
     return rates.reactive_test(testdata.spikes(spark, sf_dir), _crossing(spark, sf_dir), 5).select("cell", r6("p").alias("p"))
 
@@ -214,9 +247,11 @@ def mean_ci(spark, sf_dir):
 
 
 @query(f""", {RATE}, a AS (SELECT stim, cell, t, avg(rate) AS rate FROM rate GROUP BY ALL), pos AS (SELECT stim, CAST(t AS INTEGER) AS t, avg(x) AS x FROM cut GROUP BY ALL),
-  f AS (SELECT stim, cell, regr_slope(rate, x) AS slope, regr_intercept(rate, x) AS intercept, count(*) AS n_rows FROM a JOIN pos USING (stim, t) WHERE t >= 10 GROUP BY ALL)
-  SELECT stim, cell, CASE WHEN slope < 0 THEN 'pauser' ELSE 'burster' END AS kind, round(slope, 6) AS slope, round(intercept, 6) AS intercept, n_rows, round(h, 6) AS h
-  FROM f JOIN model_h ON i = cell WHERE slope <> 0 AND NOT isnan(slope)""")
+  f AS (SELECT stim, cell, regr_slope(rate, x) AS slope, regr_intercept(rate, x) AS intercept, count(*) AS n_rows, sqrt((regr_syy(rate, x) - regr_sxy(rate, x) ** 2 / regr_sxx(rate, x)) / (count(*) - 2) / regr_sxx(rate, x)) AS std_err
+        FROM a JOIN pos USING (stim, t) WHERE t >= 10 GROUP BY ALL),
+  tt AS (SELECT stim, cell, slope / std_err AS t, n_rows - 2 AS df FROM f), {tails("tt", "stim, cell")}
+  SELECT stim, cell, CASE WHEN slope < 0 THEN 'pauser' ELSE 'burster' END AS kind, round(slope, 6) AS slope, round(intercept, 6) AS intercept, n_rows, round(h, 6) AS h, round(std_err, 6) AS std_err, round(p, 6) AS p
+  FROM f JOIN p USING (stim, cell) JOIN model_h ON i = cell WHERE slope <> 0 AND NOT isnan(slope)""")
 def pauser_burster(spark, sf_dir):
     """Cells by the slope of their mean rate over the mean position: the flagship query."""
     rate = rates.rolling_rate_all_reach(testdata.spikes(spark, sf_dir), 10)
@@ -224,7 +259,7 @@ def pauser_burster(spark, sf_dir):
     h, _ = _model(spark, sf_dir, 8)
     stim = rate.select("session", "stim").distinct()
     found = rates.classify_cells(rate, position, stim.crossJoin(F.broadcast(h.select(F.col("i").alias("cell"), "h"))), skip=10)  # one row a cell
-    return found.select("stim", "cell", "kind", r6("slope").alias("slope"), r6("intercept").alias("intercept"), F.col("rows").alias("n_rows"), r6("h").alias("h"))
+    return found.select("stim", "cell", "kind", r6("slope").alias("slope"), r6("intercept").alias("intercept"), F.col("rows").alias("n_rows"), r6("h").alias("h"), r6("std_err").alias("std_err"), r6("p").alias("p"))
 
 
 @query("SELECT i, CAST(NULL AS INTEGER) AS j, round(mean, 6) AS mean FROM m1 UNION ALL SELECT i, j, round(mean, 6) FROM m2")
@@ -237,10 +272,10 @@ def k_corr_3(spark, sf_dir):
     return stats.k_corr(testdata.spins(spark, sf_dir), 3).select("subset", r6("corr").alias("corr"))
 
 
-@query("""SELECT [a.i, b.i, c.i, d.i] AS subset, round(avg(a.s * b.s * c.s * d.s), 6) AS corr FROM (SELECT * FROM spin WHERE i < 16) a JOIN (SELECT * FROM spin WHERE i < 16) b ON a.state = b.state AND a.i < b.i
-  JOIN (SELECT * FROM spin WHERE i < 16) c ON a.state = c.state AND b.i < c.i JOIN (SELECT * FROM spin WHERE i < 16) d ON a.state = d.state AND c.i < d.i GROUP BY ALL""")
+@query("""SELECT [a.i, b.i, c.i, d.i] AS subset, round(avg(a.s * b.s * c.s * d.s), 6) AS corr FROM spin a JOIN spin b ON a.state = b.state AND a.i < b.i
+  JOIN spin c ON a.state = c.state AND b.i < c.i JOIN spin d ON a.state = d.state AND c.i < d.i GROUP BY ALL""")
 def k_corr_4(spark, sf_dir):
-    return stats.k_corr(testdata.spins(spark, sf_dir, 16), 4).select("subset", r6("corr").alias("corr"))
+    return stats.k_corr(testdata.spins(spark, sf_dir), 4).select("subset", r6("corr").alias("corr"))
 
 
 @query(""", few AS (SELECT * FROM spin WHERE i < 16) SELECT [a.i, b.i, c.i, d.i, e.i] AS subset, round(avg(a.s * b.s * c.s * d.s * e.s), 6) AS corr FROM few a JOIN few b ON a.state = b.state AND a.i < b.i
@@ -287,10 +322,11 @@ def energy_time_ci(spark, sf_dir):
     return ci.select("stim", "t", *[r6(c).alias(c) for c in ("mean", "lower", "upper")])
 
 
-BOLTZMANN = """, st AS (SELECT state, CAST(i AS INTEGER) AS i, 2 * ((state >> i) & 1) - 1 AS s FROM range(256) g(state), range(8) p(i)),
+REGULAR = "tg AS (SELECT CAST(k AS INTEGER) AS temp_idx, 0.1::DOUBLE + k * 0.1::DOUBLE AS temp FROM range(29) g(k))"
+BOLTZMANN = f""", st AS (SELECT state, CAST(i AS INTEGER) AS i, 2 * ((state >> i) & 1) - 1 AS s FROM range(256) g(state), range(8) p(i)),
   en AS (SELECT state, sum(e) AS e FROM (SELECT state, -h * s AS e FROM st JOIN model_h USING (i) UNION ALL
          SELECT a.state, -cpl * a.s * b.s FROM st a JOIN st b ON a.state = b.state AND a.i < b.i JOIN model_j m ON m.i = a.i AND m.j = b.i) GROUP BY state),
-  tg AS (SELECT CAST(k AS INTEGER) AS temp_idx, 0.1::DOUBLE + k * 0.1::DOUBLE AS temp FROM range(29) g(k)),
+  {REGULAR},
   bz AS (SELECT temp_idx, temp, sum(w) AS z, sum(w * e) / sum(w) AS mean_e, sum(w * e * e) / sum(w) - (sum(w * e) / sum(w)) ** 2 AS var_e
          FROM (SELECT *, exp(-(e - (SELECT min(e) FROM en)) / temp) AS w FROM en, tg) GROUP BY ALL)"""
 
@@ -345,100 +381,92 @@ def tail_mean(spark, sf_dir):
     return reports.tail_mean(curve, ["session"], "mean_e").select(r6("mean_e_tail").alias("mean_e_tail"))
 
 
-@query(BOLTZMANN + """, low AS (SELECT *, -mean_e AS other FROM bz) SELECT temp_idx AS tc_idx, round(temp, 6) AS tc, round((mean_e + other) / 2 + 0.0::DOUBLE, 6) AS ec FROM low ORDER BY var_e DESC, temp_idx LIMIT 1""")
-def two_branch_critical(spark, sf_dir):
-    """The branch from mostly up cells and, standing for the other one, its mirror image."""
-    plus = _boltzmann(spark, sf_dir).withColumn("session", F.lit("exact"))
-    at = reports.two_branch_critical(plus, plus.withColumn("mean_e", -F.col("mean_e")), ["session"])
-    return at.select("tc_idx", r6("tc").alias("tc"), r6("ec").alias("ec"))
+def _branch_sql(name: str, net: str) -> str:
+    """SQL like bz for the states whose net spin is over or under 0."""
+    return f"""{name}_s AS (SELECT en.state, en.e FROM en JOIN (SELECT state, sum(s) AS net FROM st GROUP BY state) USING (state) WHERE net {net} 0),
+  {name} AS (SELECT temp_idx, temp, sum(w * e) / sum(w) AS mean_e, sum(w * e * e) / sum(w) - (sum(w * e) / sum(w)) ** 2 AS var_e FROM (SELECT *, exp(-(e - (SELECT min(e) FROM {name}_s)) / temp) AS w FROM {name}_s, tg) GROUP BY ALL)"""
 
 
-def _chains(spark: SparkSession, sf_dir: str, cells: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Each label's first state, and the model of all of them."""
-    spins = testdata.spins(spark, sf_dir, cells)
-    states = spins.groupBy("label", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"))
-    init = states.groupBy("label").agg(F.min_by("s", "state").alias("state"))
-    h, j = _model(spark, sf_dir, cells)
-    return init, init.select("label").crossJoin(F.broadcast(energy.model_arrays(h, j)))  # one row
-
-
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    init, model = _chains(spark, sf_dir)
-    return sampling.metropolis_sweep(init, model, sampling.grid(spark, sampling.adaptive_temperatures()), ["label"])
-
-
-@query()
-def metropolis_sweep(spark, sf_dir):
-    return _sweep(spark, sf_dir)
-
-
-@query()
-def magnetization_curve(spark, sf_dir):
-    return reports.magnetization_curve(_sweep(spark, sf_dir), 10, ["label"])
-
-
-@query()
-def system_size(spark, sf_dir):
-    temps = sampling.grid(spark, sampling.regular_temperatures(step=0.5))
-    parts = []
-    for cells in (4, 8, 12):
-        init, model = _chains(spark, sf_dir, cells)
-        parts.append(reports.system_size(init, model, temps, ["label"]))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("cells", "temp_idx", "temp").agg(F.avg("mean_e").alias("mean_e"), F.avg("heat_capacity").alias("heat_capacity"), F.avg("magnetization").alias("magnetization"))
+@query(f"""{BOLTZMANN}, {_branch_sql("up", ">")}, {_branch_sql("down", "<")}
+  SELECT up.temp_idx AS tc_idx, round(up.temp, 6) AS tc, round((up.mean_e + down.mean_e) / 2, 6) AS ec FROM up JOIN down USING (temp_idx) ORDER BY up.var_e DESC, up.temp_idx LIMIT 1""")
+def two_branch_critical(spark, sf_dir):
+    """The branches of states that are mostly up and mostly down, each summed up exactly."""
+    h, j = _model(spark, sf_dir, 8)
+    up, down = (energy.boltzmann_exact(h, j, sampling.grid(spark, sampling.regular_temperatures()), 8, branch).withColumn("session", F.lit("exact")) for branch in ("up", "down"))
+    at = reports.two_branch_critical(up, down, ["session"])
+    return at.select("tc_idx", r6("tc").alias("tc"), r6("ec").alias("ec"))
 
 
-def _fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spins = testdata.spins(spark, sf_dir, 16)
-    return spins, fit.fit_ising(spins, ["label"])
+@query(BOLTZMANN + ", tc AS (SELECT temp AS tc, mean_e AS ec FROM bz ORDER BY var_e DESC, temp_idx LIMIT 1) SELECT temp_idx, round(temp, 6) AS temp, round(mean_e, 6) AS mean_e, round(tc, 6) AS tc, round(ec, 6) AS ec FROM bz, tc")
+def energy_curve(spark, sf_dir):
+    curve = reports.energy_curve(_boltzmann(spark, sf_dir).withColumn("session", F.lit("exact")), ["session"])
+    return curve.select("temp_idx", *[r6(c).alias(c) for c in ("temp", "mean_e", "tc", "ec")])
 
 
-@query()
-def mch_fit(spark, sf_dir):
-    return _fit(spark, sf_dir)[1]
+@query(f"""{BOLTZMANN}, pt AS (SELECT 0 AS g, temp_idx AS k, temp AS x, mean_e AS y, count(*) OVER () AS n FROM bz), {spline_sql("pt", "sp")},
+  pc AS (SELECT k, x, y, h, m, lead(y) OVER w AS y1, lead(m) OVER w AS m1, unnest([0.25::DOUBLE, 0.5::DOUBLE]) AS f FROM sp_m WINDOW w AS (ORDER BY k)),
+  pl AS (SELECT *, (1 - f) * h AS a, f * h AS b FROM pc WHERE y1 IS NOT NULL)
+  SELECT round(x + b, 6) AS temp, round((m * a ** 3 + m1 * b ** 3) / (6 * h) + (y / h - m * h / 6) * a + (y1 / h - m1 * h / 6) * b, 6) AS spline_e FROM pl""")
+def spline_between(spark, sf_dir):
+    """The energy at a quarter and at half of the way between the temperatures of a sweep."""
+    sweep = _boltzmann(spark, sf_dir).withColumn("session", F.lit("exact"))
+    step = F.lead("temp").over(Window.partitionBy("session").orderBy("temp_idx")) - F.col("temp")
+    places = sweep.withColumn("_step", step).where("_step is not null").select("session", F.explode(F.array(F.col("temp") + F.col("_step") / 4, F.col("temp") + F.col("_step") / 2)).alias("temp"))
+    return reports.spline_at(sweep, places, ["session"]).select(r6("temp").alias("temp"), r6("spline_e").alias("spline_e"))
 
 
-@query()
-def verify_fit(spark, sf_dir):
-    spins, model = _fit(spark, sf_dir)
-    return fit.verify_fit(spins, model, ["label"])
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user, kind and day (six digits) of every event, each once."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("user"), F.col("event_type").alias("kind"), F.date_format("ts", "yyMMdd").alias("day")).distinct()
 
 
-NAMES = ("s10", "s2", "s1_b", "s1_a", "Joker_060102_x10", "Joker_060102_x9", "abc", "a007b")
-VALUES = ", ".join(f"('{n}')" for n in NAMES)
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-@query(f"""SELECT name, CAST(row_number() OVER (ORDER BY list_transform(regexp_extract_all(name, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(ltrim(x, '0'), 20, '0') ELSE x END)) AS INTEGER) AS place FROM (VALUES {VALUES}) v(name)""")
+@query("""SELECT mouse, name, CAST(row_number() OVER (PARTITION BY mouse ORDER BY user_id, event_type COLLATE "C") AS INTEGER) AS place
+  FROM (SELECT DISTINCT user_id % 7 AS mouse, user_id, event_type, 's' || user_id || '_' || event_type AS name FROM events)""")
 def natural_sort(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return names.select("name", F.row_number().over(Window.orderBy(sessions.natural_key(F.col("name")))).alias("place"))
-
+    """Names of sessions by natural order within a mouse: the numbers in them in order of size."""
+    names = _users(spark, sf_dir).select((F.col("user") % 7).alias("mouse"), _text("s", F.col("user"), "_", F.col("kind")).alias("name")).distinct()
+    order = Window.partitionBy("mouse").orderBy(sessions.natural_key(F.col("name")))
+    return names.select("mouse", "name", F.row_number().over(order).alias("place"))
 
-FILES = {"Joker_060102_x10_NPresults.mat": ("Joker", "060102", "x10"), "X_060102_x10_NPresults": ("X", "060102", "x10"), "a_b_123456_c_d_NPresults.mat": ("a_b", "123456", "c_d"),
-         "Joker_060102_x9": ("Joker", "060102", "x9"), "m_111111_222222_y.npy": ("m_111111", "222222", "y"), "abc": ("", "", ""), "a_12345_b_NPresults": ("", "", "")}
 
-
-@query("SELECT file, name, date, identifier, label FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{d}', '{i}', '{f[:4]}')" for f, (n, d, i) in FILES.items()) + ") v(file, name, date, identifier, label)")
+@query("""SELECT DISTINCT CASE WHEN user_id % 11 = 0 THEN 'bad' || user_id ELSE 'mouse_' || (user_id % 7) || '_' || strftime(ts, '%y%m%d') || '_x' || user_id || CASE WHEN user_id % 3 = 0 THEN '_NPresults.mat' ELSE '.npy' END END AS file,
+    CASE WHEN user_id % 11 = 0 THEN '' ELSE 'mouse_' || (user_id % 7) END AS name, CASE WHEN user_id % 11 = 0 THEN '' ELSE strftime(ts, '%y%m%d') END AS date, CASE WHEN user_id % 11 = 0 THEN '' ELSE 'x' || user_id END AS identifier,
+    CASE WHEN user_id % 11 = 0 THEN left('bad' || user_id, 4) ELSE 'mous' END AS label FROM events""")
 def parse_session_name(spark, sf_dir):
-    """The SQL has the names as they were read by hand, so that it says something about the pattern."""
-    names = spark.createDataFrame([(n,) for n in FILES], "file string")
+    """File names put together from users and days, and taken apart again; the SQL has the parts themselves."""
+    user = F.col("user")
+    good = _text("mouse_", user % 7, "_", F.col("day"), "_x", user, F.when(user % 3 == 0, "_NPresults.mat").otherwise(".npy"))
+    names = _users(spark, sf_dir).select(F.when(user % 11 == 0, _text("bad", user)).otherwise(good).alias("file")).distinct()
     return names.select("file", sessions.parse_session_name(F.col("file")).alias("p"), sessions.session_label(F.col("file")).alias("label")).select("file", "p.name", "p.date", "p.identifier", "label")
 
 
-PATHS = {f"/data/{mouse}/{group}/{width}/s{k}.mat": (mouse, group, width, f"s{k}.mat") for mouse in ("m1", "m2") for group in (*sessions.CELL_GROUPS, "Other") for width in ("bin10", "bin9") for k in (10, 2, 1)}
+PATHS = """ss AS (SELECT DISTINCT 'm' || (user_id % 5) AS mouse, ['Non_P_Cells', 'All_Cells', 'P_Cells', 'Other'][CAST(user_id // 5 % 4 AS INTEGER) + 1] AS cell_group, user_id // 20 % 3 + 8 AS width, user_id FROM events)"""
 
 
-@query("""SELECT path, mouse, cell_group, 'bin9' AS bin, file, CAST(CASE file WHEN 's1.mat' THEN 0 WHEN 's2.mat' THEN 1 ELSE 2 END AS INTEGER) AS place
-  FROM (VALUES """ + ", ".join(f"('{p}', '{m}', '{g}', '{w}', '{f}')" for p, (m, g, w, f) in PATHS.items()) + ") v(path, mouse, cell_group, width, file) WHERE cell_group <> 'Other' AND width = 'bin9'")
+@query(f""", {PATHS}, fs AS (SELECT *, min(width) OVER (PARTITION BY mouse, cell_group) AS first FROM ss WHERE cell_group <> 'Other')
+  SELECT '/data/' || mouse || '/' || cell_group || '/bin' || width || '/s' || user_id || '.mat' AS path, mouse, cell_group, 'bin' || width AS bin, 's' || user_id || '.mat' AS file,
+         CAST(row_number() OVER (PARTITION BY mouse, cell_group ORDER BY user_id) - 1 AS INTEGER) AS place FROM fs WHERE width = first""")
 def report_sessions(spark, sf_dir):
-    return sessions.report_sessions(spark.createDataFrame([(p,) for p in PATHS], "path string")).select("path", "mouse", "cell_group", "bin", "file", "place")
+    """Paths of sessions, a user each; of every mouse and cell group those in the first bin folder."""
+    user = F.col("user")
+    group = F.element_at(F.array(*[F.lit(g) for g in (*sessions.CELL_GROUPS, "Other")]), (F.floor(user / 5) % 4 + 1).cast("int"))
+    path = _text("/data/m", user % 5, "/", group, "/bin", F.floor(user / 20) % 3 + 8, "/s", user, ".mat")
+    return sessions.report_sessions(_users(spark, sf_dir).select(path.alias("path")).distinct()).select("path", "mouse", "cell_group", "bin", "file", "place")
 
 
-@query("SELECT mouse, cell_group, session, side FROM (VALUES ('m', 'P_Cells', 'a', 'data_only'), ('m', 'P_Cells', 'b', 'both'), ('m', 'P_Cells', 'c', 'model_only'), ('n', 'P_Cells', 'b', 'data_only')) v(mouse, cell_group, session, side)")
+@query("""SELECT mouse, cell_group, session, CASE WHEN d AND m THEN 'both' WHEN d THEN 'data_only' ELSE 'model_only' END AS side FROM (
+  SELECT 'm' || (user_id % 5) AS mouse, CASE WHEN user_id % 2 = 0 THEN 'P_Cells' ELSE 'All_Cells' END AS cell_group, strftime(ts, '%y%m%d') || '_x' || user_id AS session,
+         bool_or(event_type IN ('click', 'view')) AS d, bool_or(event_type = 'purchase') AS m FROM events GROUP BY ALL) WHERE d OR m""")
 def pair_sessions(spark, sf_dir):
-    names = "mouse string, cell_group string, session string"
-    data = spark.createDataFrame([("m", "P_Cells", "a"), ("m", "P_Cells", "b"), ("m", "P_Cells", "b"), ("n", "P_Cells", "b")], names)
-    return sessions.pair_sessions(data, spark.createDataFrame([("m", "P_Cells", "b"), ("m", "P_Cells", "c")], names))
+    """Sessions of users and days, with data where there are clicks and views, and with a model where there is a purchase."""
+    user = F.col("user")
+    named = _users(spark, sf_dir).select("kind", _text("m", user % 5).alias("mouse"), F.when(user % 2 == 0, "P_Cells").otherwise("All_Cells").alias("cell_group"), _text(F.col("day"), "_x", user).alias("session"))
+    return sessions.pair_sessions(named.where("kind in ('click', 'view')").drop("kind"), named.where("kind = 'purchase'").drop("kind"))
 
 
 @query("SELECT stim, reach, t, cell, n FROM spike WHERE t < 40")
@@ -472,9 +500,14 @@ def with_accelerations(spark, sf_dir):
     return moving.select("stim", "reach", "t", *[r6(c).alias(c) for c in ("ax", "ay", "az", "jerk_x", "jerk_y", "jerk_z", "jerk_pos_x", "jerk_pos_y", "jerk_pos_z")])
 
 
-@query()
+def _heads(column: str) -> str:
+    return f"p_{column} AS (SELECT reach AS g, row_number() OVER (PARTITION BY reach ORDER BY t) - 1 AS k, t::DOUBLE AS x, {column} AS y, count(*) OVER (PARTITION BY reach) AS n FROM mv WHERE t < 40), {spline_slopes(f'p_{column}', f's_{column}')}"
+
+
+@query(f""", {MOVING}, {", ".join(map(_heads, ("vx", "vy", "vz")))}
+  SELECT stim, reach, t, round(a.slope, 6) AS ax, round(b.slope, 6) AS ay, round(c.slope, 6) AS az FROM mv JOIN s_vx a ON a.g = reach AND a.x = t JOIN s_vy b ON b.g = reach AND b.x = t JOIN s_vz c ON c.g = reach AND c.x = t""")
 def head_with_accelerations(spark, sf_dir):
-    """Spline accelerations of the first rows of every reach; SQL has no spline."""
+    """Spline accelerations of the first rows of every reach."""
     moving = kinematics.head_with_accelerations(_moving(spark, sf_dir), 40)
     return moving.select("stim", "reach", "t", *[r6(c).alias(c) for c in ("ax", "ay", "az")])
 
@@ -490,7 +523,7 @@ rw AS (SELECT st.stim, reach, t_idx, CAST(row_number() OVER (PARTITION BY reach
   FROM (SELECT DISTINCT t_idx FROM cb) c JOIN sp ON t_idx > lo AND t_idx < hi JOIN st ON st.label = sp.stim)"""
 
 
-def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts = testdata.spikes(spark, sf_dir).withColumn("t_idx", ((F.col("reach") - 1) * testdata.ROWS + F.col("t")).cast("int"))
     kind = F.when(F.col("cell") % 2 == 0, F.lit("PC")).otherwise(F.lit(""))
     cell_bins = counts.select("session", "cell", kind.alias("cell_type"), "t_idx", F.col("t_idx").cast("double").alias("time"), "n")
@@ -498,7 +531,11 @@ def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     columns = [(F.col("x") * i if i % 2 else F.col("x") + i * F.col("t")).alias(f"k{i}") for i in range(1, 8)]
     time = ((F.col("reach") - 1) * testdata.ROWS + F.col("t") + 0.25).cast("double")
     reaches = testdata.kinematics(spark, sf_dir).select("session", "reach", label.alias("stim"), F.col("t").alias("row"), time.alias("time"), *columns)
-    return sessions.compile_sessions(cell_bins, reaches)
+    return cell_bins, reaches
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sessions.compile_sessions(*_raw(spark, sf_dir))
 
 
 @query(f", {RAW} SELECT stim, reach, t, cell, n FROM rw JOIN cb USING (t_idx) WHERE cell % 2 = 0")
@@ -531,14 +568,39 @@ def pc_count(spark, sf_dir):
 
 @query()
 def temperature_grid(spark, sf_dir):
-    return sampling.grid(spark, sampling.adaptive_temperatures())
+    """The adaptive grid of temperatures, and the exact mean energy at each."""
+    h, j = _model(spark, sf_dir, 8)
+    return energy.boltzmann_exact(h, j, sampling.grid(spark, sampling.adaptive_temperatures()), 8).select("temp_idx", r6("temp").alias("temp"), r6("mean_e").alias("mean_e"))
 
 
-ORACLES["temperature_grid"] = """WITH RECURSIVE g(temp_idx, temp) AS (SELECT 0, 0.1::DOUBLE UNION ALL
-  SELECT temp_idx + 1, temp + CASE WHEN temp >= 0.7::DOUBLE AND temp < 1.7::DOUBLE THEN 0.01::DOUBLE ELSE 0.1::DOUBLE END FROM g
-  WHERE temp + CASE WHEN temp >= 0.7::DOUBLE AND temp < 1.7::DOUBLE THEN 0.01::DOUBLE ELSE 0.1::DOUBLE END < 3) SELECT temp_idx, temp FROM g"""
+_STEP = "CASE WHEN temp >= 0.7::DOUBLE AND temp < 1.7::DOUBLE THEN 0.01::DOUBLE ELSE 0.1::DOUBLE END"
+ADAPTIVE = f"tg(temp_idx, temp) AS (SELECT 0, 0.1::DOUBLE UNION ALL SELECT temp_idx + 1, temp + {_STEP} FROM tg WHERE temp + {_STEP} < 3)"
+ORACLES["temperature_grid"] = (WITH + BOLTZMANN.replace(REGULAR, ADAPTIVE)).replace("WITH ev", "WITH RECURSIVE ev", 1) + " SELECT temp_idx, round(temp, 6) AS temp, round(mean_e, 6) AS mean_e FROM bz"
 
 
-@query("SELECT mouse, CAST(job AS INTEGER) AS job, segment FROM (VALUES ('m1'), ('m2'), ('m3'), ('m4'), ('m5'), ('m6')) m(mouse), range(1, 11) j(job), (VALUES ('pre'), ('mid'), ('active'), ('full')) s(segment)")
+@query("""SELECT mouse, CAST(job AS INTEGER) AS job, segment FROM (SELECT DISTINCT 'm' || (user_id % 6) AS mouse FROM events), range(1, 11) j(job), (VALUES ('pre'), ('mid'), ('active'), ('full')) s(segment)""")
 def run_matrix(spark, sf_dir):
-    return sessions.run_matrix(spark, [f"m{i}" for i in range(1, 7)], 10, list(binning.SEGMENTS))
+    return sessions.run_matrix(_users(spark, sf_dir).select(_text("m", F.col("user") % 6).alias("mouse")), 10, list(binning.SEGMENTS))
+
+
+@query(f", {RAW} SELECT 'stim' || stim AS session, stim, reach, t, cell, n FROM rw JOIN cb USING (t_idx) WHERE cell % 2 = 0")
+def stored_spikes(spark, sf_dir):
+    """Compiled spikes written session by session into one store, the last time with those that it has, and read back."""
+    spike = _compiled(spark, sf_dir)[0].withColumn("session", _text("stim", F.col("stim")))
+    path = new_path(spark, "spikes")
+    for part in (spike.where("stim = 1"), spike.where("stim <> 1"), spike):
+        sessions.add_sessions(part, path)
+    return sessions.read_spikes(spark, path).select("session", "stim", "reach", "t", "cell", "n")
+
+
+@query(f", {RAW} SELECT stim, reach, t, cell, n FROM rw JOIN cb USING (t_idx) WHERE cell % 2 = 0")
+def mat_spikes(spark, sf_dir):
+    """The raw session as a MAT file, written and read back, and compiled."""
+    path = new_path(spark, "mat")
+    mat.write_sessions(*_raw(spark, sf_dir), path)
+    cells, reaches, _ = mat.read_sessions(spark, path)
+    return sessions.compile_sessions(cells, reaches)[0].select("stim", "reach", "t", "cell", "n")
+
+
+for _name in ("derivative_spline", "head_with_accelerations", "spline_between"):
+    recursive(_name)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.functions.spline import spline
+from axonframe.functions.spline import parabola_value, value_at, with_second_derivatives
 from axonframe.operators.energy import energy_time
 from axonframe.operators.kinematics import position_time
 from axonframe.operators.sampling import metropolis_sweep
@@ -21,18 +20,28 @@ def critical_point(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
     return top.select(*keys, F.col("temp_idx").alias("tc_idx"), F.col("temp").alias("tc"), F.col("var_e").alias("hc"), F.col("mean_e").alias("ec"))
 
 
+def spline_at(sweep: DataFrame, places: DataFrame, keys: Sequence[str], out: str = "spline_e") -> DataFrame:
+    """places (keys, temp, ...) with `out`: the energy at any temperature on the cubic spline through its sweep. At one of
+    the sweep's own temperatures it is the table's value. One row a sweep is put together; it has as many points as the
+    sweep has temperatures."""
+    points = sweep.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("temp").alias("x"), F.col("mean_e").alias("y")))).alias("_p"))
+    lines = points.select(*keys, F.transform("_p", lambda p: p["x"]).alias("_x"), F.transform("_p", lambda p: p["y"]).alias("_y"))
+    always, bent = F.lit(True), F.size("_x") >= 4
+    lines = with_second_derivatives(lines, "_x", "_y", always, always, "_m")
+    at = F.col("temp")
+    value = F.when(bent, value_at(F.col("_x"), F.col("_y"), F.col("_m"), at)).otherwise(parabola_value(F.col("_x"), F.col("_y"), at))
+    return places.join(lines, list(keys)).select(*places.columns, value.alias(out))
+
+
 def spline_energy(sweep: DataFrame, critical: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and spline_ec: the energy at tc on the cubic spline through a sweep. At one of its own temperatures it is the
-    table's value."""
-    both = sweep.join(critical.select(*keys, "tc"), list(keys)).select(*keys, "temp", "mean_e", "tc")
-    schema = critical.select(*keys).schema.add("spline_ec", "double")
+    """keys and spline_ec: the energy at tc on the cubic spline through a sweep."""
+    return spline_at(sweep, critical.select(*keys, F.col("tc").alias("temp")), keys, "spline_ec").drop("temp")
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("temp")
-        value = spline(part["temp"].to_numpy(), part["mean_e"].to_numpy(), part["tc"].to_numpy()[:1])
-        return pd.DataFrame({k: [part[k].iloc[0]] for k in keys} | {"spline_ec": value})
 
-    return both.groupBy(*keys).applyInPandas(one, schema)
+def energy_curve(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, temp_idx, temp, mean_e, tc and ec: energy against temperature with the lines of the critical point."""
+    lines = critical_point(sweep, keys).select(*keys, "tc", "ec")
+    return sweep.select(*keys, "temp_idx", "temp", "mean_e").join(lines, list(keys))
 
 
 def two_branch_critical(plus: DataFrame, minus: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +135,36 @@ def pc_count(cell_bins: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ("session",)) -> None:
-    """A compiled table, model or result as Parquet, in folders by session."""
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    """A compiled table, model or result as Parquet, in folders by session. The folders that df has rows for are replaced,
+    all others stay. Files are staged and moved when all tasks have ended, so a task that dies leaves the folders as they
+    were."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+MANIFEST = "session string, rows long"
+
+
+def finished_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """session and rows of the sessions that add_sessions has written to path; none where nothing was."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}.finished").select("session", "rows")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def add_sessions(df: DataFrame, path: str, partitions: tuple[str, ...] = ("session",), again: bool = False) -> None:
+    """write_table, of the sessions alone that are not finished (or of all with again=True), and their names and rows into
+    the manifest beside the table once they are written. A run that was broken off can be started again as it was: what it
+    had finished is passed over, and what it had not is written anew."""
+    spark = df.sparkSession
+    if not again:
+        df = df.join(finished_sessions(spark, path), "session", "left_anti")
+    write_table(df, path, partitions)
+    written = spark.read.schema(df.schema).parquet(path).join(df.select("session").distinct(), "session", "left_semi")
+    rows = written.groupBy("session").agg(F.count(F.lit(1)).alias("rows"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(f"{path.rstrip('/')}.finished")
 
 
 def read_spikes(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +187,7 @@ def read_raw_tables(spark: SparkSession, cells: str, reaches: str) -> tuple[Data
 def write_classification(classified: DataFrame, path: str) -> None:
     """Pausers and bursters as CSV, a folder a stimulus: cell (from 1), p or b, h-val."""
     named = classified.select("session", "stim", (F.col("cell") + 1).alias("cell"), F.col("kind").alias("p or b"), F.col("h").cast("string").alias("h-val"))
-    named.write.mode("overwrite").option("header", True).partitionBy("session", "stim").csv(path)
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("session", "stim").csv(path)
 
 
 def pair_sessions(data: DataFrame, models: DataFrame, keys: tuple[str, ...] = ("mouse", "cell_group", "session")) -> DataFrame:
@@ -168,8 +197,9 @@ def pair_sessions(data: DataFrame, models: DataFrame, keys: tuple[str, ...] = ("
     return joined.select(*keys, side.alias("side"))
 
 
-def run_matrix(spark: SparkSession, mice: list[str], jobs: int, segments: list[str]) -> DataFrame:
-    """Every mouse with every job (from 1) and segment: the runs of a batch of fits."""
-    mouse = spark.createDataFrame([(m,) for m in mice], "mouse string")
+def run_matrix(mice: DataFrame, jobs: int, segments: list[str]) -> DataFrame:
+    """Every mouse (of a table with a column mouse) with every job (from 1) and segment: the runs of a batch of fits."""
+    spark = mice.sparkSession
     segment = spark.createDataFrame([(s,) for s in segments], "segment string")
-    return mouse.crossJoin(spark.range(1, jobs + 1).select(F.col("id").cast("int").alias("job"))).crossJoin(segment)
+    job = spark.range(1, jobs + 1).select(F.col("id").cast("int").alias("job"))
+    return mice.select("mouse").distinct().crossJoin(F.broadcast(job.crossJoin(segment)))  # jobs x segments rows

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axonframe.functions.spline import spline
-from axonframe.functions.student import t_tail, t_tails
+from axonframe.functions.student import p_value, t_tail, t_tails
 from axonframe.operators import kinematics, stats
 from axonframe.plans import reports
 from axonframe.sources import sessions
@@ -34,6 +34,15 @@ def test_p_values_in_batches():
     assert np.isnan(t_tails(np.array([np.nan, 1.0]), np.array([3.0, 0.0]))).all() and t_tails(np.array([0.0, np.inf]), np.array([3.0, 3.0])).tolist() == [1.0, 0.0]
 
 
+def test_p_values_by_expressions(spark):
+    rows = [(float(t), float(d)) for t in (0, 1e-9, 0.1, 1, -3, 30, 1e5, "inf", "nan") for d in (1, 2, 3, 57, 300, 5000, 0)]
+    got = spark.createDataFrame([*rows, (None, 3.0), (1.0, None)], "t double, d double").select(p_value(F.col("t"), F.col("d")).alias("p")).collect()
+    assert [r.p for r in got[-2:]] == [None, None]
+    for (t, d), r in zip(rows, got):
+        wanted = t_tails(np.array([t]), np.array([d]))[0]
+        assert r.p is None if np.isnan(wanted) else abs(r.p - wanted) <= 1e-9 * max(wanted, 1e-200) + 1e-13
+
+
 def test_correlations_by_group_with_cells_that_some_states_lack(spark):
     rng = random.Random(3)
     rows = [(g, st, i, rng.choice([-1, 1])) for g in "ab" for st in range(40) for i in range(6) if st % 5 or i != 2]

@@ -61,3 +61,28 @@ def test_pairing_and_names(spark):
     names = spark.createDataFrame([(n,) for n in ("s10", "s2", "s1_b", "s1_a")], "n string")
     assert [r.n for r in names.orderBy(sessions.natural_key(F.col("n"))).collect()] == ["s1_a", "s1_b", "s2", "s10"]
     assert [r[0] for r in spark.createDataFrame([("12",), ("x",)], "v string").select(sessions.try_int(F.col("v"))).collect()] == [12, None]
+
+
+def test_sessions_are_added_and_replaced(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "session string, stim int, n double")
+    path = f"{tmp_path}/store"
+    assert sessions.finished_sessions(spark, path).count() == 0
+    sessions.add_sessions(df([("a", 0, 1.0), ("a", 1, 2.0)]), path)
+    sessions.add_sessions(df([("b", 0, 3.0)]), path)
+    read = lambda: sorted((r.session, r.stim, r.n) for r in spark.read.schema("session string, stim int, n double").parquet(path).collect())
+    assert read() == [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)]
+    sessions.add_sessions(df([("a", 0, 9.0), ("c", 0, 4.0)]), path)  # a is finished
+    assert read() == [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0), ("c", 0, 4.0)]
+    sessions.add_sessions(df([("a", 0, 9.0)]), path, again=True)
+    assert read() == [("a", 0, 9.0), ("b", 0, 3.0), ("c", 0, 4.0)]
+    assert sorted(map(tuple, sessions.finished_sessions(spark, path).collect())) == [("a", 1), ("b", 1), ("c", 1)]
+
+    def dies(n):
+        raise RuntimeError("the task dies")
+
+    with pytest.raises(Exception, match="the task dies"):
+        sessions.add_sessions(df([("b", 0, 7.0), ("d", 0, 7.0)]).withColumn("n", F.udf(dies, "double")("n")), path, again=True)
+    assert read() == [("a", 0, 9.0), ("b", 0, 3.0), ("c", 0, 4.0)] and sessions.finished_sessions(spark, path).count() == 3
+    sessions.write_classification(spark.createDataFrame([("s", 0, 0, "pauser", 0.5)], "session string, stim int, cell int, kind string, h double"), f"{tmp_path}/csv")
+    sessions.write_classification(spark.createDataFrame([("s", 1, 0, "burster", 0.5)], "session string, stim int, cell int, kind string, h double"), f"{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
