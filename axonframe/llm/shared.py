@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.session import new_path, shared_dir  # noqa: F401  the operators of this subpackage take both from here
+
 #: White space as the word rules of this subpackage see it: space, tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a folder of our own in
-    local mode, where all run on this machine, and an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="axonframe-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/axonframe-{name}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in any file system that Spark reaches."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
