@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import fresh, written
 
@@ -59,16 +60,27 @@ def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
     return interleave(written(small, "digest"), shards, ties=("size", "text_crc32")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def identity(rows: DataFrame) -> Column:
+    """96 bits that tell rows apart by all their columns. Hashes pass over nulls, so each column also says whether it is
+    null; lists, structs and maps, whose hash would pass over nulls in them, are taken as JSON with their nulls."""
+    told = []
+    for field in rows.schema.fields:
+        column = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+        told += [column.isNull(), F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"}) if nested else column]
+    return F.struct(F.xxhash64(*told).alias("a"), F.hash(*told).alias("b"))
+
+
 def sharded_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """docs with shard and slot. Ranks are found on ids alone; the texts are shuffled once, each different row once.
 
-    Null ids, sources and texts are kept, repeated rows each get a slot of their own, an empty table gives an empty
+    Null ids, sources and texts are kept, rows that differ in any column (also only in which is null) are different, repeated rows each get a slot of their own, an empty table gives an empty
     result, and columns called shard or slot are replaced; all others stay as they are.
     """
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     docs = docs.select(*names)
     (row,) = fresh(docs, "row")
-    keyed = docs.withColumn(row, F.struct(F.xxhash64(*names).alias("a"), F.hash(*names).alias("b")))  # 96 bits
+    keyed = docs.withColumn(row, identity(docs))
     small = keyed.select("doc_id", "source", F.col(row).alias("row_of"))
     placed = interleave(written(small, "digest"), shards, ties=("row_of",)).select(F.col("row_of").alias(row), "shard", "slot")
     return keyed.dropDuplicates([row]).join(placed, row).select(*names, "shard", "slot")

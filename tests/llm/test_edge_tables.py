@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from axonframe.llm.interleave import sharded_documents
 from axonframe.llm.queries import QUERIES
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,3 +50,10 @@ def test_stages_take_effect_and_keep_clean_rows(spark, tmp_path):
     mixed = stages["mixing"](spark, df, folder)
     assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= {r[0] for r in docs}
     assert stages["sharding"](spark, mixed, folder).count() == mixed.count()
+
+
+def test_rows_that_differ_only_in_which_column_is_null(spark):
+    rows = [(1, "t", "en", None, 1, {"a": None}, ["x", None]), (1, "t", None, "en", 1, {"a": None}, ["x", None]), (1, "t", None, "en", 1, {"a": None}, [None, "x"]), (1, "t", None, "en", 1, {"b": None}, ["x", None]), (1, "t", None, "en", 1, None, ["x", None])]
+    docs = spark.createDataFrame(rows + rows[:2], f"{DOCUMENTS}, m map<string,string>, l array<string>")
+    got = sorted((str(tuple(r)[:7]) for r in sharded_documents(docs, 3).collect()))
+    assert got == sorted(str(r) for r in rows + rows[:2])
