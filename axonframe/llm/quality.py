@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import values
+from .shared import values, written
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 
@@ -20,9 +20,10 @@ TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 @dataclass(frozen=True)
 class Settings:
     """bits: size of the hashed feature space, which bounds the model. shards x shard_rows bounds the labelled rows
-    that are learnt from, and shard_bytes what a shard holds of their features, after which it takes no more rows; each
-    shard is learnt in one task, and the models of all shards are averaged. A shard is gone over until about `updates`
-    rows were used, three times at least and 60 at most."""
+    that are learnt from, and shard_bytes what a shard holds of their features, after which it takes no more rows. Each
+    shard is learnt in one task, and the models of all shards are averaged; there are no more shards than it takes to hold
+    the labelled rows, so a small sample is learnt as one. A shard is gone over until about `updates` rows were used,
+    three times at least and 60 at most."""
 
     bits: int = 18
     shards: int = 4
@@ -94,21 +95,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc % 5 != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    ids = ids.select("doc_id", "label", (F.floor(crc / 5) % s.shards).cast("int").alias("shard"), F.md5(F.col("doc_id").cast("string")).alias("place"))
+    shards = min(s.shards, max(1, -(-ids.count() // s.shard_rows)))
+    ids = ids.select("doc_id", "label", (F.floor(crc / 5) % shards).cast("int").alias("shard"), F.md5(F.col("doc_id").cast("string")).alias("place"))
     sizes = ids.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     near = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / float(1 << 32)
     chosen = ids.join(F.broadcast(sizes), "shard").where(near <= F.lit(1.05 * s.shard_rows) / F.col("n")).drop("n")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "shard", "place", "label").agg(F.min("text").alias("text"))
-    ordered = texts.repartition(s.shards, "shard").sortWithinPartitions("shard", "place").select("shard", "label", "text")
+    ordered = texts.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "label", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, rows = None, 0, []
 
         def model() -> pa.RecordBatch:
             w = ftrl(rows, s)
-            index = np.flatnonzero(w)
-            return pa.RecordBatch.from_arrays([pa.array(index), pa.array(w[index])], names=["index", "weight"])
+            index = np.flatnonzero(w)  # -1 counts the models
+            return pa.RecordBatch.from_arrays([pa.array([-1, *index.tolist()], pa.int64()), pa.array([1.0, *w[index].tolist()])], names=["index", "weight"])
 
         for batch in batches:
             for shard, label, text in zip(*(values(c) for c in batch.columns)):
@@ -123,8 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
         if rows:
             yield model()
 
-    parts = ordered.mapInArrow(learn, "index long, weight double")
-    return parts.groupBy("index").agg((F.sum("weight") / F.lit(float(s.shards))).alias("weight"))
+    parts = written(ordered.mapInArrow(learn, "index long, weight double"), "models")
+    models = parts.agg(F.coalesce(F.sum(F.when(F.col("index") == -1, F.col("weight"))), F.lit(1.0)).alias("models"))  # one row
+    return parts.where("index >= 0").groupBy("index").agg(F.sum("weight").alias("weight")).crossJoin(F.broadcast(models)).select("index", (F.col("weight") / F.col("models")).alias("weight"))
 
 
 def _load(model: DataFrame, bits: int) -> np.ndarray:

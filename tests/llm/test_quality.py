@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 from zlib import crc32
 
@@ -81,3 +83,54 @@ def test_training_is_bounded_by_rows_and_bytes_and_takes_an_id_once(spark):
     model = lambda d, **o: sorted(map(tuple, train(d, labels, s=Settings(updates=500, **o)).collect()))
     assert model(docs) == model(again)
     assert 0 < len(model(docs, shard_rows=2)) < len(model(docs)) and 0 < len(model(docs, shard_bytes=1)) < len(model(docs, shard_bytes=1000))
+
+
+def plain_scores(docs, labels, s):
+    """The whole query in plain Python: sample, features, one model, scores."""
+    texts = {}
+    for i, text, *_ in docs:
+        if i is not None:
+            texts[i] = min(texts.get(i, text or ""), text or "")
+    best = {}
+    for i, q, *_ in labels:
+        if i is not None and q is not None and crc32(str(i).encode()) % 5:
+            best[i] = max(best.get(i, 0), q)
+    order = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in best if i in texts)
+    weights = ftrl([(*features(texts[i].encode(), s.bits), best[i]) for _, i in order], s)
+    out = []
+    for i, text, *_ in docs:
+        index, value = features((text or "").encode(), s.bits)
+        out.append((str(i), 1 / (1 + math.exp(-sum(weights[k] * v for k, v in zip(index, value))))))
+    return sorted(out)
+
+
+def test_whole_query_against_a_plain_version(spark):
+    docs, labels = corpus()
+    got = sorted((str(r.doc_id), r.score) for r in quality_digest(spark.createDataFrame(docs, SCHEMA).repartition(5), spark.createDataFrame(labels, LABELS)).collect())
+    wanted = plain_scores(docs, labels, Settings())
+    assert [g[0] for g in got] == [w[0] for w in wanted] and [g[1] for g in got] == pytest.approx([w[1] for w in wanted], abs=1e-9)
+
+
+def test_averaging_counts_only_shards_that_learnt(spark):
+    docs = [(i, "good fine word" if i % 2 else "bad poor word") for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    in_shard = lambda i, n: crc32(str(i).encode()) // 5 % n
+    every = [(i, i % 2) for i, _ in docs]
+    one = [(i, y) for i, y in every if in_shard(i, 4) == 1]
+    s = Settings(shard_rows=1000, updates=500)
+    whole = {r["index"]: r.weight for r in train(d, spark.createDataFrame(one, "doc_id long, quality int"), s=s).collect()}
+    # as many shards as rows ask for, of which only one has rows
+    split = Settings(shard_rows=max(1, len([i for i, _ in one if crc32(str(i).encode()) % 5]) // 4 + 1), updates=500)
+    parts = {r["index"]: r.weight for r in train(d, spark.createDataFrame(one, "doc_id long, quality int"), s=split).collect()}
+    assert max(whole.values()) < 3 * max(parts.values())
+
+
+def test_held_out_accuracy_on_the_given_labels(spark):
+    """On the given tables: held-out rows alone, whose labels were not learnt from."""
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality_digest(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    held = [(got[r.doc_id], r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out]
+    right = sum(g.predicted == q for g, q in held)
+    pairs = [(a.score > b.score) + (a.score == b.score) / 2 for a, x in held for b, y in held if x == 1 and y == 0]
+    print("held out", len(held), "accuracy", right / len(held), "AUC", sum(pairs) / len(pairs))
+    assert right / len(held) > 0.92 and sum(pairs) / len(pairs) > 0.97
