@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ class Settings:
     vector is verified. share, least: part of a block, and number of its vectors, that are verified, besides k, before a
     search ends there. sample: vectors of a block whose collisions say how the windows widen, `step` of them at a time.
     sure: half width of the windows, over the distance up to which nearly all vectors are verified by then.
-    block, query_block: rows of a block of vectors and of queries, which bound the memory of a task."""
+    block: rows of a block of vectors, which bounds the memory of a task."""
 
     projections: int = 192
     threshold: int = 150
@@ -29,7 +29,6 @@ class Settings:
     step: int = 5
     sure: float = 1.5
     block: int = 16384
-    query_block: int = 512
     seed: int = 7
 
 
@@ -104,37 +103,52 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own. Vectors that are
     null, empty, zero or hold null or non-finite parts take no part, and rows with a null id do not either; vectors are
     compared with queries of their own number of parts. Ties go to the smaller id; rows that repeat an id are each
-    candidates, and a query id that repeats is asked once, with the first of its vectors. With under k candidates all
-    come back. An empty table gives an empty result; other columns are ignored.
+    candidates, also of a query with their id, and a query id that repeats is asked once, with the first of its vectors.
+    With under k candidates all come back. An empty table gives an empty result; other columns are ignored.
 
-    Every block of vectors meets every block of queries once, and gives its k best for each query; those are ranked
-    together. Blocks are dealt by hash of the id, so no block is larger than its like, whatever the ids are.
+    Vectors are dealt out by number into blocks, a task each, where their sorted arrays are built once; all queries go to
+    every block, some at a time, and each block gives its k best for each, which are ranked together. So a vector is
+    moved once, and what grows with the square of the table is queries times blocks.
     """
-    spark = vectors.sparkSession
-    rows = written(usable(vectors, id_col, vector).withColumn("dim", F.size("vec")), "vectors")
-    n = rows.count()
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
-    asked = written(asked, "queries")
-    blocks, query_blocks = max(1, -(-n // s.block)), max(1, -(-asked.count() // s.query_block))
+    rows = written(usable(vectors, id_col, vector).withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers that stay, once written
+    blocks = max(1, -(-rows.count() // s.block))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "row")).alias("q"))
+    asked = written(asked.select("id", "q.vec", F.size("q.vec").alias("dim"), "q.row"), "queries")
     schema = "query_id long, vec_id long, score double"
 
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
-        if len(left) and len(right):
-            left = left.sort_values("id")
-            ids, index = left["id"].to_numpy(), SortedArrays(np.stack(left["vec"].to_numpy()), s)
-            for query_id, vec in zip(right["id"], right["vec"]):
-                places, scores, _ = index.search(np.asarray(vec), k + 1 + int((ids == query_id).sum()))
-                keep = ids[places] != query_id
-                found = pd.DataFrame({"query_id": query_id, "vec_id": ids[places][keep], "score": scores[keep]})
-                out.append(found.head(k))
-        return pd.concat(out)
-
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")
-    q = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q")
-    left = rows.select("id", "vec", "dim", b, F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = asked.select("id", "vec", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), q)
-    met = left.groupBy("b", "q", "dim").cogroup(right.groupBy("b", "q", "dim")).applyInPandas(meet, schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, held, index = None, [], None
+        for batch in batches:
+            columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("asks", "dim", "id", "row")}
+            cut = np.flatnonzero((np.diff(columns["dim"]) != 0) | (np.diff(columns["asks"]) != 0)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(batch)]):
+                if hi == lo:
+                    continue
+                if columns["dim"][lo] != dim:
+                    dim, held, index = columns["dim"][lo], [], None
+                table = batch.column("vec").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                ids, places = columns["id"][lo:hi], columns["row"][lo:hi]
+                if not columns["asks"][lo]:
+                    held.append((table, ids, places))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    table_of, ids_of, rows_of = (np.concatenate(x) for x in zip(*held))
+                    order = np.lexsort((rows_of, ids_of))  # places tell ties apart as ids do
+                    index, ids_of, rows_of = SortedArrays(table_of[order], s), ids_of[order], rows_of[order]
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for query, own, query_id in zip(table, places, ids):
+                    near, scores, _ = index.search(query, k + 1)
+                    others = np.flatnonzero(rows_of[near] != own)[:k]
+                    found.append((np.full(len(others), query_id), ids_of[near[others]], scores[others]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    both = rows.select(block, F.lit(False).alias("asks"), "dim", "id", "row", "vec").unionByName(asked.select(every_block, F.lit(True).alias("asks"), "dim", "id", "row", "vec"))
+    dealt = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("dim", "asks", "id", "row")
+    met = dealt.select("asks", "dim", "id", "row", "vec").mapInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -21,7 +21,9 @@ def test_small_table_is_exact_with_ties_and_odd_vectors(spark):
 
 def test_repeated_rows(spark):
     got = run(spark, [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0])])
-    assert [(a, b, c) for a, b, c, _ in got] == [(0, 1, 5), (0, 2, 5)]
+    assert [(a, b, c) for a, b, c, _ in got] == [(0, 1, 0), (0, 2, 5), (0, 3, 5)]  # all rows but the query's own
+    got = run(spark, [(100, [1.0, 0.0]), (100, [1.1, 0.0]), (7, [9.0, 0.0])])
+    assert [(a, b, c) for a, b, c, _ in got] == [(100, 1, 100), (100, 2, 7)] and abs(got[0][3] - 0.1) < 1e-6
 
 
 def test_recall_over_blocks(spark):
@@ -30,7 +32,7 @@ def test_recall_over_blocks(spark):
     table = centres[rng.integers(0, 10, 3000)] * 0.3 + rng.standard_normal((3000, 64))
     table = (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)
     want = {(q, i) for q, _, i, _ in brute_force({i: v.astype(float) for i, v in enumerate(table)}, 10, 100)}
-    got = run(spark, [(i, [float(x) for x in v]) for i, v in enumerate(table)], s=Settings(block=1000, query_block=16))
+    got = run(spark, [(i, [float(x) for x in v]) for i, v in enumerate(table)], s=Settings(block=1000))
     assert len(got) == len(want)
     assert len(want & {(q, i) for q, _, i, _ in got}) >= 0.9 * len(want)
     exact = {(q, i): float(np.sqrt(((table[q].astype(float) - table[i].astype(float)) ** 2).sum())) for q, _, i, _ in got}
