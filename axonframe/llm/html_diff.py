@@ -28,8 +28,32 @@ ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form
 #: Words that a page of its own has at least, and runs on either side among which a page looks for one that is no copy.
 OWN, NEAR = 25, 3
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+#: What stands between two attributes, and one attribute: its whole name, and its value if it has one.
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+READ = ("class", "id", "role", "hidden", "aria-hidden")
+
+
+def attributes_at(html: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that are read, of the tag whose name ends at `at`, and the place after the tag.
+
+    Attributes are gone through one by one, so a name or a value that holds another's name is not taken for it; of two of
+    the same name the first counts. A tag that is not closed goes on to the end of the page. No character is looked at
+    more than a few times, whatever quotes are left open.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = BETWEEN.match(html, at).end()
+        if at >= len(html):
+            return found, at
+        if html[at] == ">":
+            return found, at + 1
+        m = ATTRIBUTE.match(html, at)
+        name = m[1].lower()
+        if name in READ:
+            found.setdefault(name, (m[2] or m[3] or m[4] or "").lower())
+        at = m.end()
 
 
 def _named(value: str) -> bool:
@@ -38,19 +62,20 @@ def _named(value: str) -> bool:
     return any(not MARKS.isdisjoint(p) and MODIFIERS.isdisjoint(p) for p in parts)
 
 
-def _is_chrome(name: str, attributes: str) -> tuple[bool, bool]:
+def _is_chrome(name: str, attributes: dict[str, str]) -> tuple[bool, bool]:
     """Whether an element is chrome by its name, role or hiding, and whether by its class or id. A page, an article and
     main are never chrome by role, class or id."""
     if name in ("html", "body"):
         return False, False
-    firm, named = name in CHROME, False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES and name not in ("article", "main"):
-            firm = True
-        elif key in ("class", "id") and name not in ("article", "main") and _named(value):
-            named = True
-    return firm, named
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip() == "true"
+    if name in ("article", "main"):
+        return hidden, False
+    firm = name in CHROME or hidden or attributes.get("role", "").strip() in ROLES
+    return firm, _named(attributes.get("class", "")) or _named(attributes.get("id", ""))
+
+
+#: Marks of a line: in no chrome, or in an element that is chrome whatever stands in it. Other marks are numbers from 1.
+CLEAR, FIRM = 0, -1
 
 
 def lines_of(html: str) -> list[tuple[str, str]]:
@@ -58,23 +83,27 @@ def lines_of(html: str) -> list[tuple[str, str]]:
     main), chrome (menus, adverts and the like) or other. Character references are decoded, white space is one space.
 
     A class or id does not make an element chrome that main stands in; nor one that article stands in, unless the page
-    has other main text (teasers in a list of related pages are often articles).
+    has other main text (teasers in a list of related pages are often articles). The work is that of the page's length:
+    of the elements around that are chrome by class or id a line knows the innermost, and if main stands in that one, it
+    stands in all.
     """
-    lines: list[tuple[str, bool | frozenset[int], bool]] = []
-    stack: list[tuple[str, bool | frozenset[int], bool]] = []  # open elements: name, chrome, main
+    lines: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, mark, main
+    opened: Counter = Counter()  # names of the open elements
+    never_closed: set[str] = set()  # names of raw elements that are not closed any more
     words: list[str] = []
-    chrome: bool | frozenset[int] = frozenset()  # True, or the numbers of the elements around that are chrome by class or id
-    main, marks = False, 0
-    around: dict[str, set[int]] = {"article": set(), "main": set()}  # numbers of the elements that these stand in
+    mark, main = CLEAR, False
+    outer = [0]  # of each mark the one around it
+    around: dict[str, set[int]] = {"article": set(), "main": set()}  # marks of the elements that these stand in
 
     def close_line() -> None:
         line = " ".join(unescape("".join(words)).split())
         words.clear()
         if line:
-            lines.append((line, chrome, main))
+            lines.append((line, mark, main))
 
     def regions(free: set[int]) -> list[tuple[str, str]]:
-        return [(line, "chrome" if c is True or c - free else "main" if m else "other") for line, c, m in lines]
+        return [(line, "chrome" if c == FIRM or c != CLEAR and c not in free else "main" if m else "other") for line, c, m in lines]
 
     at, size = 0, len(html)
     while at < size:
@@ -83,34 +112,48 @@ def lines_of(html: str) -> list[tuple[str, str]]:
         if not m:
             break
         at = m.end()
-        closing, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+        closing, name = m[1], (m[2] or "").lower()
         if not name:
             continue
+        attributes, at = attributes_at(html, at)
         if name not in INLINE:
             close_line()
         if name in VOID:
             continue
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-                if name in INLINE and stack and stack[-1][1:] != (chrome, main) or name in INLINE and not stack and (chrome or main):
+            if opened[name]:
+                while True:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == name:
+                        break
+                now = stack[-1][1:] if stack else (CLEAR, False)
+                if name in INLINE and now != (mark, main):
                     close_line()
-                _, chrome, main = stack[-1] if stack else ("", frozenset(), False)
+                mark, main = now
         elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = None if name in never_closed else re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if not end:
+                never_closed.add(name)
             at = end.end() if end else (at if name == "head" else size)
         else:
             firm, named = _is_chrome(name, attributes)
             if firm or named:
-                if not chrome:
+                if mark == CLEAR:
                     close_line()
-                marks += 1
-                chrome = True if firm or chrome is True else chrome | {marks}
-            elif name in around and not main and chrome is not True:
-                around[name] |= chrome
+                if firm or mark == FIRM:
+                    mark = FIRM
+                else:
+                    outer.append(mark)
+                    mark = len(outer) - 1
+            elif name in around and not main and mark != FIRM:
+                one = mark
+                while one and one not in around[name]:
+                    around[name].add(one)
+                    one = outer[one]
             main = main or name in around
-            stack.append((name, chrome, main))
+            stack.append((name, mark, main))
+            opened[name] += 1
     close_line()
     found = regions(around["main"])
     return found if any(region == "main" for _, region in found) else regions(around["main"] | around["article"])

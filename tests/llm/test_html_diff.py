@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from html import unescape
 
 from axonframe.llm.html_diff import copies, extract, lines_of, main_text, shared_lines
@@ -161,3 +162,26 @@ def test_pages_of_very_many_lines():
     rest = iter(other)
     assert all(x in rest for x in got) and len(got) > 300
     assert len(shared_lines(mine, mine[:100] + other[:100] + mine[100:])) == 50_000
+
+
+def test_attributes_are_whole_names():
+    for html in ('<article style="overflow:hidden"><p>Text</p></article>', '<article data-hidden="false"><p>Text</p></article>', '<div data-id="menu-1"><p>Text</p></div>', '<p title="class=menu">Text</p>', "<p title='id=ad hidden'>Text</p>",
+                 '<div x-class="menu">Text</div>', '<div classes="menu">Text</div>', '<p data-role="navigation" hiddenx>Text</p>', '<div class=a/b id = "c" >Text</div>', "<div =hidden>Text</div>", '<a href=/menu/hidden class=x>Text</a>'):
+        assert main_text(lines_of(html), []) == "Text", html
+    for html in ('<div class="menu">No</div>', "<div ID = 'menu'>No</div>", "<div class=menu>No</div>", "<div hidden>No</div>", '<div aria-hidden="TRUE">No</div>', '<div a="x>y" role=navigation>No</div>', '<div class="x"class="y"hidden>No</div>', "<article hidden>No</article>"):
+        assert main_text(lines_of(html), []) == "", html
+    assert main_text(lines_of('<div class="a" class="menu">Text</div>'), []) == "Text"  # the first counts
+    assert main_text(lines_of('<p title="a > b">Text</p>'), []) == "Text"
+
+
+def test_odd_pages_take_linear_time():
+    n = 1 << 20
+    for unit, end in (("<a ", '"'), ("<a ", "'"), ("<a b='", ""), ('<a b="', ""), ("<a b=", '"'), ("<", ""), ("<a>", ""), ("</a>", ""), ("<a></b>", ""), ("<head>", ""), ("<div class=menu>", "x"), ("<div class=menu><main>", "x"), ("<p>x", ""), ("<!--", ""), ("<![CDATA[", ""), ("<!", ""), ("&", ""), ("<a ='", ""), ("<b x", "")):
+        began = time.time()
+        lines_of(unit * (n // len(unit)) + end)
+        assert time.time() - began < 8, unit
+
+
+def test_marks_around_marks():
+    inside = '<div class="menu"><div id="ad"><main><p>Text</p><div class="share"><p>Tell</p></div></main></div><p>Buy</p></div><div class="sidebar">Side</div>'
+    assert lines_of(inside) == [("Text", "main"), ("Tell", "chrome"), ("Buy", "other"), ("Side", "chrome")]
