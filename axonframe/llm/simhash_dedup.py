@@ -20,6 +20,8 @@ WIDE = 16
 KEYED = 12
 #: Components that a key may have before it is made longer by another sample.
 CROWD = 16
+#: Of the smallest and the largest nodes of its keys, those that a node is held against at first.
+NEAREST = 4
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
 PARTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WIDE)], dtype=np.uint64)
 PRINTS, SAMPLES = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(KEYED)]
@@ -256,8 +258,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
 def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, measure: str, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that join the similar ones of nodes (node, sha, first_id, SIGNED) to components.
 
-    First each node with the smallest and the largest of each of its keys, so that a dense group is linked without its
-    pairs. Then nodes with the smallest and the largest node of each other component under keys that at most `crowd`
+    First each node with the NEAREST of the smallest and the largest nodes of its keys, by their fingerprints, so that a
+    dense group is linked without its pairs. Then nodes with the smallest and the largest node of each other component under keys that at most `crowd`
     components have; a key that more have is made longer by each of the samples after its last until that holds, so the
     pairs under a key are at most 2 x `crowd` times its rows. Of two components with at most two nodes under a key, or one,
     all pairs are looked at; of larger ones those with an end of either. A pair is looked at under one key, that of the first samples it has in common. Only a pair all of
@@ -272,7 +274,9 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     near = [_close("", e, radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
     n, e = shared.select("node", F.col("key").alias("node_key")).join(alike.select("node", *SIZED), "node"), ends
     stars = n.join(e, (F.col("node_key") == F.col("key")) & (near[0] | near[1]))
-    stars = stars.select("node", F.explode(F.array(F.when(near[0], F.col("lo")), F.when(near[1], F.col("hi")))).alias("other")).where("other is not null")
+    told = [F.when(close, F.struct(_wide_distance("", e).alias("bits"), F.col(e).alias("other"))) for e, close in zip(("lo", "hi"), near)]
+    nearest = stars.select("node", F.explode(F.array_compact(F.array(*told))).alias("e")).groupBy("node").agg(F.slice(F.sort_array(F.collect_set("e")), 1, NEAREST).alias("of"))
+    stars = nearest.select("node", F.explode("of").alias("e")).select("node", F.col("e.other").alias("other"))
     pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     links = similar(pairs, nodes, texts, words, similarity, measure)
 
