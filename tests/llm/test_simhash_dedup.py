@@ -175,6 +175,24 @@ def test_near_copies_of_a_table_match_brute_force(spark):
     assert set(groups.values()) <= got and len(got) <= len(set(groups.values())) + 1
 
 
+def test_drifting_families(spark):
+    """Each text of a family is a changed copy of an earlier one, so most pairs of a family are no links."""
+    rng, texts = random.Random(31), {}
+    for family in range(25):
+        chain = [[f"f{family}w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 120))]]
+        for _ in range(15):
+            words = list(rng.choice(chain[-3:]))
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            chain.append(words)
+        texts |= {16 * family + k: " ".join(words) for k, words in enumerate(chain)}
+    links = [(a, b) for a in texts for b in texts if a < b and a // 16 == b // 16 and slow_coverage(texts[a], texts[b]) >= 0.8]
+    want = set(union_find(texts, links).values())
+    got = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), measure="coverage").collect()}
+    print("families: groups", len(want), "found", len(got), "links", len(links))
+    assert want <= got and len(got) <= len(want)
+
+
 def test_crowded_keys_are_made_longer(spark):
     rng = random.Random(21)
     licence = " ".join(f"l{i}" for i in range(60))
