@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SENT_ROWS, SPACES, fresh, sent_if_small, written
@@ -49,6 +49,16 @@ def _neighbours(block: int, flips: int) -> list[int]:
     return [_signed(m << (8 * block)) for m in range(256) if m.bit_count() <= flips]
 
 
+def rare_shingles(items: DataFrame, hits: DataFrame, similarity: float) -> DataFrame:
+    """(h, item_id, n): of an item's n shingles, repeats included, so many of the rarest that a text that has none of them
+    cannot have similarity x n of the item's. hits: one row for each place in the documents of a shingle h that items have."""
+    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("item_id", "item").orderBy("times", "h")  # an item's shingles
+    ranked = items.select("item_id", "n", "item", F.explode("item").alias("h")).join(often, "h", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("rank", F.row_number().over(order))
+    enough = F.col("n") - F.ceil(F.col("n") * similarity - F.lit(1e-9)) + 1
+    return ranked.where(F.col("rank") <= enough).select("h", "item_id", "n").distinct()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, words: int = WORDS) -> DataFrame:
     """(doc_id, doc_key, item_id, start, n_words, similarity, distance): the best window of each document for each item
     that it repeats. doc_key is the SHA-256 of the text, start counts words from 0.
@@ -61,7 +71,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     Windows that cannot reach it are never formed: of n shingles each, 2 x similarity / (1 + similarity) x n must be
     the item's own, so only stretches of a document with that many of its shingles are cut into windows, and a window is
-    looked up among the items that it was cut for. This loses nothing, and the table of the items' shingles is all that
+    looked up among the items that it was cut for. An item is counted only in documents that have one of its rarest
+    shingles (see rare_shingles), so a shingle that many items share, such as the stem of a question, brings no pairs of
+    documents and items. This loses nothing, and the table of the items' shingles is all that
     every document has to be held against. Only the texts that windows are cut from are hashed a second time.
 
     A document with fewer shingles than the item has is one window, whole, and is verified without its SimHash, so
@@ -80,7 +92,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     spots = keyed.select("doc_id", "doc_key", F.posexplode_outer("all").alias("pos", "h"))  # outer: no filter that would hash the texts twice
     hits = written(spots.join(sent_if_small(written(wanted.select("h").distinct(), "shingles")), "h").select("doc_id", "doc_key", "pos", "h"), "hits")
     members = hits.select("doc_id", "doc_key").distinct()
-    places = hits.select("doc_key", "pos", "h").distinct().join(wanted, "h").groupBy("doc_key", "item_id", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    candidates = hits.select("doc_key", "h").distinct().join(sent_if_small(written(rare_shingles(items, hits, similarity), "rare")), "h").select("doc_key", "item_id", "n").distinct()
+    spots = hits.select("doc_key", "pos", "h").distinct().join(written(candidates, "candidates"), "doc_key").join(wanted, ["item_id", "n", "h"])
+    places = spots.groupBy("doc_key", "item_id", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
     need = F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
     runs = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.get("at", i + F.col("need") - 1) - F.get("at", i) < F.col("n"))
