@@ -93,41 +93,41 @@ def derivative(df: DataFrame, col: str, method: str = "central", keys: Sequence[
         return df.withColumn(out, slope)
     if method != "spline":
         raise ValueError(f"no method {method!r}; there are central and spline")
-    return spline_derivative(df, col, keys, time, out)
+    return spline_derivatives(df, {col: out}, keys, time)
 
 
 #: Points of a reach whose spline is solved at once, and points beyond them on either side that it also looks at.
 SPLINE_ROWS, SPLINE_BEYOND = 256, 48
 
 
-def spline_derivative(df: DataFrame, col: str, keys: Sequence[str] = REACH, time: str = "time", out: str | None = None, rows: int = SPLINE_ROWS, beyond: int = SPLINE_BEYOND) -> DataFrame:
-    """Add the derivative of the cubic spline through a reach's points as `out`.
+def spline_derivatives(df: DataFrame, outs: dict[str, str], keys: Sequence[str] = REACH, time: str = "time", rows: int = SPLINE_ROWS, beyond: int = SPLINE_BEYOND) -> DataFrame:
+    """Add derivatives of the cubic splines through a reach's points: outs says under which name, by column.
 
     A reach is cut into blocks of points, which are solved each with some points of its neighbours: the influence of a
     point on the spline falls to a quarter or so with each point between, so 48 of them leave nothing of it in a double.
     So a long reach is split over tasks, and all is done by expressions over arrays. Under four points the polynomial
     through them is taken, and the derivative of one point is NaN. Times must differ and not be null.
     """
-    out = out or f"d_{col}"
-    at = F.col(time).cast("double")
+    at, names = F.col(time).cast("double"), [f"_y{k}" for k in range(len(outs))]
     span = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    cut = df.select(*keys, F.col(time).alias("_time"), at.alias("_x"), F.col(col).cast("double").alias("_y")).join(span, list(keys))
+    cut = df.select(*keys, F.col(time).alias("_time"), at.alias("_x"), *[F.col(c).cast("double").alias(y) for c, y in zip(outs, names)]).join(span, list(keys))
     stretch = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_x") - F.col("_lo")) * F.ceil(F.col("_n") / STRETCH_ROWS) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
     placed = positions(cut.withColumn("_stretch", stretch), keys, ("_stretch", "_x"), None)
     place, last = F.col("_pos") % rows, F.floor((F.col("_n") - 1) / rows)
     block = F.floor(F.col("_pos") / rows)
     to = F.array_compact(F.array(block, F.when((place < beyond) & (block > 0), block - 1), F.when((place >= rows - beyond) & (block < last), block + 1)))
     dealt = placed.withColumn("_block", F.explode(to)).withColumn("_own", F.col("_block") == block)
-    points = dealt.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x", "_y", "_own", "_time"))).alias("_p"), F.max("_n").alias("_n"))
+    lines = dealt.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x", *names, "_own", "_time"))).alias("_p"), F.max("_n").alias("_n"))
     part = lambda name: F.transform("_p", lambda p: p[name])
-    lines = points.withColumns({"_x": part("_x"), "_y": part("_y"), "_start": F.get("_p", 0)["_pos"] == 0, "_end": F.element_at("_p", -1)["_pos"] == F.col("_n") - 1})
-    bent = F.col("_n") >= 4
-    lines = with_second_derivatives(lines, "_x", "_y", F.col("_start"), F.col("_end"), "_m")
-    lines = lines.withColumn("_s", F.when(bent, slopes(F.col("_x"), F.col("_y"), F.col("_m"))).otherwise(parabola_slopes(F.col("_x"), F.col("_y"))))
-    solved = lines.select(*keys, F.inline(F.arrays_zip(part("_own").alias("own"), part("_time").alias("_time"), F.col("_s").alias("_slope")))).where("own")
+    start, end, bent = F.get("_p", 0)["_pos"] == 0, F.element_at("_p", -1)["_pos"] == F.col("_n") - 1, F.col("_n") >= 4
+    lines = lines.withColumns({"_x": part("_x"), "_start": start, "_end": end, **{y: part(y) for y in names}})
+    for y in names:
+        lines = with_second_derivatives(lines, "_x", y, F.col("_start"), F.col("_end"), "_m")
+        lines = lines.withColumn(f"_s{y}", F.when(bent, slopes(F.col("_x"), F.col(y), F.col("_m"))).otherwise(parabola_slopes(F.col("_x"), F.col(y))))
+    solved = lines.select(*keys, F.inline(F.arrays_zip(part("_own").alias("own"), part("_time").alias("_time"), *[F.col(f"_s{y}") for y in names]))).where("own")
     a, b = df.alias("a"), solved.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{time}") == F.col("b._time")]
-    return a.join(b, same).select(*[F.col(f"a.{c}") for c in df.columns if c != out], F.col("b._slope").alias(out))
+    return a.join(b, same).select(*[F.col(f"a.{c}") for c in df.columns if c not in outs.values()], *[F.col(f"b._s{y}").alias(out) for y, out in zip(names, outs.values())])
 
 
 def with_accelerations(kin: DataFrame, method: str = "central") -> DataFrame:
@@ -142,10 +142,7 @@ def with_accelerations(kin: DataFrame, method: str = "central") -> DataFrame:
 
 def head_with_accelerations(kin: DataFrame, rows: int = 400) -> DataFrame:
     """The first rows of every reach with the spline accelerations ax, ay and az of vx, vy and vz, and no jerk."""
-    kin = head(kin, rows)
-    for v, a in (("vx", "ax"), ("vy", "ay"), ("vz", "az")):
-        kin = derivative(kin, v, "spline", out=a)
-    return kin
+    return spline_derivatives(head(kin, rows), {"vx": "ax", "vy": "ay", "vz": "az"})
 
 
 def first_crossing(kin: DataFrame, col: str = "x", threshold: float = 0.99, keys: Sequence[str] = REACH, t: str = "t") -> DataFrame:

@@ -97,13 +97,13 @@ def test_splines_in_blocks(spark):
         for t, v, d in zip(x, y, spline(x, y, x, derivative=True)):
             rows.append(("s", 0, reach, float(t), float(v), "other"))
             wanted[reach, float(t)] = d
-    df = spark.createDataFrame(rows, "session string, stim int, reach int, time double, v double, d string")
+    df = spark.createDataFrame(rows, "session string, stim int, reach int, time double, v double, d string").selectExpr("*", "2 * v AS twice")
     for parts, block in ((1, 256), (5, 60)):
-        got = kinematics.spline_derivative(df.repartition(parts), "v", rows=block).collect()
+        got = kinematics.spline_derivatives(df.repartition(parts), {"v": "d_v", "twice": "d_twice"}, rows=block).collect()
         assert len(got) == len(rows) and got[0].d == "other"
         for r in got:
-            assert r.d_v == pytest.approx(wanted[r.reach, r.time], abs=1e-10, nan_ok=True)
-    assert kinematics.spline_derivative(df.limit(0), "v").count() == 0
+            assert r.d_v == pytest.approx(wanted[r.reach, r.time], abs=1e-10, nan_ok=True) and r.d_twice == pytest.approx(2 * r.d_v, nan_ok=True)
+    assert kinematics.derivative(df.limit(0), "v", "spline").count() == 0
 
 
 def test_correlations_in_blocks_of_states(spark):
