@@ -263,10 +263,11 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     First each node with the NEAREST of the smallest and the largest nodes of its keys, by their fingerprints, so that a
     dense group is linked without its pairs. Then nodes with the smallest and the largest node of each other component under keys that at most `crowd`
     components have; a key that more have is made longer by each of the samples after its last until that holds, so the
-    pairs under a key are at most 2 x `crowd` times its rows, or SMALL times. Under a key of at most SMALL nodes all pairs
-    of different components are looked at, under a larger one those with the smallest or the largest node of either. A
-    pair is looked at under one key, that of the first samples it has in common. So what is not looked at is a pair all of
-    whose common samples together are a crowded key, and a pair of inner nodes of two components under a large key.
+    pairs under a key are at most 2 x `crowd` times its rows. Of two components with at most two nodes under a key, or one,
+    all pairs are looked at; of larger ones those with an end of either. A pair is looked at under one key, that of the
+    first samples it has in common. At last all pairs of what are still different components under keys of at most SMALL
+    nodes. So what is not looked at is a pair of which no sample in common has so few nodes, and all of whose common
+    samples together are a crowded key, or that are inner nodes of both components under those.
     """
     keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
@@ -286,12 +287,12 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     comp = written(components(links), "comp")
     rows, found = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", "of"), []
     for _ in range(KEYED):
-        held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), (F.sum("n") <= SMALL).alias("small")).where("comps > 1")
+        held = rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
         rows = written(rows.join(held, "key"), "rows")
         sparse = rows.where(F.col("comps") <= crowd)
         ends = sparse.groupBy("key", "comp").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
         signed = alike.select("node", *SIGNED)
-        x = sparse.join(ends, ["key", "comp"]).withColumn("end", F.col("small") | F.col("node").isin(F.col("lo"), F.col("hi"))).withColumn("upto", F.expr("shiftleft(1, length(bin(of)))")).join(signed, "node")
+        x = sparse.join(ends, ["key", "comp"]).withColumn("end", F.col("node").isin(F.col("lo"), F.col("hi"))).withColumn("upto", F.expr("shiftleft(1, length(bin(of)))")).join(signed, "node")
         y = x.where("end")
         x, y = x.select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "end", "of", "upto", *SIGNED)]), y.select("key", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", *SIGNED)])
         once = (F.col("xcomp") < F.col("ycomp")) | ((F.col("xcomp") > F.col("ycomp")) & ~F.col("xend"))
@@ -302,7 +303,15 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
             break
         rows = _longer_keys(crowded, alike)
     pairs = reduce(DataFrame.unionByName, found)
-    return links.unionByName(similar(written(pairs, "pairs"), nodes, texts, words, similarity, measure))
+    links = links.unionByName(similar(written(pairs, "pairs"), nodes, texts, words, similarity, measure))
+
+    comp = written(components(links), "comp")
+    rows = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key")
+    small = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") < F.max("comp")).alias("mixed")).where((F.col("n") <= SMALL) & F.col("mixed")).select("key")
+    rows = written(rows.join(small, "key"), "rows").join(alike.select("node", *SIZED), "node")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("node", "comp", *SIZED)]) for side in "xy")
+    last = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius)).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    return links.unionByName(similar(written(last, "pairs"), nodes, texts, words, similarity, measure))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = NEAR, measure: str = "jaccard") -> DataFrame:
