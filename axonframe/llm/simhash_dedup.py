@@ -20,8 +20,6 @@ WIDE = 16
 KEYED = 12
 #: Components that a key may have before it is made longer by another sample.
 CROWD = 16
-#: Nodes that a key may have for all its pairs to be looked at.
-SMALL = 32
 #: Of the smallest and the largest nodes of its keys, those that a node is held against at first.
 NEAREST = 4
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
@@ -265,9 +263,9 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     components have; a key that more have is made longer by each of the samples after its last until that holds, so the
     pairs under a key are at most 2 x `crowd` times its rows. Of two components with at most two nodes under a key, or one,
     all pairs are looked at; of larger ones those with an end of either. A pair is looked at under one key, that of the
-    first samples it has in common. At last all pairs of what are still different components under keys of at most SMALL
-    nodes. So what is not looked at is a pair of which no sample in common has so few nodes, and all of whose common
-    samples together are a crowded key, or that are inner nodes of both components under those.
+    first samples it has in common. At last all pairs of what are still different components, under every key, however
+    many nodes it has: each pair of nodes with a sample in common, and few enough bits between them, is in one component
+    by then or looked at there. The steps before only keep those few.
     """
     keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
@@ -307,8 +305,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
 
     comp = written(components(links), "comp")
     rows = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key")
-    small = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") < F.max("comp")).alias("mixed")).where((F.col("n") <= SMALL) & F.col("mixed")).select("key")
-    rows = written(rows.join(small, "key"), "rows").join(alike.select("node", *SIZED), "node")
+    mixed = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
+    rows = written(rows.join(mixed, "key"), "rows").join(alike.select("node", *SIZED), "node")
     x, y = (rows.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("node", "comp", *SIZED)]) for side in "xy")
     last = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius)).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
     return links.unionByName(similar(written(last, "pairs"), nodes, texts, words, similarity, measure))

@@ -211,3 +211,15 @@ def test_columns_that_clash_stay_as_they_are(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _sha string, node long, _id string")
     got = drop_near_duplicates(df, measure="coverage")
     assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[2]]))
+
+
+def test_links_under_keys_of_many_nodes_are_found(spark):
+    """All samples are common to 40 texts of different components; the only near copies are neither first nor last."""
+    rng = random.Random(44)
+    own = {d: [f"v{rng.randrange(10**6)}" for _ in range(60)] for d in range(40)}
+    own[6] = ["new" if i == 30 else w for i, w in enumerate(own[5])]
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in own.items()], "id long, body string").selectExpr("unhex(sha2(cast(body as binary), 256)) sha", "id", "body")
+    nodes = with_signature(texts, ["sha", "id"], "body", 5).withColumnsRenamed({"id": "first_id"}).withColumn("node", F.col("first_id"))
+    nodes = nodes.withColumns({c: F.lit(7).cast("long") for c in nodes.columns if c[0] in "fm" and c[1:].isdigit()})
+    links = near_links(written(nodes, "nodes"), texts, 5, 0.8, 400, "coverage").collect()
+    assert {(r.a, r.b) for r in links} == {(5, 6)}
