@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SENT_ROWS, TEXT_ROWS, components, fresh, lists, sent_if_small, spread, values, written
@@ -18,8 +17,8 @@ BITS = 64
 #: Of near duplicates by similarity: 64-bit parts of a fingerprint, and those of them whose smallest hash is a sample.
 WIDE = 16
 KEYED = 12
-#: Components that a key may have before it is made longer by another sample.
-CROWD = 16
+#: Nodes of a key, and shingles of them, that are looked at as one; more are dealt over tiles of so many a side.
+CROWD, CROWD_SHINGLES = 512, 1 << 20
 #: Of the smallest and the largest nodes of its keys, those that a node is held against at first.
 NEAREST = 4
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
@@ -177,24 +176,8 @@ def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> D
 
 
 def _near_keys(nodes: DataFrame) -> DataFrame:
-    """One row for each node and sample: key is the sample with its number, of the bit of that number."""
-    keys = [F.struct(F.xxhash64(F.lit(i), F.col(m)).alias("key"), F.lit(1 << i).alias("of")) for i, m in enumerate(SAMPLES)]
-    return spread(nodes, "node").select("node", F.explode(F.array(*keys)).alias("e")).select("node", "e.key", "e.of")
-
-
-def _longer_keys(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows (node, comp, key, of) under crowded keys, each with every sample of a higher number added to its key."""
-    more = [F.struct(F.xxhash64(F.col("key"), F.lit(i), F.col(m)).alias("key"), F.col("of").bitwiseOR(F.lit(1 << i)).alias("of")) for i, m in enumerate(SAMPLES)]
-    highest = F.length(F.bin("of"))  # the number after that of the last sample
-    longer = rows.join(nodes.select("node", *SAMPLES), "node").select("node", "comp", F.explode(F.slice(F.array(*more), highest + 1, KEYED)).alias("e"))
-    return longer.select("node", "comp", "e.key", "e.of")
-
-
-def _first_in_common(x: str, y: str, of: str, upto: str) -> Column:
-    """Whether the samples in a key are the first that two nodes have in common, so that a pair stands under one key of
-    each length. upto: the bit after that of the key's last sample."""
-    common = reduce(Column.bitwiseOR, (F.when(F.col(f"{x}{m}") == F.col(f"{y}{m}"), F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(SAMPLES)))
-    return common % F.col(upto) == F.col(of)
+    """One row for each node and sample: key is the sample with its number."""
+    return spread(nodes, "node").select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(m)) for i, m in enumerate(SAMPLES)])).alias("key"))
 
 
 def _wide_distance(x: str, y: str) -> Column:
@@ -213,20 +196,31 @@ def jaccard(x: np.ndarray, y: np.ndarray, words: int) -> float:
     return common / (len(x) + len(y) - common)
 
 
+def _part(found: np.ndarray, words: int) -> float:
+    """The part of a text's words that lie in shingles that are found. A text of at most `words` words is one shingle."""
+    return float(found[0]) if len(found) == 1 else float((np.convolve(found, np.ones(words)) > 0.5).mean())
+
+
 def coverage(x: np.ndarray, y: np.ndarray, words: int) -> float:
     """The part of a text's words that lie in shingles which the other text has too; the smaller of both texts' parts.
 
     x, y: hashes of the word shingles in order. A text of at most `words` words is one shingle.
     """
+    return min(_part(np.isin(x, y), words), _part(np.isin(y, x), words))
 
-    def part(one: np.ndarray, other: np.ndarray) -> float:
-        found = np.isin(one, other)
-        return float(found[0]) if len(found) == 1 else float((np.convolve(found, np.ones(words)) > 0.5).mean())
 
-    return min(part(x, y), part(y, x))
+MEASURES = {"jaccard": jaccard, "coverage": coverage}
 
 
-MEASURES = {"jaccard": jaccard, "coverage": coverage}
+def _told(hashes: np.ndarray, words: int, measure: str) -> tuple[np.ndarray, int]:
+    """Hashes of a text and a number of words, such that the _part of them that another text has is at least the
+    similarity of both: for the coverage all in order, for Jaccard the set, each for itself."""
+    return (hashes, words) if measure == "coverage" else (np.unique(hashes), 1)
+
+
+def _bodies(texts: DataFrame, asked: DataFrame, *names: str) -> DataFrame:
+    """names and the texts as bytes (`_body`) of the nodes of a written table (of_sha, first_id, names)."""
+    return texts.join(sent_if_small(asked, SENT_ROWS // 8), (F.col("sha") == F.col("of_sha")) & F.col("id").eqNullSafe(F.col("first_id"))).select(*names, F.col("body").cast("binary").alias("_body"))
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
@@ -236,8 +230,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
     """
     measured = MEASURES[measure]
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("sha").alias("of_sha"), "first_id"), "node")
-    asked = sent_if_small(written(asked, "asked"), SENT_ROWS // 8)
-    bodies = texts.join(asked, (F.col("sha") == F.col("of_sha")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", F.col("body").cast("binary").alias("_body"))
+    bodies = _bodies(texts, written(asked, "asked"), "node")
 
     def digest(batches):
         for batch in batches:
@@ -255,17 +248,112 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", TEXT_ROWS // 4)
 
 
+def linkable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """Of nodes (node, comp) those that can be similar to one of another component, with their hashes; no other can.
+
+    A text is similar to another only if the shingles that both have cover the similarity of its words, so the shingles
+    that nodes of other components have, whichever, cover as much. Texts that share a licence or a line and go on in
+    words of their own are out, without a look at their pairs.
+    """
+    asked = written(asked.join(nodes.select("node", F.col("sha").alias("of_sha"), "first_id"), "node"), "asked")
+
+    def spell(batches):
+        for batch in batches:
+            out, held = [], 0
+            for node, comp, body in zip(*(values(batch.column(c)) for c in ("node", "comp", "_body"))):
+                out.append((np.unique(_shingle_hashes((body or b"").lower().split(), words)).view(np.int64), node, comp))
+                held += len(out[-1][0])
+                if held > 1 << 17:
+                    yield flush(out)
+                    out, held = [], 0
+            if out:
+                yield flush(out)
+
+    def flush(out):
+        lengths = [len(h) for h, _, _ in out]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _, _ in out])), *(pa.array(np.repeat(np.array([o[k] for o in out]), lengths)) for k in (1, 2))], names=["hash", "node", "comp"])
+
+    of = Window.partitionBy("hash")
+    common = _bodies(texts, asked, "node", "comp").mapInArrow(spell, "hash long, node long, comp long").withColumn("mixed", F.min("comp").over(of) < F.max("comp").over(of))
+    common = common.where("mixed").groupBy("node").agg(F.collect_list("hash").alias("common"))
+    asked = written(asked.join(written(common, "common", TEXT_ROWS // 4).select("node", "common"), "node"), "asked")
+
+    def keep(batches):
+        for batch in batches:
+            nodes, comps, kept = [], [], []
+            for node, comp, common, body in zip(values(batch.column("node")), values(batch.column("comp")), lists(batch.column("common")), values(batch.column("_body"))):
+                hashes, span = _told(_shingle_hashes((body or b"").lower().split(), words).view(np.int64), words, measure)
+                if _part(np.isin(hashes, common), span) >= similarity - 1e-9:
+                    nodes.append(node), comps.append(comp), kept.append(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(comps, type=pa.int64()), pa.array(kept, type=pa.list_(pa.int64()))], names=["node", "comp", "hashes"])
+
+    found = _bodies(texts, asked, "node", "comp", "common").mapInArrow(keep, "node long, comp long, hashes array<long>")
+    return written(found, "linkable", TEXT_ROWS // 4).dropDuplicates(["node"])
+
+
+def tile_links(of: tuple, table: pa.Table, words: int, similarity: float, measure: str) -> pa.Table:
+    """Links (a, b) that join the similar nodes of one tile of a key to components; nodes of one component (comp) are joined already.
+
+    Rows: at (i or j), node, comp, the keys that a node has and its hashes. Pairs are of one node at i and one at j, under
+    the smallest key that they have in common. Nodes of the largest component come last, and are looked at from the others.
+    """
+    table = table.combine_chunks()
+    key, i, j = (v.as_py() for v in of)
+    at, node, comp = (table.column(c).to_numpy() for c in ("at", "node", "comp"))
+    comp, counts = np.unique(comp, return_inverse=True, return_counts=True)[1:]
+    order = np.lexsort((node, comp, counts[comp]))
+    at, node, comp = at[order], node[order], comp[order]
+    keys, hashes = ([found[k] for k in order] for found in (list(lists(table.column(c).chunk(0))) for c in ("keys", "hashes")))
+    smaller = [k[k < key] for k in keys]
+    known, of_all = np.unique(np.concatenate(hashes), return_inverse=True)
+    lengths = np.array([len(h) for h in hashes])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    listed = np.unique(of_all * len(node) + np.repeat(np.arange(len(node)), lengths))  # by hash, the nodes that have it
+    ends = np.searchsorted(listed, np.arange(len(known) + 1) * len(node))
+    listed %= len(node)
+    having = {int(k): [] for k in np.unique(np.concatenate(smaller))}
+    for n, some in enumerate(smaller):
+        for k in some.tolist():
+            having[k].append(n)
+    having = {k: np.array(v) for k, v in having.items()}
+    span, parent, found = words if measure == "coverage" else 1, np.arange(len(counts)), []
+    for x in range(len(node)):
+        asked = (parent[comp] != parent[comp[x]]) & (np.arange(len(node)) > x)
+        if i != j:
+            asked &= at != at[x]
+        for k in smaller[x].tolist():
+            asked[having[k]] = False
+        if not asked.any():
+            continue
+        mine, at_hash, often = np.unique(of_all[starts[x] : starts[x + 1]], return_inverse=True, return_counts=True)
+        times = ends[mine + 1] - ends[mine]
+        before = np.cumsum(times) - times
+        place, other = np.repeat(np.arange(len(mine)), times), listed[np.arange(times.sum()) + np.repeat(ends[mine] - before, times)]
+        place, other = place[asked[other]], other[asked[other]]
+        least = similarity * (lengths[x] + span - 1) - 1e-9
+        enough = np.bincount(other, weights=often[place], minlength=len(node)) * span >= least
+        place, other = place[enough[other]], other[enough[other]]
+        them, column = np.unique(other, return_inverse=True)
+        both = np.zeros((len(mine), len(them)), dtype=bool)
+        both[place, column] = True
+        over = np.zeros((lengths[x] + span - 1, len(them)), dtype=bool)
+        for d in range(span):
+            over[d : d + lengths[x]] |= both[at_hash]
+        for y in them[over.sum(axis=0) >= least].tolist():
+            if parent[comp[x]] != parent[comp[y]] and MEASURES[measure](hashes[x], hashes[y], words) >= similarity:
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+                parent[parent == parent[comp[x]]] = parent[comp[y]]
+    return pa.table([pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, measure: str, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that join the similar ones of nodes (node, sha, first_id, SIGNED) to components.
 
     First each node with the NEAREST of the smallest and the largest nodes of its keys, by their fingerprints, so that a
-    dense group is linked without its pairs. Then nodes with the smallest and the largest node of each other component under keys that at most `crowd`
-    components have; a key that more have is made longer by each of the samples after its last until that holds, so the
-    pairs under a key are at most 2 x `crowd` times its rows. Of two components with at most two nodes under a key, or one,
-    all pairs are looked at; of larger ones those with an end of either. A pair is looked at under one key, that of the
-    first samples it has in common. At last all pairs of what are still different components, under every key, however
-    many nodes it has: each pair of nodes with a sample in common, and few enough bits between them, is in one component
-    by then or looked at there. The steps before only keep those few.
+    dense group is linked without its pairs. Then all pairs of what are still different components, under every key,
+    however many nodes it has: each pair of nodes with a sample in common is in one component by then or looked at there.
+    Before, nodes go that can be similar to none of another component (`linkable`); of the others each tile of at most
+    `crowd` x `crowd` nodes of a key is one group of rows, whose pairs are counted in it and make no rows.
     """
     keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
@@ -282,34 +370,21 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     links = similar(pairs, nodes, texts, words, similarity, measure)
 
-    comp = written(components(links), "comp")
-    rows, found = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", "of"), []
-    for _ in range(KEYED):
-        held = rows.select("key", "comp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        rows = written(rows.join(held, "key"), "rows")
-        sparse = rows.where(F.col("comps") <= crowd)
-        ends = sparse.groupBy("key", "comp").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        signed = alike.select("node", *SIGNED)
-        x = sparse.join(ends, ["key", "comp"]).withColumn("end", F.col("node").isin(F.col("lo"), F.col("hi"))).withColumn("upto", F.expr("shiftleft(1, length(bin(of)))")).join(signed, "node")
-        y = x.where("end")
-        x, y = x.select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "end", "of", "upto", *SIGNED)]), y.select("key", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", *SIGNED)])
-        once = (F.col("xcomp") < F.col("ycomp")) | ((F.col("xcomp") > F.col("ycomp")) & ~F.col("xend"))
-        cross = x.join(y, (x["key"] == y["key"]) & once & _close("x", "y", radius) & _first_in_common("x", "y", "xof", "xupto"))
-        found.append(written(cross.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")), "pairs"))
-        crowded = rows.where((F.col("comps") > crowd) & (F.col("of") < 1 << (KEYED - 1)))
-        if crowded.isEmpty():
-            break
-        rows = _longer_keys(crowded, alike)
-    pairs = reduce(DataFrame.unionByName, found)
-    links = links.unionByName(similar(written(pairs, "pairs"), nodes, texts, words, similarity, measure))
+    def mixed(rows: DataFrame) -> DataFrame:
+        """rows (node, comp, key, size) under keys of several components, and the tiles of a side of their key."""
+        tiles = F.ceil(F.greatest(F.count(F.lit(1)) / crowd, F.sum("size") / CROWD_SHINGLES)).cast("int")
+        held = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed"), tiles.alias("tiles")).where("mixed").select("key", "tiles")
+        return written(rows.join(held, "key"), "mixed")
 
     comp = written(components(links), "comp")
-    rows = shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key")
-    mixed = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
-    rows = written(rows.join(mixed, "key"), "rows").join(alike.select("node", *SIZED), "node")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("node", "comp", *SIZED)]) for side in "xy")
-    last = x.join(y, (x["key"] == y["key"]) & (F.col("xcomp") < F.col("ycomp")) & _close("x", "y", radius)).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    return links.unionByName(similar(written(last, "pairs"), nodes, texts, words, similarity, measure))
+    rows = mixed(shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", F.lit(0).alias("size")))
+    able = linkable(rows.select("node", "comp").distinct(), nodes, texts, words, similarity, measure)
+    rows = mixed(rows.select("node", "comp", "key").join(able.select("node", F.size("hashes").alias("size")), "node"))
+    able = able.join(rows.groupBy("node").agg(F.collect_list("key").alias("keys")), "node").select("node", "keys", "hashes")
+    tiled = rows.withColumn("at", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("key", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "comp").join(able, "node").select("key", "i", "j", "at", "node", "comp", "keys", "hashes")
+    last = tiled.groupBy("key", "i", "j").applyInArrow(lambda of, table: tile_links(of, table, words, similarity, measure), "a long, b long")
+    return links.unionByName(written(last, "similar"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = NEAR, measure: str = "jaccard") -> DataFrame:
@@ -322,9 +397,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Fingerprints of so few shingles in common differ in up to a third of their bits, too many for blocks of bits alone,
     so a block is the smallest shingle hash of one of KEYED parts of the fingerprint, which two texts share with the
     probability of their Jaccard similarity J. Pairs are found if any of the KEYED samples is the same (all but
-    (1 - J) ** 12: at 0.8 none in 10 ** 8, at 0.5 0.02 %, at 0.35 0.6 %) and at most `radius` bits of the fingerprint
-    differ (FAR bits where either text has at most FEW shingles), and count if the texts have the similarity.
-    How a group is linked without all its pairs, and what crowded keys do, is told in near_links.
+    (1 - J) ** 12: at 0.8 none in 10 ** 8, at 0.5 0.02 %, at 0.35 0.6 %), and count if the texts have the similarity.
+    At most `radius` bits of the fingerprint (FAR bits where either text has at most FEW shingles) differ in pairs that
+    are tried first. How a group is linked without all its pairs, and what crowded keys do, is told in near_links.
 
     Equal texts (by SHA-256) are always one group; null and empty texts are equal, and one of them stays. Of repeated
     rows with the same id one stays. Rows with a null id stay only where their group has no other. An empty table gives

@@ -3,8 +3,9 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+from axonframe.llm import simhash_dedup
 from axonframe.llm.shared import components, written
-from axonframe.llm.simhash_dedup import _shingle_hashes, coverage, drop_near_duplicates, fingerprint, near_links, signature, simhash_components, with_signature
+from axonframe.llm.simhash_dedup import _shingle_hashes, coverage, drop_near_duplicates, fingerprint, near_links, signature, simhash_components, tile_links, with_signature
 
 SCHEMA = "doc_id long, text string, component_id string, fp long"
 
@@ -223,3 +224,47 @@ def test_links_under_keys_of_many_nodes_are_found(spark):
     nodes = nodes.withColumns({c: F.lit(7).cast("long") for c in nodes.columns if c[0] in "fm" and c[1:].isdigit()})
     links = near_links(written(nodes, "nodes"), texts, 5, 0.8, 400, "coverage").collect()
     assert {(r.a, r.b) for r in links} == {(5, 6)}
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """400 texts, a third of each the same, and two near copies among them."""
+    rng = random.Random(45)
+    common = [f"c{i}" for i in range(20)]
+    texts = {d: [f"v{rng.randrange(10**6)}" for _ in range(40)] + common for d in range(400)}
+    texts[207] = ["new" if i == 30 else w for i, w in enumerate(texts[206])]
+    listed, count = [], simhash_dedup.similar
+
+    def counted(pairs, *rest):
+        listed.append(pairs.count())
+        return count(pairs, *rest)
+
+    monkeypatch.setattr(simhash_dedup, "similar", counted)
+    got = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string"), measure="coverage").collect()}
+    assert got == set(texts) - {207}
+    assert sum(listed) <= 10 * len(texts)
+
+
+def test_links_over_the_tiles_of_a_key(spark):
+    """Links within a key in one tile or many, and its nodes in one component or many; coverage and Jaccard similarity."""
+    rng = random.Random(46)
+    texts = {}
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for k in range(8):
+            texts[8 * family + k] = [w if rng.random() > 0.03 else f"n{rng.randrange(10**6)}" for w in base]
+    for measure in ("coverage", "jaccard"):
+        alike = lambda a, b: slow_coverage(" ".join(texts[a]), " ".join(texts[b])) if measure == "coverage" else len(shingle_set(" ".join(texts[a])) & shingle_set(" ".join(texts[b]))) / len(shingle_set(" ".join(texts[a])) | shingle_set(" ".join(texts[b])))
+        want = union_find(texts, [(a, b) for a in texts for b in texts if a < b and alike(a, b) >= 0.8])
+        hashes = {d: _shingle_hashes(" ".join(w).encode().split(), 5).view("int64") for d, w in texts.items()}
+        hashes = hashes if measure == "coverage" else {d: simhash_dedup.np.unique(h) for d, h in hashes.items()}
+        for tiles in (1, 3):
+            links = []
+            for i in range(tiles):
+                for j in range(i, tiles):
+                    own = [d for d in texts if d % tiles in (i, j)]
+                    table = simhash_dedup.pa.table({"at": [d % tiles for d in own], "node": own, "comp": [d - d % 8 if d % 8 < 3 and want[d] == want[d - d % 8] else d for d in own], "keys": [[7, 9] if d % 8 else [9] for d in own], "hashes": [hashes[d] for d in own]})
+                    for key in (7, 9):
+                        rows = table if key == 9 else table.filter([d % 8 > 0 for d in own])
+                        links += [tuple(r.values()) for r in tile_links(tuple(simhash_dedup.pa.scalar(v) for v in (key, i, j)), rows, 5, 0.8, measure).to_pylist()]
+            links += [(d - d % 8, d) for d in texts if d % 8 in (1, 2) and want[d] == want[d - d % 8]]
+            assert union_find(texts, links) == want
