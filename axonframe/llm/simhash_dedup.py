@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SENT_ROWS, TEXT_ROWS, components, fresh, lists, sent_if_small, spread, values, written
+from .shared import SENT_ROWS, TEXT_ROWS, components, fresh, lists, sent_if_small, shuffled, spread, values, written
 
 SEED = 42  # the hash seed that the fingerprints are defined with
 BITS = 64
@@ -117,13 +117,15 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     on every choice of `clean` blocks finds them; the Hamming distance is verified in the join. A dense group would
     give all its pairs, so links are found in two passes that give the same components: first each node is linked to
     the smallest and the largest node of its key, then pairs are sought only under keys that several
-    components still share, and only between components.
+    components still share, and only between components. Spark takes the exploded rows to be no more than the nodes, so
+    no join of them is left to its estimate: the keys are counted, and sent only if they are few.
     Returns (node, comp) for linked nodes.
     """
     keyed = exploded(spread(nodes, "node"), blocks, clean)
     ends = keyed.groupBy("k", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     for e in ("lo", "hi"):
-        ends = ends.join(nodes.select(F.col("node").alias(e), F.col("fp").alias(f"{e}_fp")), e)
+        ends = ends.join(shuffled(nodes.select(F.col("node").alias(e), F.col("fp").alias(f"{e}_fp"))), e)
+    ends = sent_if_small(written(ends, "ends"), SENT_ROWS // 8)
     near = [(_distance(F.col("fp"), F.col(f"{e}_fp")) <= radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
     n, e = keyed.alias("n"), ends.alias("e")
     stars = n.join(e, (F.col("n.k") == F.col("e.k")) & (F.col("n.key") == F.col("e.key")) & (near[0] | near[1]))
@@ -131,11 +133,11 @@ def link_components(nodes: DataFrame, radius: int = 4, blocks: int = 7, clean: i
     first = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "stars")
     comp = written(components(first), "comp")
 
-    labelled = nodes.join(comp, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp"))
+    labelled = nodes.join(sent_if_small(comp, SENT_ROWS // 8), "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp"))
     keyed = exploded(spread(labelled, "node"), blocks, clean)
     mixed = keyed.groupBy("k", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "key")
-    open_rows = keyed.join(mixed, ["k", "key"], "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    open_rows = keyed.join(sent_if_small(written(mixed, "mixed"), SENT_ROWS // 8), ["k", "key"], "left_semi")
+    x, y = open_rows.alias("x"), shuffled(open_rows).alias("y")
     cross = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (_distance(F.col("x.fp"), F.col("y.fp")) <= radius))
     second = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return components(first.select("a", "b").unionByName(second.select("a", "b")))
@@ -152,10 +154,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     prints = written(with_fingerprint(docs.select(id_col, text), [id_col], text, words), "prints", TEXT_ROWS)
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     comp = link_components(nodes.select(F.col("fp").alias("node"), "fp"), radius)
-    named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
+    named = nodes.join(shuffled(comp), nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_print = named.join(names, "comp").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = named.join(shuffled(names), "comp").select("fp", "component_id")
+    return prints.join(shuffled(of_print), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def with_signature(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:

@@ -29,6 +29,12 @@ def test_broadcast_hints_are_counted_by_rows_or_by_weight(spark):
     assert hinted(sent_if_small(df.limit(0), 5, F.size("many")))
 
 
+def test_tables_beyond_the_bound_are_not_sent_however_small_spark_takes_them_to_be(spark):
+    df = spark.range(10)
+    plan = lambda rows: df.join(sent_if_small(df, rows), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(10) and "Broadcast" not in plan(9)
+
+
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "_KEY int, _key1 int, id int")
     assert fresh(df, "key", "id") == ["_key2", "_id"]

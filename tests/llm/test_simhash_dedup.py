@@ -62,6 +62,22 @@ def test_components_match_brute_force(spark):
     assert sorted((r[0], r[1], r[2]) for r in got) == sorted((i, f"{prints[i]:016x}", want[i]) for i, _ in rows)
 
 
+def test_exploded_rows_are_sent_to_all_tasks_only_if_they_were_counted(spark, monkeypatch):
+    """Spark's own estimate takes the 35 rows of a fingerprint for one, so it would send all of them."""
+    plans = []
+
+    def told(df, name="step", rows=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, rows)
+
+    monkeypatch.setattr(simhash_dedup, "written", told)
+    monkeypatch.setattr(simhash_dedup, "SENT_ROWS", 0)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in corpus()], SCHEMA)
+    found = told(simhash_components(df))
+    assert found.count() == len(corpus())
+    assert any("Generate" in p and "Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e", "", 0), (5, "a b c d e", "", 0), (None, "q r s t u v", "", 0)], SCHEMA)
     assert sorted(str((r[0], r[2])) for r in simhash_components(df).collect()) == ["(5, 5)", "(None, 5)", "(None, None)"]
