@@ -7,7 +7,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import SENT_ROWS, TEXT_ROWS, components, fresh, lists, sent_if_small, shuffled, spread, values, written
@@ -18,7 +18,7 @@ BITS = 64
 WIDE = 16
 KEYED = 12
 #: Nodes of a key, and shingles of them, that are looked at as one; more are dealt over tiles of so many a side.
-CROWD, CROWD_SHINGLES = 512, 1 << 20
+CROWD, CROWD_SHINGLES = 512, 1 << 18
 #: Of the smallest and the largest nodes of its keys, those that a node is held against at first.
 NEAREST = 4
 #: What sets the hashes of the parts apart; the mixing constants are those of SplitMix64.
@@ -250,47 +250,138 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", TEXT_ROWS // 4)
 
 
+#: What goes of a shingle: hash, node, node less component, place and number of places.
+PACKED = [np.dtype(d) for d in ("<u4", "<i8", "<i8", "<u4", "<u4")]
+
+
+def pack(texts: list[tuple[int, int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Of (node, comp, hashes) one row for each bucket of hashes: the columns PACKED by bytes of equal weight, compressed."""
+    texts = sorted(texts, key=lambda t: t[0])
+    lengths = [len(h) for _, _, h in texts]
+    node, comp, n = (np.repeat(np.array(c), lengths) for c in ([t[0] for t in texts], [t[1] for t in texts], lengths))
+    h, at = np.concatenate([t[2] for t in texts]).view(np.uint64), np.concatenate([np.arange(k) for k in lengths])
+    bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=buckets))
+    rows, codec = [], pa.Codec("zstd", 1)
+    for lo, hi in zip(ends, ends[1:]):
+        own = order[lo:hi]
+        columns = (h[own] // np.uint64(buckets) & np.uint64(0xFFFFFFFF), np.diff(node[own], prepend=0), node[own] - comp[own], at[own], n[own])
+        body = b"".join(c.astype(d).view(np.uint8).reshape(len(own), -1).T.tobytes() for c, d in zip(columns, PACKED))
+        rows.append((int(bucket[own[0]]), len(own), codec.compress(body, asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "rows", "body"])
+
+
+def unpack(rows: int, body: bytes) -> list[np.ndarray]:
+    """hash, node, comp, place and number of places of the shingles of a row of `pack`."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(body, rows * sum(d.itemsize for d in PACKED), asbytes=True), dtype=np.uint8)
+    cuts, columns = np.cumsum([0, *(d.itemsize * rows for d in PACKED)]), []
+    for lo, hi, d in zip(cuts, cuts[1:], PACKED):
+        columns.append(np.ascontiguousarray(raw[lo:hi].reshape(d.itemsize, rows).T).view(d).reshape(-1))
+    node = np.cumsum(columns[1])
+    return [columns[0], node, node - columns[2], columns[3].astype(np.int64), columns[4].astype(np.int64)]
+
+
+def mixed_spots(table: pa.Table) -> pa.Table:
+    """Of the shingles of a bucket those that several components have: node, and place and number of places as one number."""
+    of = [unpack(*row) for row in zip(table.column("rows").to_pylist(), values(table.column("body")))]
+    h, node, comp, at, n = (np.concatenate([o[k] for o in of]) for k in range(5))
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+    mixed = np.minimum.reduceat(comp[order], starts) < np.maximum.reduceat(comp[order], starts)
+    own = order[np.repeat(mixed, np.diff(starts, append=len(order)))]
+    return pa.table([pa.array(node[own]), pa.array(at[own] << 32 | n[own])], names=["node", "spot"])
+
+
 def linkable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
     """Of nodes (node, comp) those that can be similar to one of another component, with their hashes; no other can.
 
     A text is similar to another only if the shingles that both have cover the similarity of its words, so the shingles
     that nodes of other components have, whichever, cover as much. Texts that share a licence or a line and go on in
-    words of their own are out, without a look at their pairs.
+    words of their own are out, without a look at their pairs. A shingle goes to the others by its hash, with its place
+    in the text and the number of places, so the texts are read again only for what is left. Each takes about 7 bytes
+    (`pack`), a third of what a row for each takes; hashes are cut to 32 bits and those of the bucket for it, which
+    may keep a text too many and loses none.
     """
-    asked = written(asked.join(nodes.select("node", F.col("sha").alias("of_sha"), "first_id"), "node"), "asked")
+    asked = written(asked.join(shuffled(nodes.select("node", F.col("sha").alias("of_sha"), "first_id")), "node"), "asked")
+    told = lambda body: _told(_shingle_hashes((body or b"").lower().split(), words).view(np.int64), words, measure)
+    span = _told(np.zeros(1, dtype=np.int64), words, measure)[1]
+
+    buckets = max(1, (nodes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"] >> 18))
 
     def spell(batches):
         for batch in batches:
             out, held = [], 0
             for node, comp, body in zip(*(values(batch.column(c)) for c in ("node", "comp", "_body"))):
-                out.append((np.unique(_shingle_hashes((body or b"").lower().split(), words)).view(np.int64), node, comp))
-                held += len(out[-1][0])
-                if held > 1 << 17:
-                    yield flush(out)
+                out.append((node, comp, told(body)[0]))
+                held += len(out[-1][2])
+                if held > 1 << 19:
+                    yield pack(out, buckets)
                     out, held = [], 0
             if out:
-                yield flush(out)
+                yield pack(out, buckets)
 
-    def flush(out):
-        lengths = [len(h) for h, _, _ in out]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _, _ in out])), *(pa.array(np.repeat(np.array([o[k] for o in out]), lengths)) for k in (1, 2))], names=["hash", "node", "comp"])
+    def keep(batches):
+        for batch in batches:
+            kept = []
+            for spots in lists(batch.column("spots")):
+                found = np.zeros(int(spots[0]) & 0xFFFFFFFF, dtype=bool)
+                found[spots >> 32] = True
+                kept.append(_part(found, span) >= similarity - 1e-9)
+            yield batch.select(["node"]).filter(pa.array(kept, type=pa.bool_()))
 
-    of = Window.partitionBy("hash")
-    common = _bodies(texts, asked, "node", "comp").mapInArrow(spell, "hash long, node long, comp long").withColumn("mixed", F.min("comp").over(of) < F.max("comp").over(of))
-    common = common.where("mixed").groupBy("node").agg(F.collect_list("hash").alias("common"))
-    asked = written(asked.join(written(common, "common", TEXT_ROWS // 4).select("node", "common"), "node"), "asked")
+    def digest(batches):
+        for batch in batches:
+            hashes = [told(t)[0] for t in values(batch.column("_body"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), pa.array(hashes, type=pa.list_(pa.int64()))], names=["node", "comp", "hashes"])
 
-    def keep(batches):
+    packed = _bodies(texts, asked, "node", "comp").mapInArrow(spell, "bucket int, rows int, body binary")
+    common = packed.groupBy("bucket").applyInArrow(mixed_spots, "node long, spot long").groupBy("node").agg(F.collect_list("spot").alias("spots"))
+    kept = written(common.mapInArrow(keep, "node long"), "common", TEXT_ROWS // 4)
+    asked = written(asked.join(sent_if_small(kept, SENT_ROWS // 8), "node", "left_semi"), "asked")
+    return written(_bodies(texts, asked, "node", "comp").mapInArrow(digest, "node long, comp long, hashes array<long>"), "linkable", TEXT_ROWS // 4).dropDuplicates(["node"])
+
+
+def rarest(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, span: int, similarity: float) -> np.ndarray:
+    """Of the hashes of a text that others have too (common, each once, so many times), the rarest, without which all
+    others cover less than the similarity; none if all of them do.
+
+    So any similar text has one of these. In the order of times and hash, which is the same for all texts, the first hash
+    that two similar texts share is one of these for both: texts without one in common are not similar.
+    """
+    order, by_hash = np.lexsort((common, times)), np.argsort(common)
+    rank = np.empty(len(common), dtype=np.int64)
+    rank[order] = np.arange(len(common))
+    at = by_hash[np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)]
+    ranks = np.where(common[at] == hashes, rank[at], -1)
+    lo, hi = 0, len(common)
+    while lo < hi:
+        middle = (lo + hi) // 2
+        lo, hi = (middle + 1, hi) if _part(ranks >= middle, span) >= similarity - 1e-9 else (lo, middle)
+    return common[order[:lo]]
+
+
+def shingle_keys(able: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """Of nodes (node, comp, hashes) those that can be similar to one of another component, and `keys`: two similar nodes
+    of different components have one in common. Keys of the same nodes are one key."""
+    able = written(able, "able")
+    span = _told(np.zeros(1, dtype=np.int64), words, measure)[1]
+    spelt = able.select("node", "comp", F.explode(F.array_distinct("hashes")).alias("hash"))
+    held = spelt.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), (F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("hash", "n")
+    common = spelt.select("node", "hash").join(shuffled(held), "hash").groupBy("node").agg(F.collect_list(F.struct("hash", "n")).alias("of"))
+    both = able.join(shuffled(common), "node").select("node", "hashes", F.col("of.hash").alias("common"), F.col("of.n").alias("times"))
+
+    def choose(batches):
         for batch in batches:
-            nodes, comps, kept = [], [], []
-            for node, comp, common, body in zip(values(batch.column("node")), values(batch.column("comp")), lists(batch.column("common")), values(batch.column("_body"))):
-                hashes, span = _told(_shingle_hashes((body or b"").lower().split(), words).view(np.int64), words, measure)
-                if _part(np.isin(hashes, common), span) >= similarity - 1e-9:
-                    nodes.append(node), comps.append(comp), kept.append(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(comps, type=pa.int64()), pa.array(kept, type=pa.list_(pa.int64()))], names=["node", "comp", "hashes"])
+            keys = [rarest(*of, span, similarity) for of in zip(*(lists(batch.column(c)) for c in ("hashes", "common", "times")))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, type=pa.list_(pa.int64()))], names=["node", "keys"])
 
-    found = _bodies(texts, asked, "node", "comp", "common").mapInArrow(keep, "node long, comp long, hashes array<long>")
-    return written(found, "linkable", TEXT_ROWS // 4).dropDuplicates(["node"])
+    keys = written(both.mapInArrow(choose, "node long, keys array<long>"), "keys", TEXT_ROWS // 4)
+    rows = keys.select("node", F.explode("keys").alias("key"))
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64("node", F.lit(i)).bitwiseAND((1 << 32) - 1)).alias(f"s{i}") for i in range(2)]).where("n > 1")
+    named = held.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
+    keys = rows.join(shuffled(named), "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    return written(able.join(shuffled(keys), "node"), "able")
 
 
 def tile_links(of: tuple, table: pa.Table, words: int, similarity: float, measure: str) -> pa.Table:
@@ -352,15 +443,16 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     """Links (a, b) that join the similar ones of nodes (node, sha, first_id, SIGNED) to components.
 
     First each node with the NEAREST of the smallest and the largest nodes of its keys, by their fingerprints, so that a
-    dense group is linked without its pairs. Then all pairs of what are still different components, under every key,
-    however many nodes it has: each pair of nodes with a sample in common is in one component by then or looked at there.
-    Before, nodes go that can be similar to none of another component (`linkable`); of the others each tile of at most
-    `crowd` x `crowd` nodes of a key is one group of rows, whose pairs are counted in it and make no rows.
+    dense group is linked without its pairs. Then all pairs of what are still different components, whether they have a
+    sample in common or none: nodes go that can be similar to none of another component (`linkable`), and the others have
+    the rarest of their shingles as keys, one of which any two similar ones have in common (`shingle_keys`). However many
+    nodes a key has, each tile of at most `crowd` x `crowd` of them is one group of rows, whose pairs are counted in it
+    and make no rows. No link is lost.
     """
     keys = _near_keys(nodes)
     ends = written(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "ends")
-    shared = written(keys.join(ends.select("key"), "key", "left_semi"), "shared")
-    alike = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "alike")  # all others have no near duplicate
+    shared = written(keys.join(shuffled(ends.select("key")), "key", "left_semi"), "shared")
+    alike = written(nodes.join(shuffled(shared.select("node").distinct()), "node", "left_semi"), "alike")
     for e in ("lo", "hi"):
         ends = ends.join(alike.select(F.col("node").alias(e), *[F.col(p).alias(e + p) for p in SIZED]), e)
     near = [_close("", e, radius) & (F.col("node") != F.col(e)) for e in ("lo", "hi")]
@@ -372,19 +464,15 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float
     pairs = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     links = similar(pairs, nodes, texts, words, similarity, measure)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """rows (node, comp, key, size) under keys of several components, and the tiles of a side of their key."""
-        tiles = F.ceil(F.greatest(F.count(F.lit(1)) / crowd, F.sum("size") / CROWD_SHINGLES)).cast("int")
-        held = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed"), tiles.alias("tiles")).where("mixed").select("key", "tiles")
-        return written(rows.join(held, "key"), "mixed")
-
     comp = written(components(links), "comp")
-    rows = mixed(shared.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "key", F.lit(0).alias("size")))
-    able = linkable(rows.select("node", "comp").distinct(), nodes, texts, words, similarity, measure)
-    rows = mixed(rows.select("node", "comp", "key").join(able.select("node", F.size("hashes").alias("size")), "node"))
-    able = able.join(rows.groupBy("node").agg(F.collect_list("key").alias("keys")), "node").select("node", "keys", "hashes")
+    labelled = nodes.join(sent_if_small(comp, SENT_ROWS // 8), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    able = shingle_keys(linkable(labelled, nodes, texts, words, similarity, measure), words, similarity, measure)
+    rows = able.select("node", "comp", F.explode("keys").alias("key"), F.size("hashes").alias("size"))
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / crowd, F.sum("size") / CROWD_SHINGLES)).cast("int")  # a side
+    held = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed"), tiles.alias("tiles")).where("mixed").select("key", "tiles")
+    rows, able = written(rows.join(shuffled(held), "key"), "mixed"), able.select("node", "keys", "hashes")
     tiled = rows.withColumn("at", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("key", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "comp").join(able, "node").select("key", "i", "j", "at", "node", "comp", "keys", "hashes")
+    tiled = tiled.select("key", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "comp").join(shuffled(able), "node").select("key", "i", "j", "at", "node", "comp", "keys", "hashes")
     last = tiled.groupBy("key", "i", "j").applyInArrow(lambda of, table: tile_links(of, table, words, similarity, measure), "a long, b long")
     return links.unionByName(written(last, "similar"))
 
@@ -398,10 +486,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     Fingerprints of so few shingles in common differ in up to a third of their bits, too many for blocks of bits alone,
     so a block is the smallest shingle hash of one of KEYED parts of the fingerprint, which two texts share with the
-    probability of their Jaccard similarity J. Pairs are found if any of the KEYED samples is the same (all but
-    (1 - J) ** 12: at 0.8 none in 10 ** 8, at 0.5 0.02 %, at 0.35 0.6 %), and count if the texts have the similarity.
-    At most `radius` bits of the fingerprint (FAR bits where either text has at most FEW shingles) differ in pairs that
-    are tried first. How a group is linked without all its pairs, and what crowded keys do, is told in near_links.
+    probability of their Jaccard similarity J. Pairs that share any of the KEYED samples (all but (1 - J) ** 12) and
+    differ in at most `radius` bits of the fingerprint (FAR bits where either text has at most FEW shingles) are tried
+    first; what they leave in different components is looked at by the shingles themselves, so that no link is lost,
+    however small J. How a group is linked without all its pairs, and what crowded keys do, is told in near_links.
 
     Equal texts (by SHA-256) are always one group; null and empty texts are equal, and one of them stays. Of repeated
     rows with the same id one stays. Rows with a null id stay only where their group has no other. An empty table gives

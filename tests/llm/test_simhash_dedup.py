@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.compute
 import xxhash
 from pyspark.sql import functions as F
 
@@ -210,6 +211,53 @@ def test_drifting_families(spark):
     assert want <= got and len(got) <= len(want)
 
 
+def test_copies_with_every_sixth_word_changed_are_found(spark):
+    """A coverage of over 0.8 and a Jaccard similarity of 0.1, where a third of all pairs has no sample in common."""
+    rng, texts = random.Random(32), {}
+    licence = [f"l{i}" for i in range(30)]  # and shingles that all texts have
+    for d in range(0, 120, 2):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        texts |= {d: words + licence, d + 1: [f"n{rng.randrange(10**6)}" if i % 6 == 5 else w for i, w in enumerate(words)] + licence}
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    assert all(slow_coverage(texts[d], texts[d + 1]) >= 0.8 for d in range(0, 120, 2))
+    got = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), measure="coverage").collect()}
+    assert got == set(range(0, 120, 2))
+
+
+def test_shingles_of_several_components_by_buckets():
+    rng, np = random.Random(34), simhash_dedup.np
+    texts = [(rng.randrange(1 << 40), np.array([rng.randrange(-(1 << 63), 1 << 63) if rng.random() < 0.7 else rng.randrange(40) for _ in range(rng.randint(1, 60))])) for _ in range(50)]
+    texts = [(node, rng.choice([node, texts[0][0]]), h) for node, h in texts]
+    having = {}
+    for node, comp, h in texts:
+        for v in h.tolist():
+            having.setdefault(v, set()).add(comp)
+    want = sorted((node, at << 32 | len(h)) for node, comp, h in texts for at, v in enumerate(h.tolist()) if len(having[v]) > 1)
+    for buckets in (1, 7):
+        rows = simhash_dedup.pa.Table.from_batches([simhash_dedup.pack(texts[:20], buckets), simhash_dedup.pack(texts[20:], buckets)])
+        found = [tuple(r.values()) for b in range(buckets) for r in simhash_dedup.mixed_spots(rows.filter(simhash_dedup.pa.compute.equal(rows["bucket"], b))).to_pylist()]
+        assert sorted(found) == want
+
+
+def test_texts_without_a_rare_shingle_in_common_are_not_similar():
+    rng, np = random.Random(33), simhash_dedup.np
+    for _ in range(300):
+        measure = rng.choice(["coverage", "jaccard"])
+        base = [rng.randrange(8) for _ in range(rng.randint(1, 40))]
+        texts = [[w if rng.random() > 0.1 else rng.randrange(8) for w in base] for _ in range(6)]
+        told = [simhash_dedup._told(_shingle_hashes(" ".join(map(str, t)).encode().split(), 5).view("int64"), 5, measure) for t in texts]
+        every, times = np.unique(np.concatenate([np.unique(h) for h, _ in told]), return_counts=True)
+        keys = []
+        for k, (hashes, span) in enumerate(told):
+            others = np.unique(np.concatenate([h for i, (h, _) in enumerate(told) if i != k]))
+            common = np.intersect1d(hashes, others)
+            keys.append(set(simhash_dedup.rarest(hashes, common, times[np.searchsorted(every, common)], span, 0.8).tolist()) if len(common) else set())
+        for a in range(6):
+            for b in range(a):
+                if simhash_dedup.MEASURES[measure](told[a][0], told[b][0], 5) >= 0.8:
+                    assert keys[a] & keys[b]
+
+
 def test_crowded_keys_are_made_longer(spark):
     rng = random.Random(21)
     licence = " ".join(f"l{i}" for i in range(60))
