@@ -299,8 +299,8 @@ def linkable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     A text is similar to another only if the shingles that both have cover the similarity of its words, so the shingles
     that nodes of other components have, whichever, cover as much. Texts that share a licence or a line and go on in
     words of their own are out, without a look at their pairs. A shingle goes to the others by its hash, with its place
-    in the text and the number of places, so the texts are read again only for what is left. Each takes about 7 bytes
-    (`pack`), a third of what a row for each takes; hashes are cut to 32 bits and those of the bucket for it, which
+    in the text and the number of places, so the texts are read again only for what is left. Each takes about 10 bytes
+    (`pack`), half of what a row for each takes; hashes are cut to 32 bits and those of the bucket for it, which
     may keep a text too many and loses none.
     """
     asked = written(asked.join(shuffled(nodes.select("node", F.col("sha").alias("of_sha"), "first_id")), "node"), "asked")
